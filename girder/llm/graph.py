@@ -1,0 +1,43 @@
+"""Connected components by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from girder.llm.common import stage
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Each node's larger (or smaller) neighbours are tied to the smallest node next to it.
+
+    The smallest neighbour is a partial aggregate joined back, so a hub's edges
+    are never gathered in one group and a skewed join can be split.
+    """
+    if large:
+        edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        out = edges.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        tied = edges.join(low, "a")
+        out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+    return out.filter("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) with the smallest node of each component, for each node that has an edge.
+
+    edges: (a, b).  Each round is written to the shared folder; it ends when a
+    round leaves the edges as they were (their count and sum of hashes).
+    """
+    now = stage(edges.filter("a <> b").distinct(), "edges")
+    mark = None
+    while True:
+        now = stage(_star(_star(now, True), False), "edges")
+        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if (new.n, new.h) == mark:
+            break
+        mark = (new.n, new.h)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
