@@ -109,20 +109,13 @@ def hash_bin(gram: Column, dim: int = 256) -> Column:
 
 
 def hash_embedding(text: Column, dim: int = 256) -> Column:
-    """Counts of grams in ``dim`` bins, of unit length."""
+    """P03 for short texts: counts of grams in ``dim`` bins, of unit length (documents: operators.retrieval.gram_counts)."""
     bins = F.transform(hash_grams(text), lambda g: hash_bin(g, dim))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bins, lambda b: b == i)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(counts, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def sparse_vector(tokens: Column) -> Column:
-    """Array of (token number, count) sorted by number; (0, 0) without tokens."""
-    numbers = F.transform(tokens, md5_number)
-    pairs = F.transform(F.array_sort(F.array_distinct(numbers)), lambda n: F.struct(n.alias("id"), F.size(F.filter(numbers, lambda m: m == n)).cast("double").alias("n")))
-    return F.when(F.size(tokens) == 0, F.array(F.struct(F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("n")))).otherwise(pairs)
-
-
 def content_hash(text: Column) -> Column:
     """SHA-256 of the stripped non-blank lines."""
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")

@@ -47,13 +47,39 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", quer
     low, length = F.lower(F.col(text)), F.greatest(F.lit(1), F.size(tokens))
     scored = docs.select(F.col(key).alias("doc_key"), low.alias("low"), length.alias("len")).crossJoin(F.broadcast(table))
 
-    def one(t: Column) -> Column:
-        tf = (F.length("low") - F.length(F.replace(F.col("low"), t["token"], F.lit("")))) / F.length(t["token"])
-        return F.struct(t["token"].alias("token"), F.when(tf > 0, t["weight"] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_length"))))).alias("part"))
-
-    parts = F.filter(F.transform("table", one), lambda p: p["part"].isNotNull())
-    hits = scored.select("doc_key", F.explode(parts).alias("p")).select("doc_key", "p.token", "p.part")
-    return hits.join(fit_for_broadcast(terms), "token").groupBy("query_id", "doc_key").agg(F.sum("part").alias("score"))
+    # Tokens are looked for first: most are not there, and counting is dearer than finding.
+    found = F.filter("table", lambda t: F.contains("low", t["token"]))
+    hits = scored.select("doc_key", "low", "len", "avg_length", F.explode(found).alias("t"))
+    tf = (F.length("low") - F.length(F.replace(F.col("low"), F.col("t.token"), F.lit("")))) / F.length("t.token")
+    hits = hits.select("doc_key", "t.token", "t.weight", "len", "avg_length", tf.alias("tf"))
+    part = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_length"))))
+    hits = hits.select("doc_key", "token", part.alias("part"))
+    # Summed in the order of the tokens, so that equal documents get equal scores.
+    parts = hits.join(fit_for_broadcast(terms), "token").groupBy("query_id", "doc_key").agg(F.array_sort(F.collect_list(F.struct("token", "part"))).alias("parts"))
+    return parts.select("query_id", "doc_key", F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"]).alias("score"))
+
+
+def sparse_vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, vector): array of (token number, count) by number; (0, 0) for a text without tokens."""
+    counted = rows.select(F.col(key), F.explode(T.lexical_tokens(F.col(text))).alias("t")).groupBy(key, T.md5_number(F.col("t")).alias("id")).agg(F.count("*").cast("double").alias("n"))
+    packed = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("vector"))
+    nothing = F.array(F.struct(F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("n")))
+    return rows.select(key).join(packed, key, "left").select(key, F.coalesce("vector", nothing).alias("vector"))
+
+
+def gram_counts(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
+    """P03 as rows: (key, bin, n)."""
+    return rows.select(F.col(key), F.explode(T.hash_grams(F.col(text))).alias("gram")).groupBy(key, T.hash_bin(F.col("gram"), dim).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def hash_dense(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", query_key: str = "query_id", query_text: str = "query", dim: int = 256) -> DataFrame:
+    """P03 with P04: dot products of unit hash vectors as a join over bins; counts stay whole numbers until one division."""
+    d = gram_counts(docs, key, text, dim).select(F.col(key).alias("doc_key"), "bin", F.col("n").alias("dn"))
+    q = gram_counts(queries, query_key, query_text, dim).select(F.col(query_key).alias("query_id"), "bin", F.col("n").alias("qn"))
+    norm = lambda df, k, n, out: df.groupBy(k).agg(F.sum(F.col(n) * F.col(n)).alias(out))
+    dots = d.join(fit_for_broadcast(q), "bin").groupBy("query_id", "doc_key").agg(F.sum(F.col("dn") * F.col("qn")).alias("dot"))
+    both = dots.join(norm(d, "doc_key", "dn", "dd"), "doc_key").join(fit_for_broadcast(norm(q, "query_id", "qn", "qq")), "query_id")
+    return both.select("query_id", "doc_key", (F.col("dot") / F.sqrt(F.col("dd") * F.col("qq"))).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, partition: str = "query_id", score: str = "score", tie: str = "doc_key") -> DataFrame:

@@ -70,5 +70,5 @@ def unknown_references(df: DataFrame, column: str, known: DataFrame, key: str) -
 
 def fit_for_broadcast(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
     """Hint a broadcast only if the optimiser's own size bound for ``df`` is below the limit; else leave the join to Spark."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= max_bytes else df
