@@ -65,12 +65,16 @@ ELEMENT_TYPES = {"墙": "IFCWALL", "墙体": "IFCWALL", "柱": "IFCCOLUMN", "柱
 def material(name: Column, aliases: dict[str, tuple[str, ...]] = MATERIAL_ALIASES) -> Column:
     """Exact alias first, then the first alias contained, in order; else the upper-cased name."""
     clean = F.upper(strip(F.coalesce(name, F.lit(""))))
-    out = None
-    for test in (lambda a: clean == a.upper(), lambda a: F.contains(clean, F.lit(a.upper()))):
-        for standard, words in aliases.items():
-            for a in words:
-                out = F.when(test(a), standard) if out is None else out.when(test(a), standard)
-    return out.otherwise(clean)
+    pairs = [(alias.upper(), standard) for standard, words in aliases.items() for alias in words]
+    exact = lookup(dict(reversed(pairs)))
+    listed = F.array(*[F.struct(F.lit(alias).alias("alias"), F.lit(standard).alias("standard")) for alias, standard in pairs])
+    held = F.get(F.filter(listed, lambda p: F.contains(clean, p["alias"])), F.lit(0))["standard"]
+    return F.coalesce(F.try_element_at(exact, clean), held, clean)
+
+
+def lookup(table: dict) -> Column:
+    """A literal map; folded once at planning."""
+    return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
 
 
 def full_date(text: Column, as_of: str) -> Column:
@@ -89,7 +93,7 @@ def unit(text: Column, default: str = "元/吨") -> Column:
 
 def plausible_price(standard: Column, low: Column, high: Column, limits: dict[str, tuple[int, int]] = PRICE_LIMITS, default: tuple[int, int] = DEFAULT_LIMIT) -> Column:
     """Positive, ordered, within the material's range."""
-    bound = lambda i: first_equal(standard, [(m, F.lit(r[i])) for m, r in limits.items()], F.lit(default[i]))
+    bound = lambda i: F.coalesce(F.try_element_at(lookup({m: r[i] for m, r in limits.items()}), standard), F.lit(default[i]))
     return F.coalesce((low > 0) & (high >= low) & (low >= bound(0)) & (high <= bound(1)), F.lit(False))
 
 
