@@ -31,17 +31,31 @@ def angle_delta(a: Column, b: Column) -> Column:
     return F.least(d, 180.0 - d)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; keeps nested formulas from being written out many times over."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def line_record(s: Segment) -> Column:
     """The segment in canonical direction with unit vector, normal, angle and length; null if it has no length."""
     x1, y1, x2, y2 = s
-    n = length(s)
-    ux, uy = (x2 - x1) / n, (y2 - y1) / n
-    flip = (ux < -1e-9) | ((F.abs(ux) <= 1e-9) & (uy < 0))
-    pick = lambda a, b: F.when(flip, a).otherwise(b)
-    cx, cy = pick(-ux, ux), pick(-uy, uy)
-    return F.when(n > 1e-9, F.struct(
-        pick(x2, x1).alias("x1"), pick(y2, y1).alias("y1"), pick(x1, x2).alias("x2"), pick(y1, y2).alias("y2"),
-        cx.alias("ux"), cy.alias("uy"), (-cy).alias("nx"), cx.alias("ny"), F.pmod(F.degrees(F.atan2(cy, cx)), F.lit(180.0)).alias("angle"), n.alias("length")))
+
+    def record(b: Column) -> Column:
+        pick = lambda p, q: F.when(b["flip"], p).otherwise(q)
+        cx, cy = pick(-b["ux"], b["ux"]), pick(-b["uy"], b["uy"])
+        return F.struct(
+            pick(b["x2"], b["x1"]).alias("x1"), pick(b["y2"], b["y1"]).alias("y1"), pick(b["x1"], b["x2"]).alias("x2"), pick(b["y1"], b["y2"]).alias("y2"),
+            cx.alias("ux"), cy.alias("uy"), (-cy).alias("nx"), cx.alias("ny"), F.pmod(F.degrees(F.atan2(cy, cx)), F.lit(180.0)).alias("angle"), b["n"].alias("length"))
+
+    def flipped(b: Column) -> Column:
+        flip = (b["ux"] < -1e-9) | ((F.abs(b["ux"]) <= 1e-9) & (b["uy"] < 0))
+        return let(F.struct(*[b[c].alias(c) for c in ("x1", "y1", "x2", "y2", "n", "ux", "uy")], flip.alias("flip")), record)
+
+    def unit(b: Column) -> Column:
+        return let(F.struct(*[b[c].alias(c) for c in ("x1", "y1", "x2", "y2", "n")], ((b["x2"] - b["x1"]) / b["n"]).alias("ux"), ((b["y2"] - b["y1"]) / b["n"]).alias("uy")), flipped)
+
+    ends = F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), length(s).alias("n"))
+    return let(ends, lambda b: F.when(b["n"] > 1e-9, unit(b)))
 
 
 def point_segment_distance(p: Point, s: Segment) -> Column:

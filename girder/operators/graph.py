@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage(_star(_star(now, True), False), "edges")
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (new.n, new.h) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         mark = (new.n, new.h)
 
 

@@ -56,7 +56,7 @@ def dominant_rotation(segments: DataFrame, keys: list[str], scale: float = 1.0)
     s = G.segment()
     n = G.length(s) * scale
     rows = segments.select(*keys, G.folded_angle(s).alias("angle"), G.clamp(F.bround(n, 0), 1, 100).cast("long").alias("w"), n.alias("n")).filter("n > 0.5")
-    return rows.groupBy(*keys).agg((-F.percentile("angle", F.lit(0.5), "w")).alias("rotation"))
+    return rows.groupBy(*keys).agg((-F.percentile("angle", F.lit(0.5), F.col("w"))).alias("rotation"))
 
 
 def line_fit(samples: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
