@@ -30,8 +30,9 @@ END = "</w>"
 #: White space of the vocabulary's pattern, and the pattern with it written out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
-#: Words a worker remembers before it starts afresh, and pairs of tokens.
-REMEMBER = 400_000
+#: Words a worker remembers before it starts afresh; pairs of tokens are kept four times as long.
+REMEMBER = 1_000_000
+NEVER = 1 << 30
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,6 +50,7 @@ class TrieBPE:
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for t, i in (self.ids | self.special).items():
@@ -60,6 +62,7 @@ class TrieBPE:
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.births: dict[str, tuple[int, str, str]] = {}
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -68,42 +71,74 @@ class TrieBPE:
             return [*body[:-1], body[-1] + END]
         return list(token)
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """Plain merging, lowest rank first; only for pairs of tokens."""
-        parts = list(parts)
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get((a, b), 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))  # noqa: B905
-            if rank == 1 << 30:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def birth(self, token: str) -> tuple[int, str, str]:
+        """Rank of the merge that makes a token, and the two it joins; rank -1 for a single symbol.
+
+        Merging the token's own symbols, lowest rank first, tells; a vocabulary
+        entry that merging never makes has the rank -2.
+        """
+        known = self.births.get(token)
+        if known is None:
+            parts, known = self.symbols(token), (-1, "", "")
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get((a, b), NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))  # noqa: B905
+                if rank == NEVER:
+                    known = (-2, "", "")
+                    break
+                known = (rank, parts[at], parts[at + 1])
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            self.births[token] = known
+        return known
 
     def compatible(self, a: str, b: str) -> bool:
-        """Do the merges leave a and b as they are?  An empty a stands for the word's start."""
+        """Do the merges leave a and b as they are?  An empty a stands for the word's start.
+
+        Ranks only rise while a word is merged, so a merge across the border of a
+        and b had its chance before the later of the two was made: undo that one,
+        look again at what meets at the border, and so on.  Of equal ranks the
+        left one comes first.
+        """
         known = self.fits.get((a, b))
         if known is None:
-            known = self.merged(self.symbols(a) + self.symbols(b)) == ([a, b] if a else [b])
+            (rank_a, _, right), (rank_b, left, _) = self.birth(a) if a else (-1, "", ""), self.birth(b)
+            known, limit, x, y = rank_a > -2 and rank_b > -2, NEVER, a, b
+            while known and a:
+                if self.ranks.get((x, y), NEVER) < limit:
+                    known = False
+                elif rank_a > rank_b:
+                    limit, x = rank_a, right
+                    rank_a, _, right = self.birth(x)
+                elif rank_b >= 0:
+                    limit, y = rank_b + 1, left
+                    rank_b, left, _ = self.birth(y)
+                else:
+                    break
             self.fits[a, b] = known
         return known
 
     def last_token(self, path: str, depth: int, states: list[str], suffix: str) -> str:
         """The last token of the encoding of path[:depth] + suffix, from the states of shorter prefixes."""
-        for n in range(min(depth, self.longest), 0, -1):
-            t = path[depth - n:depth] + suffix
-            if t in self.ids and self.compatible(states[depth - n], t):
-                return t
+        ids, fits = self.ids, self.fits
+        for start in range(max(0, depth - self.longest), depth):
+            t = path[start:depth] + suffix
+            if t in ids:
+                pair = (states[start], t)
+                fit = fits.get(pair)
+                if fit or fit is None and self.compatible(*pair):
+                    return t
         raise ValueError(f"no token ends {path[:depth]!r}")
 
+    def path(self, word: str) -> str:
+        """A word's bytes as letters; ASCII words (without blanks) are their own."""
+        return word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
+
     def learn(self, words: set[str]) -> None:
         """Encode new words in the order of their trie."""
-        if len(self.known) + len(words) > REMEMBER:
-            self.known.clear()
         if len(self.fits) > 4 * REMEMBER:
             self.fits.clear()
-        letters = self.letters
-        paths = sorted(("".join(map(letters.__getitem__, w.encode())), w) for w in words)
+        packed, known, last_token = self.packed, self.known, self.last_token
         before, states = "", [""]
-        for path, word in paths:
+        for path, word in sorted((self.path(w), w) for w in words):
             n = len(path)
             shared, most = 0, min(len(states) - 1, n - 1)
             if before[:most] == path[:most]:
@@ -113,35 +148,47 @@ class TrieBPE:
                     shared += 1
             del states[shared + 1:]
             for depth in range(shared + 1, n):
-                states.append(self.last_token(path, depth, states, ""))
-            out, depth, token = [], n, self.last_token(path, n, states, END)
-            while token:
-                out.append(self.ids[token])
-                depth -= len(token) - (len(END) if depth == n else 0)
+                states.append(last_token(path, depth, states, ""))
+            token = last_token(path, n, states, END)
+            out, depth = [packed[token]], n - len(token) + len(END)
+            while depth:
                 token = states[depth]
-            self.known[word] = np.array(out[::-1], dtype="<u4").tobytes()
+                out.append(packed[token])
+                depth -= len(token)
+            known[word] = b"".join(out[::-1])
             before = path
 
     def split(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at a sigma's place
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # lower() would look at a sigma's place
         return self.words.findall(text.lower())
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        if self.split_special is not None and "<|" in text and len(parts := self.split_special.split(text)) > 1:
-            return b"".join(np.array([self.special[p]], dtype="<u4").tobytes() if i % 2 else self.encode_plain(p) for i, p in enumerate(parts))
-        return self.encode_plain(text)
+    def pieces(self, text: str) -> list[list[str] | bytes]:
+        """Words of the stretches between special tokens, and the ids of those."""
+        if self.split_special is None or "<|" not in text:
+            return [self.split(text)]
+        parts = self.split_special.split(text)
+        return [np.array([self.special[p]], dtype="<u4").tobytes() if i % 2 else self.split(p) for i, p in enumerate(parts)]
 
-    def encode_plain(self, text: str) -> bytes:
-        words = self.split(text)
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; the batch's new words share one traversal."""
         known = self.known
-        if new := {w for w in words if w not in known}:
-            self.learn(new)
-            if not all(map(known.__contains__, words)):  # it started afresh
-                self.learn({w for w in words if w not in known})
-        return b"".join(map(known.__getitem__, words))
+        split = [self.pieces(t) for t in texts]
+        words = set()
+        for parts in split:
+            for p in parts:
+                if isinstance(p, list):
+                    words.update(p)
+        new = words.difference(known)
+        if len(known) + len(new) > REMEMBER:
+            known.clear()
+            new = words
+        self.learn(new)
+        return [b"".join([b"".join(map(known.__getitem__, p)) if isinstance(p, list) else p for p in parts]) for parts in split]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -165,8 +212,7 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 rows = [[] for _ in range(5)]
-                for text in b.column(1).to_pylist():
-                    ids = enc.encode(text or "")
+                for ids in enc.encode_batch([t or "" for t in b.column(1).to_pylist()]):
                     decoded = enc.decode(ids)
                     for col, v in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), np.frombuffer(ids, dtype="<u4").astype(np.int32) if keep else None, decoded if keep else None), strict=True):
                         col.append(v)
