@@ -183,9 +183,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         light = light.withColumn("cls", F.lit(0))
     first_row = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("first")
-    sizes = light.groupBy("key", "cls").agg(first_row, F.count("*").alias("group_size"))
-    return light.join(sizes, ["key", "cls"]).select(
-        F.col("id").alias(id_col), F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("sha").alias("text_sha256"), "n_bytes", "rid")
+    # Written apart, so that the join has a shuffle on either side and a hot group's rows can be split.
+    sizes = stage(light.groupBy("key", "cls").agg(first_row, F.count("*").alias("group_size")).filter("group_size > 1"), "dedup-sizes")
+    first_rid = F.coalesce("first.rid", "rid")
+    return light.join(sizes, ["key", "cls"], "left").select(
+        F.col("id").alias(id_col), F.when(F.col("first.rid").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("rid") == first_rid).alias("kept"), F.col("sha").alias("text_sha256"), "n_bytes", "rid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
