@@ -76,18 +76,22 @@ def fingerprint(data: bytes) -> np.ndarray:
     return out
 
 
-def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _light(fingerprint_of):
     """rid, id, text -> rid, id, n_bytes, sha, fp or, of huge documents, their chunks."""
-    for b in batches:
-        n, sha, fp, parts = [], [], [], []
-        for raw in utf8(b.column(2)):
-            data = squeeze(raw)
-            n.append(len(data))
-            sha.append(hashlib.sha256(data).hexdigest())
-            huge = len(data) > HUGE
-            fp.append(None if huge else fingerprint(data).tolist())
-            parts.append([{"k": k, "data": x} for k, x in enumerate(chunks_of(data))] if huge else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(fp, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.struct([("k", pa.int64()), ("data", pa.binary())])))], ["rid", "id", "n_bytes", "sha", "fp", "parts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, sha, fp, parts = [], [], [], []
+            for raw in utf8(b.column(2)):
+                data = squeeze(raw)
+                n.append(len(data))
+                sha.append(hashlib.sha256(data).hexdigest())
+                huge = len(data) > HUGE
+                fp.append(None if huge else fingerprint_of(data).tolist())
+                parts.append([{"k": k, "data": x} for k, x in enumerate(chunks_of(data))] if huge else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(fp, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.struct([("k", pa.int64()), ("data", pa.binary())])))], ["rid", "id", "n_bytes", "sha", "fp", "parts"])
+
+    return run
 
 
 def _hash_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,11 +100,11 @@ def _hash_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hash_chunk(x).tolist() for x in data], pa.list_(pa.int64())), pa.array([shift(len(x)).tolist() for x in data], pa.list_(pa.int64()))], ["rid", "k", "h", "s"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint_of=fingerprint) -> DataFrame:
     """rid, id, n_bytes, sha, fp of each row, staged; rid tells rows apart from then on."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    light = stage(rows.mapInArrow(_light, f"rid long, id {id_type}, n_bytes long, sha string, fp {FP}, parts array<struct<k: long, data: binary>>"), "dedup-light")
+    light = stage(rows.mapInArrow(_light(fingerprint_of), f"rid long, id {id_type}, n_bytes long, sha string, fp {FP}, parts array<struct<k: long, data: binary>>"), "dedup-light")
     parts = light.filter(F.col("fp").isNull()).select("rid", F.explode("parts").alias("p")).select("rid", "p.k", "p.data").repartition("rid", "k")
     hashed = parts.mapInArrow(_hash_parts, f"rid long, k long, h {FP}, s {FP}").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "h", "s"))).alias("hs"))
     fold = lambda i: F.aggregate("hs", F.lit(0).cast("long"), lambda acc, x: (acc * x["s"][i] + x["h"][i]) % int(PRIMES[i]))
@@ -109,7 +113,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return light.drop("parts").join(huge, "rid", "left").select("rid", "id", "n_bytes", "sha", F.coalesce("fp", "whole").alias("fp"))
 
 
-def _keep_marked(bits: np.ndarray):
+def _keep_marked(bits, fingerprint_of):
     """Rows whose fingerprint is marked in the filter of repeated fingerprints, with their squeezed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +123,7 @@ def _keep_marked(bits: np.ndarray):
             rows = [[], [], [], [], []]
             for ident, raw in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
                 data = squeeze(raw)
-                fp = fingerprint(data)
+                fp = fingerprint_of(data)
                 at = int(fp[0]) % m
                 if int(table_bits[at >> 6]) >> (at & 63) & 1:
                     for col, v in zip(rows, (ident, fp.tolist(), len(data), hashlib.sha256(data).hexdigest(), data), strict=True):
@@ -152,14 +156,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.large_binary())], ["key", "sha", "cls", "data"])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint_of=fingerprint) -> DataFrame:
     """A row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     What crosses the network with its text is only rows that share a fingerprint
     with another; a bit filter of at most 16 MB finds them in a second scan.
     """
     spark = docs.sparkSession
-    light = stage(fingerprints(docs, id_col, text_col).withColumn("key", F.concat_ws(":", F.transform("fp", lambda x: x.cast("string")), F.col("n_bytes").cast("string"))), "dedup-fp")
+    light = stage(fingerprints(docs, id_col, text_col, fingerprint_of).withColumn("key", F.concat_ws(":", F.transform("fp", lambda x: x.cast("string")), F.col("n_bytes").cast("string"))), "dedup-fp")
     groups = light.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n > 1")
     size = groups.agg(F.count("*").alias("groups"), F.max("n").alias("most")).first()
     classes = None
@@ -170,7 +174,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bits = np.zeros(words, dtype=np.int64)
         bits[marks.column("w").to_numpy()] = marks.column("bits").to_numpy()
         id_type = docs.schema[id_col].dataType.simpleString()
-        marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_keep_marked(spark.sparkContext.broadcast(bits.view(np.uint64))), f"id {id_type}, fp {FP}, n_bytes long, sha string, data binary")
+        marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_keep_marked(spark.sparkContext.broadcast(bits.view(np.uint64)), fingerprint_of), f"id {id_type}, fp {FP}, n_bytes long, sha string, data binary")
         key = F.concat_ws(":", F.transform("fp", lambda x: x.cast("string")), F.col("n_bytes").cast("string"))
         salts = max(1, math.isqrt(size.most))
         first = marked.select(F.concat_ws("#", key, F.pmod(F.xxhash64("id"), F.lit(salts))).alias("key"), "sha", "data")

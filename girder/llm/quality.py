@@ -31,6 +31,10 @@ SAMPLE = 20_000
 DIMENSIONS = 1 << 14
 KEEP_AT = 0.5
 LABELLERS = ("symbols", "top_word", "distinct", "pipes", "runs", "sentences", "length")
+#: The first so many labellers look for defects; the others describe a document's form.
+DEFECTS = 5
+#: At most this share of good documents sets off a labeller of defects.
+FALSE_ALARMS = 0.001
 _SYMBOLS = b"#%*&$^~|<>{}[]\\_=+@"
 _ODD = bytes(set(range(128)) - set(_SYMBOLS)) + bytes(range(128, 256))
 _LETTERS = re.compile(rb"[A-Za-z\x80-\xff]+")
@@ -51,30 +55,35 @@ def votes(data: bytes) -> int:
     cut = lambda bad, good: 0 if bad else 2 if good else 1
     found = (
         cut(odd > 0.03, odd < 0.005), cut(n >= 20 and top > 0.25, n >= 20 and top < 0.12), cut(n >= 50 and len(counts) / n < 0.25, n >= 20 and len(counts) / n > 0.45),
-        cut(pipes > 0.1, False), cut(n >= 10 and runs > 0.2, n >= 10 and runs < 0.02), cut(ended < 0.1 and n >= 20, ended > 0.6), cut(n < 3, n >= 30))
+        cut(pipes > 0.1, pipes == 0), cut(n >= 10 and runs > 0.2, n >= 10 and runs < 0.02), cut(ended < 0.1 and n >= 20, ended > 0.6), cut(n < 3, n >= 30))
     return sum(v * 3**i for i, v in enumerate(found))
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[float, np.ndarray, np.ndarray]:
-    """Prior of good, P(vote | class) per labeller, and the posterior of each pattern, by EM from the majority vote."""
+    """Prior of good, P(vote | class, not abstaining) per labeller, and the posterior of each pattern, by EM.
+
+    An abstention says nothing.  It starts from the defects seen, and a defect's
+    labeller is held to few false alarms, so that the classes keep their meaning.
+    """
     v = np.stack([patterns // 3**i % 3 for i in range(len(LABELLERS))], axis=1)
-    good = sigmoid(1.5 * (v - 1).sum(axis=1) + 0.5)
+    good = sigmoid(3.0 - 4.0 * (v[:, :DEFECTS] == 0).sum(axis=1))
+    said = [(v == x).astype(float) for x in (0, 2)]
     for _ in range(rounds):
         prior = np.clip((good @ counts) / counts.sum(), 0.02, 0.98)
-        table_ = np.ones((len(LABELLERS), 2, 3))  # one vote of each kind to begin with
-        for i in range(len(LABELLERS)):
-            for x in range(3):
-                hit = (v[:, i] == x) * counts
-                table_[i, 1, x] += good @ hit
-                table_[i, 0, x] += (1 - good) @ hit
-        table_ /= table_.sum(axis=2, keepdims=True)
-        each = np.log(table_[np.arange(len(LABELLERS))[None, :], :, v]).sum(axis=1)
-        good = sigmoid(each[:, 1] - each[:, 0] + np.log(prior / (1 - prior)))
-    return float(prior), table_, good
+        rate = np.ones((len(LABELLERS), 2, 2))  # labeller, class, bad or good vote: one vote of each to begin with
+        for x in (0, 1):
+            rate[:, 1, x] += (good * counts) @ said[x]
+            rate[:, 0, x] += ((1 - good) * counts) @ said[x]
+        rate /= rate.sum(axis=2, keepdims=True)
+        rate[:DEFECTS, 1, 0] = np.minimum(rate[:DEFECTS, 1, 0], FALSE_ALARMS)
+        rate[:, 1, 1] = 1 - rate[:, 1, 0]
+        evidence = np.log(rate[:, 1, :] / rate[:, 0, :])
+        good = sigmoid(said[0] @ evidence[:, 0] + said[1] @ evidence[:, 1] + np.log(prior / (1 - prior)))
+    return float(prior), rate, good
 
 
 def shapes(data: bytes) -> tuple[list[int], list[float]]:
-    """Hashed places and values: word shapes, repeats of the word before, most frequent word; of unit length."""
+    """Hashed places and values: shares of word shapes, of repeats and of the most frequent word, and tenths of the plainest measures."""
     words = data.split()
     n = max(1, len(words))
     found = Counter(_DIGITS.sub(b"9", _LETTERS.sub(b"a", data)).split())
@@ -82,6 +91,10 @@ def shapes(data: bytes) -> tuple[list[int], list[float]]:
     rows[zlib.crc32(b"repeats") % DIMENSIONS] = sum(map(bytes.__eq__, words, words[1:])) / n
     rows[zlib.crc32(b"top") % DIMENSIONS] = max(Counter(words).values(), default=0) / n
     rows[zlib.crc32(b"length") % DIMENSIONS] = min(1.0, n / 50)
+    odd = len(data.translate(None, _ODD)) / max(1, len(data))
+    distinct = len(set(words)) / n if len(words) >= 50 else 1.0
+    for name, value in ((b"odd", min(odd * 10, 1.0)), (b"distinct", distinct), (b"top", rows[zlib.crc32(b"top") % DIMENSIONS] if len(words) >= 20 else 0.0)):
+        rows[zlib.crc32(name + b"%d" % (10 * value)) % DIMENSIONS] = 1.0  # tenths, so that a linear scorer can bend
     return [*rows], [*rows.values()]
 
 

@@ -89,40 +89,44 @@ def links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[keep], fps[label[keep]]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by key -> links (a, b), and of long postings rows (key, a) for the variants."""
-    held_key, held, long = None, np.array([], dtype=np.int64), False
-
-    def close() -> tuple:
-        if long or len(held) < 2:
-            return (), ()
-        a, b = links(np.unique(held).view(np.uint64))
-        return a.view(np.int64), b.view(np.int64)
-
-    for batch in batches:
-        key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        if not len(key):
-            continue
-        out_a, out_b, out_key, out_fp = [], [], [], []
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for s, e in zip(cuts, cuts[1:]):  # noqa: B905
-            if e - s == 1 and key[s] != held_key and 0 < s and e < len(key):
-                continue  # alone in its posting
-            if key[s] != held_key:
-                a, b = close()
-                out_a.extend(a)
-                out_b.extend(b)
-                held_key, held, long = key[s], fp[s:e], False
-            else:
-                held = np.concatenate([held, fp[s:e]])
-            if long or len(held) > RUN:
-                long = True
-                out_key.extend([held_key] * len(held))
-                out_fp.extend(held)
-                held = held[:0]
-        yield pa.RecordBatch.from_arrays([pa.array([None] * len(out_a) + out_key, pa.int64()), pa.array(out_a + out_fp, pa.int64()), pa.array(out_b + [None] * len(out_fp), pa.int64())], ["key", "a", "b"])
-    a, b = close()
-    yield pa.RecordBatch.from_arrays([pa.array([None] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
+def _verify(run: int):
+    """Postings sorted by key -> links (a, b), and of postings longer than ``run`` rows (key, a) for the variants."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held, long = None, np.array([], dtype=np.int64), False
+
+        def close() -> tuple:
+            if long or len(held) < 2:
+                return (), ()
+            a, b = links(np.unique(held).view(np.uint64))
+            return a.view(np.int64), b.view(np.int64)
+
+        for batch in batches:
+            key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            if not len(key):
+                continue
+            out_a, out_b, out_key, out_fp = [], [], [], []
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for s, e in zip(cuts, cuts[1:]):  # noqa: B905
+                if e - s == 1 and key[s] != held_key and 0 < s and e < len(key):
+                    continue  # alone in its posting
+                if key[s] != held_key:
+                    a, b = close()
+                    out_a.extend(a)
+                    out_b.extend(b)
+                    held_key, held, long = key[s], fp[s:e], False
+                else:
+                    held = np.concatenate([held, fp[s:e]])
+                if long or len(held) > run:
+                    long = True
+                    out_key.extend([held_key] * len(held))
+                    out_fp.extend(held)
+                    held = held[:0]
+            yield pa.RecordBatch.from_arrays([pa.array([None] * len(out_a) + out_key, pa.int64()), pa.array(out_a + out_fp, pa.int64()), pa.array(out_b + [None] * len(out_fp), pa.int64())], ["key", "a", "b"])
+        a, b = close()
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
+
+    return stream
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +145,13 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.array([], dtype=np.int64)) for x in rows], ["key", "variant", "fp"])
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """A row per row of docs: id, fingerprint (hex), component_id (smallest id reachable through links)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint, f"id {id_type}, fp long"), "simhash-fp")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("low"))
     posted = distinct.select("fp").mapInArrow(_post, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    met = stage(posted.mapInArrow(_verify, "key long, a long, b long"), "simhash-links")
+    met = stage(posted.mapInArrow(_verify(run), "key long, a long, b long"), "simhash-links")
     edges = met.filter(F.col("key").isNull()).select("a", "b")
     long = met.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("fp"))
     spread = long.mapInArrow(_variants, "key long, variant long, fp long")

@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are word and word-prefix counts whose presence in toxic documents is
-beyond chance.  Labels say toxic or not; toxic documents are graded 1 to 3 by
+beyond chance, counted by different words before them so that copies of a
+document do not add up.  Labels say toxic or not; toxic documents are graded 1 to 3 by
 terciles of how often such words occur in them.  One weight vector serves all
 thresholds: P(grade > k) = sigmoid(w.x - theta_k), theta rising; the expected
 severity is the sum over k.
@@ -15,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,35 +31,41 @@ from girder.llm.common import stage, table, utf8
 SAMPLE = 20_000
 FEATURES = 4096
 GRADES = 3
+#: Share of a feature's contexts that must be toxic.
+PURITY = 0.9
+#: From this probability of any grade above 0 a document is toxic: one telling word is enough.
+REJECT_AT = 0.15
 PREFIX = 5
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def features(data: bytes) -> Counter:
-    """Counts of lower-case words, and of the prefixes of longer ones (marked by ^)."""
-    out: Counter = Counter()
-    for w, n in Counter(data.translate(_CLEAN).split()).items():
-        out[w] += n
-        if len(w) > PREFIX:
-            out[b"^" + w[:PREFIX]] += n
-    return out
+def words(data: bytes) -> list[bytes]:
+    return data.translate(_CLEAN).split()
+
+
+def contexts(data: bytes) -> set[tuple[bytes, bytes]]:
+    """(feature, word before it) pairs of lower-case words and of the prefixes of longer ones (marked by ^)."""
+    mine = words(data)
+    out = set(zip(mine, [b"", *mine], strict=False))
+    return out | {(b"^" + w[:PREFIX], before) for w, before in out if len(w) > PREFIX}
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, text -> (feature, toxic) of each document once."""
+    """toxic, text -> (feature, hash of the word before, toxic) of each document once."""
     for b in batches:
         for at in range(0, b.num_rows, 200):
-            names, marks = [], []
+            names, befores, marks = [], [], []
             for toxic, data in zip(b.column(0).slice(at, 200).to_pylist(), utf8(b.column(1).slice(at, 200)), strict=True):
-                mine = features(data)
-                names.extend(mine)
+                mine = contexts(data)
+                names.extend(f for f, _ in mine)
+                befores.extend(zlib.crc32(w) for _, w in mine)
                 marks.extend([toxic] * len(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(marks, pa.int32())], ["feature", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(befores, pa.int64()), pa.array(marks, pa.int32())], ["feature", "before", "toxic"])
 
 
 def sparse(data: bytes, index: dict[bytes, int]) -> dict[int, int]:
     out: dict[int, int] = {}
-    for w, n in Counter(data.translate(_CLEAN).split()).items():
+    for w, n in Counter(words(data)).items():
         for f in (w, b"^" + w[:PREFIX]) if len(w) > PREFIX else (w,):
             if (i := index.get(f)) is not None:
                 out[i] = out.get(i, 0) + n
@@ -109,11 +117,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n_toxic or n_toxic == n_all:
         return Model([], np.zeros(0), np.full(GRADES, 40.0 if not n_toxic else -40.0))
     share = n_toxic / n_all
-    seen = rows.select("toxic", "text").mapInArrow(_seen, "feature binary, toxic int").groupBy("feature").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    # Copies repeat a word with the word before it; a telling word comes after many different ones.
+    seen = rows.select("toxic", "text").mapInArrow(_seen, "feature binary, before long, toxic int").groupBy("feature", "before").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
+    seen = seen.groupBy("feature").agg(F.sum("t").alias("t"), F.sum(F.col("t") + F.col("c")).alias("n"))
     seen = stage(seen.filter("n >= 3"), "toxic-features")
     t, n = F.col("t").cast("double"), F.col("n").cast("double")
     gain = t * F.log(t / (n * share)) + F.when(n > t, (n - t) * F.log((n - t) / (n * (1 - share)))).otherwise(0.0)
-    best = seen.filter(t > n / 2).select("feature", gain.alias("gain")).filter(F.col("gain") > math.log(max(2, seen.count()))).orderBy(F.desc("gain"), "feature").limit(FEATURES)
+    best = seen.filter(t >= PURITY * n).select("feature", gain.alias("gain")).filter(F.col("gain") > math.log(max(2, seen.count()))).orderBy(F.desc("gain"), "feature").limit(FEATURES)
     names = [bytes(r.feature) for r in best.collect()]
     index = {f: i for i, f in enumerate(names)}
 
@@ -143,7 +153,7 @@ def severity(model: Model, text: Column) -> Column:
     return score(text)
 
 
-def grade_docs(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def grade_docs(docs: DataFrame, labels: DataFrame, threshold: float = REJECT_AT) -> DataFrame:
     """docs with severity (0 to 3), p_toxic and toxic."""
     model = fit(docs, labels)
     out = docs.withColumn("_score", severity(model, F.col("text")))
