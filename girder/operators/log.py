@@ -70,8 +70,11 @@ def settle_outbox(rows: DataFrame, acks: DataFrame, now: Column) -> DataFrame:
     mine = F.coalesce((F.col("status") == "processing") & token, F.lit(False))
     status = F.when(mine & F.col("ok"), "published").when(mine & (F.col("attempts") >= 5), "dead").when(mine, "pending").otherwise(F.col("status"))
     available = F.when(mine & ~F.col("ok"), now + F.make_interval(secs=F.greatest(F.lit(1), F.coalesce("delay_seconds", F.lit(5))))).otherwise(F.col("available_at"))
-    out = joined.withColumns({"last_error": F.when(mine & F.col("ok"), None).when(mine, F.substring("error", 1, 1000)).otherwise(F.col("last_error")), "available_at": available, "published_at": F.when(mine & F.col("ok"), now).otherwise(F.col("published_at"))})
-    return out.withColumn("version", F.when(mine, F.col("version") + 1).otherwise(F.col("version"))).withColumn("status", status).select(*rows.columns)
+    new = {
+        "status": status, "available_at": available, "version": F.when(mine, F.col("version") + 1).otherwise(F.col("version")),
+        "last_error": F.when(mine & F.col("ok"), None).when(mine, F.substring("error", 1, 1000)).otherwise(F.col("last_error")), "published_at": F.when(mine & F.col("ok"), now).otherwise(F.col("published_at")),
+    }
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns])  # at once: each reads the old values
 
 
 def last_attempts(steps: DataFrame, key: str = "run_id", position: str = "position", order: str = "ord") -> DataFrame:

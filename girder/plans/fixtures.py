@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import domain as D
@@ -26,13 +26,18 @@ def sql_material(value: str) -> str:
 
 
 PRICE_SQL = """price AS (
-  SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord,
+  SELECT (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::BIGINT AS ord,
          ['HRB400 钢筋', '商砼', '机制砂', 'p.o42.5 水泥', '热轧卷板', '盘条', '电解铜', '玻璃'][p_partkey % 8 + 1] AS material, p_brand AS spec, s_name AS market,
          l_extendedprice / l_quantity / 10 AS price_low, l_extendedprice / l_quantity / 10 * (1 + l_discount) AS price_high,
          ['元/m3', '元/吨', '', '元/平方米'][s_suppkey % 4 + 1] AS unit, strftime(l_shipdate, '%m-%d') AS price_date, l_returnflag AS source, l_shipdate AS updated_at
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)"""
 
 
+def _ord() -> Column:
+    """An order of line items without ties: order and line number do not tell them apart."""
+    return (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
+
+
 def price_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
@@ -41,12 +46,12 @@ def price_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, key: F.get(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int"))
     low = F.col("l_extendedprice") / F.col("l_quantity") / 10
     return rows.select(
-        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("ord"), pick(RAW_MATERIALS, "p_partkey").alias("material"), F.col("p_brand").alias("spec"), F.col("s_name").alias("market"),
+        _ord().alias("ord"), pick(RAW_MATERIALS, "p_partkey").alias("material"), F.col("p_brand").alias("spec"), F.col("s_name").alias("market"),
         low.alias("price_low"), (low * (1 + F.col("l_discount"))).alias("price_high"), pick(RAW_UNITS, "s_suppkey").alias("unit"), F.date_format("l_shipdate", "MM-dd").alias("price_date"), F.col("l_returnflag").alias("source"), F.col("l_shipdate").alias("updated_at"))
 
 
 ITEM_SQL = """item AS (
-  SELECT l_orderkey AS order_no, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, p_type AS material_name, (l_quantity - 1)::DOUBLE AS quantity,
+  SELECT l_orderkey AS order_no, (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::BIGINT AS ord, p_type AS material_name, (l_quantity - 1)::DOUBLE AS quantity,
          l_extendedprice / l_quantity / 10 AS unit_price, CASE WHEN l_linenumber % 5 = 0 THEN '方' ELSE '吨' END AS unit,
          CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE p_retailprice END AS market_price, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE '元/吨' END AS market_unit
   FROM lineitem JOIN part ON p_partkey = l_partkey)"""
@@ -56,7 +61,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     quoted = F.col("l_linenumber") % 3 != 0
     return rows.select(
-        F.col("l_orderkey").alias("order_no"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("ord"), F.col("p_type").alias("material_name"), (F.col("l_quantity") - 1).alias("quantity"),
+        F.col("l_orderkey").alias("order_no"), _ord().alias("ord"), F.col("p_type").alias("material_name"), (F.col("l_quantity") - 1).alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity") / 10).alias("unit_price"), F.when(F.col("l_linenumber") % 5 == 0, "方").otherwise("吨").alias("unit"), F.when(quoted, F.col("p_retailprice")).alias("market_price"), F.when(quoted, "元/吨").alias("market_unit"))
 
 

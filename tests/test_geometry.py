@@ -178,7 +178,7 @@ def test_merging_and_overlaps():
 def test_greedy():
     pairs = [{"a": 1, "b": 2, "distance": 0.2, "overlap": 2, "lo": 0, "hi": 2, "b_lo": 0, "b_hi": 2}, {"a": 1, "b": 3, "distance": 0.3, "overlap": 2, "lo": 2, "hi": 4, "b_lo": 0, "b_hi": 2}, {"a": 1, "b": 4, "distance": 0.4, "overlap": 2, "lo": 1, "hi": 3, "b_lo": 0, "b_hi": 2}]
     assert [p["b"] for p in ordered.consume_intervals(pairs, 0.0)] == [2, 3]
-    assert ordered.opening_bridges([wall(0, 0, 1, 0), wall(2, 0, 3, 0), wall(3.1, 0, 4, 0)]) == [{"x1": 1.0, "y1": 0.0, "x2": 2.0, "y2": 0.0, "gap": 1.0}]
+    assert ordered.opening_bridges([wall(0, 0, 1, 0), wall(2, 0, 3, 0), wall(3.1, 0.5, 3.1, 4)]) == [{"x1": 1.0, "y1": 0.0, "x2": 2.0, "y2": 0.0, "gap": 1.0}]
     s = ordered.shear_walls([wall(0, 0, 4, 0), wall(0, 0.3, 4, 0.3), wall(0, 5, 4, 5)])
     assert [(round(w["thickness"]), w["shear"]) for w in s] == [(300, True), (200, False)]
     assert ordered.axis_transforms([0.0, 1.0, 3.0], [10.0, 12.0, 16.0], 1.0)[0][:3] == (2.0, 10.0, 3)
