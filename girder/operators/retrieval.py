@@ -32,30 +32,32 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", quer
 
     Term frequency is a substring count in the lower-cased text, while document
     frequency and length go by tokens; tokens of 3 and more characters weigh 2.
-    Queries are a small stated set: their distinct tokens are packed into one
-    array that every document row is scored against in place, so documents are
-    read once and never shuffled.
+
+    A token's characters are all alphanumeric or all CJK, so its occurrences lie
+    within such runs.  Documents become counts of their runs; each distinct run is
+    matched once against the (stated, small) set of query tokens, and the counts
+    meet the matches in an equi join.  No text is searched once per token.
     """
     terms = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(T.lexical_tokens(F.col(query_text)))).alias("token"))
     wanted = terms.select("token").distinct()
     tokens = T.lexical_tokens(F.col(text))
-    # One scan gives the count, the total length and the frequency of the wanted tokens.
     df = docs.select(F.explode(F.array_distinct(tokens)).alias("token")).join(fit_for_broadcast(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     size = corpus_size(docs, F.col(text))
-    weighted = df.crossJoin(F.broadcast(size)).select("token", (F.when(F.length("token") >= 3, 2.0).otherwise(1.0) * F.log(1 + (F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"), "avg_length")
-    table = weighted.agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("table"), F.first("avg_length").alias("avg_length"))
-    low, length = F.lower(F.col(text)), F.greatest(F.lit(1), F.size(tokens))
-    scored = docs.select(F.col(key).alias("doc_key"), low.alias("low"), length.alias("len")).crossJoin(F.broadcast(table))
-
-    # Tokens are looked for first: most are not there, and counting is dearer than finding.
-    found = F.filter("table", lambda t: F.contains("low", t["token"]))
-    hits = scored.select("doc_key", "low", "len", "avg_length", F.explode(found).alias("t"))
-    tf = (F.length("low") - F.length(F.replace(F.col("low"), F.col("t.token"), F.lit("")))) / F.length("t.token")
-    hits = hits.select("doc_key", "t.token", "t.weight", "len", "avg_length", tf.alias("tf"))
+    weights = df.crossJoin(F.broadcast(size)).select("token", (F.when(F.length("token") >= 3, 2.0).otherwise(1.0) * F.log(1 + (F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"), "avg_length")
+
+    low = F.lower(F.col(text))
+    runs = docs.select(F.col(key).alias("doc_key"), F.explode(F.regexp_extract_all(low, F.lit("[a-z0-9]+|[一-龥]+"), F.lit(0))).alias("run")).groupBy("doc_key", "run").agg(F.count("*").alias("n"))
+    # A run that holds a token holds its first two characters: an equi join on those leaves few pairs to search.
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - 1, F.lit(1))), lambda i: F.substring(F.col("run"), i, 2)))
+    first_two = wanted.select("token", F.substring("token", 1, 2).alias("pair"))
+    held = runs.select("run").distinct().select("run", F.explode(pairs).alias("pair")).join(fit_for_broadcast(first_two), "pair").filter(F.contains("run", F.col("token"))).select("run", "token")
+    matches = held.withColumn("times", ((F.length("run") - F.length(F.replace(F.col("run"), F.col("token"), F.lit("")))) / F.length("token")).cast("long"))
+    tf = runs.join(matches, "run").groupBy("doc_key", "token").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("tf"))
+    lengths = docs.select(F.col(key).alias("doc_key"), F.greatest(F.lit(1), F.size(tokens)).alias("len"))
+    hits = tf.join(fit_for_broadcast(weights), "token").join(lengths, "doc_key")
     part = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_length"))))
-    hits = hits.select("doc_key", "token", part.alias("part"))
     # Summed in the order of the tokens, so that equal documents get equal scores.
-    parts = hits.join(fit_for_broadcast(terms), "token").groupBy("query_id", "doc_key").agg(F.array_sort(F.collect_list(F.struct("token", "part"))).alias("parts"))
+    parts = hits.select("doc_key", "token", part.alias("part")).join(fit_for_broadcast(terms), "token").groupBy("query_id", "doc_key").agg(F.array_sort(F.collect_list(F.struct("token", "part"))).alias("parts"))
     return parts.select("query_id", "doc_key", F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"]).alias("score"))
 
 
