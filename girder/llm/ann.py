@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from girder.llm.common import table
+from girder.llm.common import lean, table
 
 DEGREE = 24
 BUILD_BEAM = 40
@@ -206,7 +206,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     asks = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select((length + F.col("part")).alias("shard"), F.lit(1).alias("asks"), "id", "v")
     both = kept.unionByName(asks)
     dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asks", "id")
-    found = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(lean(_search(k)), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import table
+from girder.llm.common import lean, table
 
 END = "</w>"
 #: White space of the vocabulary's pattern, and the pattern with it written out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
-#: Words a worker remembers before it starts afresh; pairs of tokens are kept four times as long.
-REMEMBER = 1_000_000
+#: Words, and pairs of tokens, that a worker remembers (about 60 MB); beyond, it keeps what the batch at hand uses.
+REMEMBER = 250_000
 NEVER = 1 << 30
 
 
@@ -134,7 +134,7 @@ class TrieBPE:
 
     def learn(self, words: set[str]) -> None:
         """Encode new words in the order of their trie."""
-        if len(self.fits) > 4 * REMEMBER:
+        if len(self.fits) > REMEMBER:
             self.fits.clear()
         packed, known, last_token = self.packed, self.known, self.last_token
         before, states = "", [""]
@@ -182,11 +182,15 @@ class TrieBPE:
                     words.update(p)
         new = words.difference(known)
         if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = words
+            known = self.known = {w: known[w] for w in words if w in known}
         self.learn(new)
         return [b"".join([b"".join(map(known.__getitem__, p)) if isinstance(p, list) else p for p in parts]) for parts in split]
 
+    def forget(self) -> None:
+        """Keep the vocabulary only: a worker's next task may be of another operator."""
+        self.known.clear()
+        self.fits.clear()
+
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
@@ -222,10 +226,11 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                     cols += [pa.array(rows[3], pa.list_(pa.int32())), pa.array(rows[4], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        enc.forget()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def vocabulary() -> str:

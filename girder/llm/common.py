@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and the files outlive executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +71,33 @@ def squeeze(data: bytes) -> bytes:
     return data
 
 
+def lean(run):
+    """A batch function that hands memory back when its task ends: Python workers live on, and their pools with them."""
+
+    @functools.wraps(run)
+    def lean_run(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return lean_run
+
+
+def slices(part, rows: int = 500):
+    """A batch or column in pieces, so that only one piece's texts are Python objects at a time."""
+    for at in range(0, len(part), rows):
+        yield part.slice(at, rows)
+
+
 def utf8(column) -> list[bytes]:
     """The bytes of an Arrow string column; null counts as empty."""
     import pyarrow as pa

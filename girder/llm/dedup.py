@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import squeeze, stage, table, utf8
+from girder.llm.common import lean, slices, squeeze, stage, table, utf8
 
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], dtype=np.int64)
 BASES = np.array([911382323, 972663749, 357571093, 1291677323], dtype=np.int64)
@@ -82,7 +82,7 @@ def _light(fingerprint_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sha, fp, parts = [], [], [], []
-            for raw in utf8(b.column(2)):
+            for raw in (x for part in slices(b.column(2)) for x in utf8(part)):
                 data = squeeze(raw)
                 n.append(len(data))
                 sha.append(hashlib.sha256(data).hexdigest())
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """rid, id, n_bytes, sha, fp of each row, staged; rid tells rows apart from then on."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    light = stage(rows.mapInArrow(_light(fingerprint_of), f"rid long, id {id_type}, n_bytes long, sha string, fp {FP}, parts array<struct<k: long, data: binary>>"), "dedup-light")
+    light = stage(rows.mapInArrow(lean(_light(fingerprint_of)), f"rid long, id {id_type}, n_bytes long, sha string, fp {FP}, parts array<struct<k: long, data: binary>>"), "dedup-light")
     parts = light.filter(F.col("fp").isNull()).select("rid", F.explode("parts").alias("p")).select("rid", "p.k", "p.data").repartition("rid", "k")
     hashed = parts.mapInArrow(_hash_parts, f"rid long, k long, h {FP}, s {FP}").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "h", "s"))).alias("hs"))
     fold = lambda i: F.aggregate("hs", F.lit(0).cast("long"), lambda acc, x: (acc * x["s"][i] + x["h"][i]) % int(PRIMES[i]))
@@ -121,7 +121,7 @@ def _keep_marked(bits, fingerprint_of):
         m = len(table_bits) * 64
         for b in batches:
             rows = [[], [], [], [], []]
-            for ident, raw in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+            for ident, raw in ((i, x) for part in slices(b) for i, x in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True)):
                 data = squeeze(raw)
                 fp = fingerprint_of(data)
                 at = int(fp[0]) % m
@@ -174,13 +174,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bits = np.zeros(words, dtype=np.int64)
         bits[marks.column("w").to_numpy()] = marks.column("bits").to_numpy()
         id_type = docs.schema[id_col].dataType.simpleString()
-        marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_keep_marked(spark.sparkContext.broadcast(bits.view(np.uint64)), fingerprint_of), f"id {id_type}, fp {FP}, n_bytes long, sha string, data binary")
+        marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_keep_marked(spark.sparkContext.broadcast(bits.view(np.uint64)), fingerprint_of)), f"id {id_type}, fp {FP}, n_bytes long, sha string, data binary")
         key = F.concat_ws(":", F.transform("fp", lambda x: x.cast("string")), F.col("n_bytes").cast("string"))
         salts = max(1, math.isqrt(size.most))
         first = marked.select(F.concat_ws("#", key, F.pmod(F.xxhash64("id"), F.lit(salts))).alias("key"), "sha", "data")
-        first = first.repartition("key").sortWithinPartitions("key").mapInArrow(_classes, "key string, sha string, cls int, data binary")
+        first = first.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_classes), "key string, sha string, cls int, data binary")
         second = first.select(F.substring_index("key", "#", 1).alias("key"), "sha", "data")
-        second = second.repartition("key").sortWithinPartitions("key").mapInArrow(_classes, "key string, sha string, cls int, data binary")
+        second = second.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_classes), "key string, sha string, cls int, data binary")
         classes = stage(second.select("key", "sha", "cls").filter("cls > 0"), "dedup-classes")  # a leader per text; more than one only where fingerprints collide
     if classes is not None:
         light = light.join(classes, ["key", "sha"], "left").withColumn("cls", F.coalesce("cls", F.lit(0)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import stage, table, utf8
+from girder.llm.common import slices, stage, table, utf8
 from girder.llm.toxicity import sigmoid
 
 #: The scorer is fitted on at most so many documents (those of smallest hash); features are hashed to so many places.
@@ -115,12 +115,13 @@ def grade_quality(docs: DataFrame, keep_at: float = KEEP_AT, sample: int = SAMPL
 
     @F.arrow_udf("int")
     def vote(texts: pa.Array) -> pa.Array:
-        return pa.array([votes(x) for x in utf8(texts)], pa.int32())
+        return pa.array([votes(x) for part in slices(texts) for x in utf8(part)], pa.int32())
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = [shapes(x) for x in utf8(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([votes(x) for x in utf8(b.column(0))], pa.int32()), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.float64()))], ["pattern", "cols", "vals"])
+            seen = [(votes(x), shapes(x)) for part in slices(b.column(0)) for x in utf8(part)]
+            both = [x for _, x in seen]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in seen], pa.int32()), pa.array([x for x, _ in both], pa.list_(pa.int32())), pa.array([x for _, x in both], pa.list_(pa.float64()))], ["pattern", "cols", "vals"])
 
     tallied = docs.select(vote("text").alias("pattern")).groupBy("pattern").count().orderBy("pattern").collect()
     if not tallied:
@@ -139,12 +140,12 @@ def grade_quality(docs: DataFrame, keep_at: float = KEEP_AT, sample: int = SAMPL
 
     @F.arrow_udf("struct<weak: double, quality: double>")
     def score(texts: pa.Array) -> pa.Array:
-        data = utf8(texts)
-        z = []
-        for x in data:
+        z, posterior = [], []
+        for x in (x for part in slices(texts) for x in utf8(part)):
             places, values = shapes(x)
             z.append(b + sum(weights.get(p, 0.0) * v for p, v in zip(places, values, strict=True)))
-        return pa.StructArray.from_arrays([pa.array([weak[votes(x)] for x in data], pa.float64()), pa.array(sigmoid(np.array(z, dtype=float)), pa.float64())], ["weak", "quality"])
+            posterior.append(weak[votes(x)])
+        return pa.StructArray.from_arrays([pa.array(posterior, pa.float64()), pa.array(sigmoid(np.array(z, dtype=float)), pa.float64())], ["weak", "quality"])
 
     out = docs.withColumn("_score", score("text"))
     return out.withColumn("weak", F.col("_score.weak")).withColumn("quality", F.col("_score.quality")).withColumn("keep", F.col("_score.quality") >= keep_at).drop("_score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import stage, table, utf8
+from girder.llm.common import lean, slices, stage, table, utf8
 from girder.llm.graph import components
 
 BITS = 4
@@ -61,7 +61,7 @@ def simhash(data: bytes, width: int = SHINGLE) -> int:
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.array([simhash(x) for x in utf8(b.column(1))], dtype=np.uint64).view(np.int64)
+        fp = np.array([simhash(x) for part in slices(b.column(1)) for x in utf8(part)], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
 
@@ -148,10 +148,10 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """A row per row of docs: id, fingerprint (hex), component_id (smallest id reachable through links)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint, f"id {id_type}, fp long"), "simhash-fp")
+    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_fingerprint), f"id {id_type}, fp long"), "simhash-fp")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    posted = distinct.select("fp").mapInArrow(_post, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    met = stage(posted.mapInArrow(_verify(run), "key long, a long, b long"), "simhash-links")
+    posted = distinct.select("fp").mapInArrow(lean(_post), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    met = stage(posted.mapInArrow(lean(_verify(run)), "key long, a long, b long"), "simhash-links")
     edges = met.filter(F.col("key").isNull()).select("a", "b")
     long = met.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("fp"))
     spread = long.mapInArrow(_variants, "key long, variant long, fp long")

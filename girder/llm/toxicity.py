@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import stage, table, utf8
+from girder.llm.common import lean, slices, stage, table, utf8
 
 #: The model is fitted on at most so many labelled documents (those of smallest hash), with so many features.
 SAMPLE = 20_000
@@ -53,9 +53,9 @@ def contexts(data: bytes) -> set[tuple[bytes, bytes]]:
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """toxic, text -> (feature, hash of the word before, toxic) of each document once."""
     for b in batches:
-        for at in range(0, b.num_rows, 200):
+        for part in slices(b, 50):
             names, befores, marks = [], [], []
-            for toxic, data in zip(b.column(0).slice(at, 200).to_pylist(), utf8(b.column(1).slice(at, 200)), strict=True):
+            for toxic, data in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
                 mine = contexts(data)
                 names.extend(f for f, _ in mine)
                 befores.extend(zlib.crc32(w) for _, w in mine)
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], np.zeros(0), np.full(GRADES, 40.0 if not n_toxic else -40.0))
     share = n_toxic / n_all
     # Copies repeat a word with the word before it; a telling word comes after many different ones.
-    seen = rows.select("toxic", "text").mapInArrow(_seen, "feature binary, before long, toxic int").groupBy("feature", "before").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
+    seen = rows.select("toxic", "text").mapInArrow(lean(_seen), "feature binary, before long, toxic int").groupBy("feature", "before").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
     seen = seen.groupBy("feature").agg(F.sum("t").alias("t"), F.sum(F.col("t") + F.col("c")).alias("n"))
     seen = stage(seen.filter("n >= 3"), "toxic-features")
     t, n = F.col("t").cast("double"), F.col("n").cast("double")
@@ -129,10 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sparse(x, index) for x in utf8(b.column(1))]
+            found = [sparse(x, index) for part in slices(b.column(1)) for x in utf8(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[*x] for x in found], pa.list_(pa.int32())), pa.array([[*x.values()] for x in found], pa.list_(pa.int32()))], ["toxic", "cols", "vals"])
 
-    got = rows.select("toxic", "text").mapInArrow(matrix, "toxic int, cols array<int>, vals array<int>").collect()
+    got = rows.select("toxic", "text").mapInArrow(lean(matrix), "toxic int, cols array<int>, vals array<int>").collect()
     toxic, hits = np.array([r.toxic for r in got]), np.array([sum(r.vals) for r in got])
     cuts = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + (hits > cuts[0]) + (hits > cuts[1]), 0)
@@ -147,7 +147,7 @@ def severity(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("struct<severity: double, p_toxic: double>")
     def score(texts: pa.Array) -> pa.Array:
-        ps = [model.above(x) for x in utf8(texts)]
+        ps = [model.above(x) for part in slices(texts) for x in utf8(part)]
         return pa.StructArray.from_arrays([pa.array([float(p.sum()) for p in ps], pa.float64()), pa.array([float(p[0]) for p in ps], pa.float64())], ["severity", "p_toxic"])
 
     return score(text)

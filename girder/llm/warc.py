@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import new_path, table, utf8
+from girder.llm.common import lean, new_path, table, utf8
 
 DATE = "2024-01-01T00:00:00Z"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -98,8 +98,8 @@ def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, recor
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     firsts = pages.select("page_id", F.sha1(html).alias("sha"), F.length(html).alias("n")).filter(F.col("n") >= min_revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"))
-    made = pages.select("page_id", "url", "html").mapInArrow(_responses, "page_id long, url string, sha string, digest string, n long, member binary")
-    rows = made.join(firsts, "sha", "left").select("page_id", "url", "digest", "n", "member", "first").mapInArrow(_finish, "value binary")
+    made = pages.select("page_id", "url", "html").mapInArrow(lean(_responses), "page_id long, url string, sha string, digest string, n long, member binary")
+    rows = made.join(firsts, "sha", "left").select("page_id", "url", "digest", "n", "member", "first").mapInArrow(lean(_finish), "value binary")
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -197,7 +197,7 @@ def _read(keep_payload: bool):
 def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """Records and quarantined gaps (``gap`` says why) of the archives under ``path``."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_read(keep_payload), _READ)
+    return files.mapInArrow(lean(_read(keep_payload)), _READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
