@@ -260,7 +260,7 @@ def with_defaults(kind: Column, width: Column, depth: Column) -> Column:
 def text_elements(text: Column) -> Column:
     """Array of struct(ifc_type, name, thickness, elevation, material, confidence, element_key) of the component lines in a drawing's text.
 
-    Unknown types are skipped.  element_key is a hash of the line (the reference form is a name-based UUID, see sources.drawings).
+    Unknown types are skipped.  element_key is a hash of the line; sources.drawings.line_id gives a name-based UUID instead.
     """
     line = r"\[[^\]]+\]\s*名称\s*[:：]\s*[^;；\n]+(?:\s*[;；]\s*厚度\s*[:：]\s*[^;；\n]+)?(?:\s*[;；]\s*标高\s*[:：]\s*[^;；\n]+)?(?:\s*[;；]\s*材料\s*[:：]\s*[^;；\n]+)?"
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(line), F.lit(0))

@@ -16,11 +16,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back; the files outlive executors and go when the driver's Python ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; it goes when the driver's Python ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _staged.append((spark, path))
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` and read it back; the files outlive executors."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
