@@ -2,60 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import functools
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from girder.plans.staging import new_path, stage
+from girder.plans.tables import table
+
+__all__ = ["lean", "new_path", "slices", "squeeze", "stage", "table", "utf8", "word_count"]
+
 #: Words are maximal runs without ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 _TO_SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it goes when the driver's Python ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and the files outlive executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(paths: set[str] | None = None) -> None:
-    """Delete staged tables: those given, else all."""
-    for item in list(_staged):
-        spark, path = item
-        if paths is not None and path not in paths:
-            continue
-        try:
-            jvm, sc = spark._jvm, spark.sparkContext
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: nothing is left to ask
-            pass
-        _staged.remove(item)
-
-
-atexit.register(drop_staged)
 
 
 def word_count(text: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.llm.common import lean, slices, stage, table, utf8
-from girder.llm.graph import components
+from girder.operators.graph import components
 
 BITS = 4
 SHINGLE = 4
