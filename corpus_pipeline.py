@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from girder.llm import bpe, dedup, mixing, simhash, toxicity
 from girder.llm.common import stage, table
 
+#: Number of a row within a stage.
+ROW = "_row"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go."""
@@ -20,25 +23,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return graded.filter(~F.col("toxic")).select(docs.columns)
 
 
+def _tagged(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written to the shared folder so that it stays: ids may be null or repeated."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-tagged")
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose (unique) place in ``kept`` says so; ids are the key."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    """The rows of tagged docs that are in ``kept``."""
+    return docs.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
-    return _only(docs, dedup.exact_groups(docs).filter("kept"))
+    tagged = _tagged(docs)
+    return _only(tagged, dedup.exact_groups(tagged, row_col=ROW).filter("kept").withColumnRenamed("rid", ROW))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays: that of the smallest doc_id."""
-    return _only(docs, simhash.near_groups(docs).filter("doc_id = component_id"))
+    tagged = _tagged(docs)
+    return _only(tagged, simhash.near_groups(tagged, row_col=ROW).filter("kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, F.array("source")).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(mixed, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    tagged = _tagged(docs)
+    mixed = mixing.mix(tagged, F.array("source"), row_col=ROW).filter("copies > 0").select(ROW, "copies")
+    return tagged.join(mixed, ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,10 +100,10 @@ def _hash_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hash_chunk(x).tolist() for x in data], pa.list_(pa.int64())), pa.array([shift(len(x)).tolist() for x in data], pa.list_(pa.int64()))], ["rid", "k", "h", "s"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint_of=fingerprint) -> DataFrame:
-    """rid, id, n_bytes, sha, fp of each row, staged; rid tells rows apart from then on."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint_of=fingerprint, row_col: str | None = None) -> DataFrame:
+    """rid, id, n_bytes, sha, fp of each row, staged; rid (``row_col`` of docs, if given) tells rows apart from then on."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     light = stage(rows.mapInArrow(lean(_light(fingerprint_of)), f"rid long, id {id_type}, n_bytes long, sha string, fp {FP}, parts array<struct<k: long, data: binary>>"), "dedup-light")
     parts = light.filter(F.col("fp").isNull()).select("rid", F.explode("parts").alias("p")).select("rid", "p.k", "p.data").repartition("rid", "k")
     hashed = parts.mapInArrow(_hash_parts, f"rid long, k long, h {FP}, s {FP}").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "h", "s"))).alias("hs"))
@@ -156,14 +156,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.large_binary())], ["key", "sha", "cls", "data"])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint_of=fingerprint) -> DataFrame:
-    """A row per row of docs: id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprint_of=fingerprint, row_col: str | None = None) -> DataFrame:
+    """A row per row of docs: id, keep_id, group_size, kept, text_sha256, n_bytes, rid (``row_col`` of docs, if given).
 
     What crosses the network with its text is only rows that share a fingerprint
     with another; a bit filter of at most 16 MB finds them in a second scan.
     """
     spark = docs.sparkSession
-    light = stage(fingerprints(docs, id_col, text_col, fingerprint_of).withColumn("key", F.concat_ws(":", F.transform("fp", lambda x: x.cast("string")), F.col("n_bytes").cast("string"))), "dedup-fp")
+    light = stage(fingerprints(docs, id_col, text_col, fingerprint_of, row_col).withColumn("key", F.concat_ws(":", F.transform("fp", lambda x: x.cast("string")), F.col("n_bytes").cast("string"))), "dedup-fp")
     groups = light.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("fp")).filter("n > 1")
     size = groups.agg(F.count("*").alias("groups"), F.max("n").alias("most")).first()
     classes = None

@@ -122,13 +122,13 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = 3) ->
         left[end] -= push
 
 
-def mix(docs: DataFrame, members: F.Column, *, id_col: str = "doc_id", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, members: F.Column, *, id_col: str = "doc_id", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = SEED, row_col: str | None = None) -> DataFrame:
     """How often each document is taken so that sources meet their target weights.
 
     members: array<string> of the sources that hold the document.  Weights go to
     the sources by code point, repeating, null last.  Returns a row per document:
     id, members, size, copies (0 to ``repeats``), taken = copies * size, targets
-    and source_sizes (arrays along members), and ``by_source`` (copies per member).
+    and source_sizes (arrays along members), ``by_source`` (copies per member), and ``row_col`` of docs, if given.
 
     Positions along the seeded order come from 4096 hash buckets per pattern and
     a window inside each bucket, so a hot source is spread over thousands of
@@ -136,10 +136,11 @@ def mix(docs: DataFrame, members: F.Column, *, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     ident = F.col(id_col)
+    carried = [row_col] if row_col else []
     base = docs.select(
         ident.alias("id"), word_count(F.col(text_col)).alias("size"),
         F.array_sort(F.array_distinct(members)).alias("members"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary")).alias("h"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary")).alias("h"), *carried,
     ).withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"})).withColumn("bucket", F.substring("h", 1, 3))
     base = stage(base, "mix-base")
     sums = base.groupBy("pattern", "members").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
@@ -190,7 +191,7 @@ def mix(docs: DataFrame, members: F.Column, *, id_col: str = "doc_id", text_col:
     owners = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), owner)).otherwise(F.array().cast("array<int>"))
     by_source = F.transform("members", lambda s, i: F.size(F.filter("owners", lambda o: o == i)))
     return placed.withColumn("copies", copies).withColumn("owners", owners).select(
-        F.col("id").alias(id_col), "members", "size", "source_sizes", "targets", "copies", (F.col("copies") * F.col("size")).alias("taken"), by_source.alias("by_source"))
+        F.col("id").alias(id_col), "members", "size", "source_sizes", "targets", "copies", (F.col("copies") * F.col("size")).alias("taken"), by_source.alias("by_source"), *carried)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def simhash(data: bytes, width: int = SHINGLE) -> int:
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([simhash(x) for part in slices(b.column(1)) for x in utf8(part)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), b.column(2)], ["id", "fp", "rid"])
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +145,17 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.array([], dtype=np.int64)) for x in rows], ["key", "variant", "fp"])
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """A row per row of docs: id, fingerprint (hex), component_id (smallest id reachable through links)."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, row_col: str | None = None) -> DataFrame:
+    """A row per row of docs: id, fingerprint (hex), component_id (smallest id reachable through links).
+
+    With ``row_col``, a long that tells rows apart, also that column and ``kept``:
+    true for one row of each component, that of the smallest id, null last.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_fingerprint), f"id {id_type}, fp long"), "simhash-fp")
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    row = F.col(row_col) if row_col else F.lit(None)
+    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row.cast("long").alias("rid")).mapInArrow(lean(_fingerprint), f"id {id_type}, fp long, rid long"), "simhash-fp")
+    low = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid") if row_col else F.col("id")
+    distinct = rows.groupBy("fp").agg(F.min(low).alias("low"))
     posted = distinct.select("fp").mapInArrow(lean(_post), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
     met = stage(posted.mapInArrow(lean(_verify(run)), "key long, a long, b long"), "simhash-links")
     edges = met.filter(F.col("key").isNull()).select("a", "b")
@@ -158,9 +164,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = spread.join(spread.groupBy("key", "variant").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1"), ["key", "variant"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")
     comp = components(edges.unionByName(stars))
     labelled = distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    lows = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_fp = labelled.join(lows, "label").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    lows = labelled.groupBy("label").agg(F.min("low").alias("first"))
+    by_fp = labelled.join(lows, "label").select("fp", "first")
+    out = [F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id" if row_col else "first").alias("component_id")]
+    if row_col:
+        out += [F.col("rid").alias(row_col), (F.col("rid") == F.col("first.rid")).alias("kept")]
+    return rows.join(by_fp, "fp").select(*out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

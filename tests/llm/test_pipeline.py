@@ -1,16 +1,18 @@
 """The pipeline against a brute-force version of each of its stages on the smallest tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from girder.llm import bpe, mixing, toxicity
 from girder.llm.common import table
 from tests.conftest import DATA
-from tests.llm.test_operators import brute_components, slow_simhash
+from tests.llm.test_operators import brute_components, docs, slow_simhash
 
 
 def test_stages(spark):
@@ -58,3 +60,26 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    """Each stage decides by row: rows without an id stay, and rows that share one are told apart."""
+    rng = random.Random(5)
+    fresh = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    a, b, c, d, e = (fresh() for _ in range(5))
+    rows = [(None, a, "x"), (None, b, "x"), (7, c, "x"), (7, c, "x"), (8, d, "y"), (8, e, "y"), (None, e, "y"), (None, a, None)]
+    made = docs(spark, rows)
+    texts = lambda out: sorted((r.text, -1 if r.doc_id is None else r.doc_id) for r in out.collect())
+    whole = sorted((t, -1 if i is None else i) for i, t, _ in rows)
+    once = sorted([(a, -1), (b, -1), (c, 7), (d, 8), (e, 8)])
+    assert texts(corpus_pipeline.drop_toxic(spark, made, DATA)) == whole
+    assert texts(corpus_pipeline.drop_exact(spark, made, DATA)) == once
+    assert texts(corpus_pipeline.drop_near(spark, made, DATA)) == once
+    mixed = mixing.mix(made, F.array("source")).collect()
+    want = Counter()
+    for r in mixed:
+        want[r.doc_id, r.members[0]] += r.copies
+    got = Counter((r.doc_id, r.source) for r in corpus_pipeline.mix_sources(spark, made, DATA).collect())
+    assert got == +want and any(i is None for i, _ in got)
+    assert max(Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs(spark, [(7, c, "x")] * 4), DATA).collect()).values()) <= 12
+    assert sorted(Counter(r.doc_id for r in corpus_pipeline.encode(spark, made, DATA).collect()).items(), key=str) == sorted(Counter(i for i, _, _ in rows).items(), key=str)
