@@ -3,7 +3,8 @@
 The reader checks each record (gzip CRC, version line, Content-Length, closing
 blank lines, block and payload digests).  After a failed check it searches for
 the next valid member or version line, goes on from there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap.  Inside a gzip member it searches the inflated
+bytes, of a damaged member those that come before the damage.
 
 Edge cases: null html is an empty payload; a null page id sorts last and is left
 out of the header; repeated rows of the smallest page id of a payload are all
@@ -27,8 +28,6 @@ from girder.llm.common import lean, new_path, table, utf8
 DATE = "2024-01-01T00:00:00Z"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
-#: A header longer than this is not one.
-MAX_HEADER = 1 << 16
 _FEED = 1 << 16
 
 
@@ -103,21 +102,30 @@ def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, recor
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The member at ``at`` and where it ends; raises zlib.error if it is damaged or cut off."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The member at ``at``, where it ends and None; if it is damaged or cut off, what comes before the damage, ``at`` and why."""
     z, out, pos = zlib.decompressobj(31), [], at
     while not z.eof:
         if pos >= len(data):
-            raise zlib.error("cut off")
-        piece = data[pos:pos + _FEED]
-        out.append(z.decompress(piece))
+            return b"".join(out), at, "cut off"
+        piece, before = data[pos:pos + _FEED], z.copy()
+        try:
+            out.append(z.decompress(piece))
+        except zlib.error as why:
+            try:  # byte by byte up to the damage
+                for i in range(len(piece)):
+                    out.append(before.decompress(piece[i:i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), at, str(why)
         pos += len(piece)
-    return b"".join(out), pos - len(z.unused_data)
+    return b"".join(out), pos - len(z.unused_data), None
 
 
 def parse_record(data, at: int) -> tuple[dict, bytes, int]:
     """Header, block and end of the record at ``at``; raises ValueError if a check fails."""
-    head_end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    later = data.find(b"\n" + VERSION, at + 1)  # a header of any length ends before the next version line
+    head_end = data.find(b"\r\n\r\n", at, later + 1 if later >= 0 else len(data))
     if not data.startswith(VERSION, at) or head_end < 0:
         raise ValueError("no header")
     lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")
@@ -136,39 +144,73 @@ def parse_record(data, at: int) -> tuple[dict, bytes, int]:
     return head, block, end + 4
 
 
+def _inside(raw: bytes) -> list[tuple]:
+    """(start, end, header, block, None) of each good record of a member's bytes; (start, end, None, None, reason) of each gap."""
+    out, at, gap, reason = [], 0, None, ""
+    while at < len(raw):
+        try:
+            head, block, end = parse_record(raw, at)
+        except ValueError as why:
+            if gap is None:
+                gap, reason = at, str(why)
+            at = raw.find(b"\n" + VERSION, at) + 1 or len(raw)
+            continue
+        if gap is not None:
+            out.append((gap, at, None, None, reason))
+            gap = None
+        out.append((at, end, head, block, None))
+        at = end
+    if gap is not None:
+        out.append((gap, len(raw), None, None, reason))
+    return out
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
-    """(start, end, header, block, None) of each good record; (start, end, None, None, reason) of each gap."""
+    """(start, end, header, block, None) of each good record; (start, end, None, None, reason) of each gap.
+
+    What lies inside a gzip member has the member's start and end; the reason of
+    a gap in it says which of its inflated bytes are lost.
+    """
     view, at, gap, reason = memoryview(data), 0, None, ""
     while at < len(data):
-        found, end = [], at
+        found, end, damage = [], at, None
         try:
             if data.startswith(MAGIC, at):
-                raw, end = _inflate(view, at)
-                inner = 0
-                while inner < len(raw):
-                    head, block, inner = parse_record(raw, inner)
-                    found.append((at, end, head, block, None))
+                raw, end, damage = _inflate(view, at)
+                found = _inside(raw)
+                if damage or found and not any(x[2] for x in found):
+                    if not any(x[2] for x in found):
+                        raise ValueError(damage or found[0][4])
+                    lost = len(raw)
+                    if found[-1][2] is None:
+                        lost = found.pop()[0]
+                    found.append((lost, "", None, None, damage))
             else:
                 head, block, end = parse_record(data, at)
                 found.append((at, end, head, block, None))
-        except (ValueError, zlib.error) as why:
+        except ValueError as why:
             if gap is None:
                 gap, reason = at, str(why)
-            yield from ()
-            if found:  # good records before the damage inside one member
-                yield from found
-            nexts = [x for x in (data.find(MAGIC, at + 1), data.find(b"\n" + VERSION, at)) if x >= 0]
-            at = min((x + 1 if data[x] == 10 else x for x in nexts), default=len(data))
+            at = end if end > at else _next(data, at)
             continue
         if gap is not None:
             yield gap, at, None, None, reason
             gap = None
-        yield from found
+        if damage:
+            end = _next(data, at)
+        for start, stop, head, block, why in found:
+            yield at, end, head, block, why and f"{why} (inflated bytes {start} to {stop})"
         at = end
     if gap is not None:
         yield gap, len(data), None, None, reason
 
 
+def _next(data: bytes, at: int) -> int:
+    """Where the next member or version line may start."""
+    nexts = [x for x in (data.find(MAGIC, at + 1), data.find(b"\n" + VERSION, at)) if x >= 0]
+    return min((x + 1 if data[x] == 10 else x for x in nexts), default=len(data))
+
+
 _READ = "path string, start long, stop long, gap string, record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 

@@ -235,6 +235,36 @@ def test_member_ends_in_zero():
     assert all(x.endswith(b"\0") for x in members()) and warc.member(b"x" * (1 << 24)).endswith(b"\0")
 
 
+def test_warc_header_of_any_length(spark, tmp_path):
+    url = "http://a/" + "x" * 100_000
+    got = warc.read_warc(spark, archive(spark, tmp_path, [(1, url, "p"), (2, "u", "q")])).collect()
+    assert {r.page_id: r.url for r in got if r.gap is None} == {1: url, 2: "u"} and len(got) == 2
+
+
+def test_salvage_inside_members():
+    records = [warc.record("response", i, f"u{i}", warc.http_block(3, b"abc"), warc.digest(b"abc"), 3) for i in range(4)]
+    before, after = members(1)[0], warc.member(warc.record("response", 9, "v", warc.http_block(3, b"abc"), warc.digest(b"abc"), 3))
+    hurt = warc.member(b"".join([records[0], records[1].replace(b"abc", b"abX"), *records[2:]]))
+    ids, gaps = kept(before + hurt + after)
+    assert ids == [0, 0, 2, 3, 9] and gaps == [(len(before), len(before + hurt))]
+    why = [x[4] for x in warc.salvage(hurt) if x[2] is None]
+    assert why == [f"block digest differs (inflated bytes {len(records[0])} to {len(records[0] + records[1])})"]
+    whole = bytearray(warc.member(b"".join(records)))
+    whole[-8] ^= 255  # the member's CRC
+    ids, gaps = kept(before + bytes(whole) + after)
+    assert ids == [0, 0, 1, 2, 3, 9] and gaps == [(len(before), len(before) + len(whole))]
+    rng = random.Random(2)
+    page = lambda i: bytes(rng.randrange(32, 127) for _ in range(40_000))
+    many = [warc.record("response", i, "u", warc.http_block(len(p), p), warc.digest(p), len(p)) for i, p in enumerate(map(page, range(6)))]
+    packed = warc.member(b"".join(many))
+    ids, gaps = kept(packed[:len(packed) // 2])
+    assert ids[:2] == [0, 1] and len(ids) < 6 and gaps
+    plain = bytearray(packed)
+    plain[len(packed) // 2] ^= 255
+    ids, gaps = kept(bytes(plain) + after)
+    assert ids[:2] == [0, 1] and ids[-1] == 9 and len(ids) < 7 and gaps
+
+
 # --- SimHash ---
 
 
