@@ -294,34 +294,76 @@ def brute_components(fps):
     return label
 
 
-@pytest.mark.parametrize("run", [simhash.RUN, 2])
-def test_simhash_against_brute_force(spark, run):
-    """With runs of 2, longer postings take the way of the variants."""
+@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
+def test_simhash_against_brute_force(spark, block):
+    """With blocks of 2, longer postings are compared block by block."""
     rng = random.Random(8)
     base = " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(300))
-    rows = [(i, base[:-i] if i else base, "x") for i in range(0, 40)] + [(100 + i, " ".join(str(rng.random()) for _ in range(9)), "x") for i in range(40)] + [(200, None, "x"), (201, " \n", "x"), (202, "A b", "x"), (203, "a B", "x"), (204, "", "x")]
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_groups(docs(spark, rows), run=run).collect()}
+    rows = [(i, base[:-i] if i else base, "x") for i in range(0, 40)] + [(100 + i, " ".join(str(rng.random()) for _ in range(9)), "x") for i in range(40)] + [(200, None, "x"), (201, " \n", "x"), (202, "A b", "x"), (203, "a B", "x"), (204, "", "x"), (205, "a b", "x"), (205, "a b", "x"), (206, "long word " * 300_000, "x")]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_groups(docs(spark, rows), block=block).collect()}
     fps = {i: slow_simhash(t) for i, t, _ in rows}
     assert {i: f for i, (f, _) in got.items()} == {i: f"{v:016x}" for i, v in fps.items()}
     assert {i: c for i, (_, c) in got.items()} == brute_components(fps)
 
 
-def test_simhash_links_whole_neighbourhood():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 2**63, dtype=np.uint64)
-    flips = [np.uint64(base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 4, replace=False)))) for _ in range(50)]
-    for f in flips:
-        a, b = (np.frombuffer(np.uint64(x).tobytes(), dtype=np.uint8) for x in (base, f))
-        assert (a == b).sum() >= 4
+@pytest.mark.parametrize("index", [simhash.FOUR_BITS, simhash.texts_alike()])
+def test_simhash_streams_equal_all_pairs(index):
+    """Postings cut anywhere into batches give the components of all pairs that share a set."""
     import pyarrow as pa
 
-    posted = [b for b in simhash._post([pa.RecordBatch.from_arrays([pa.array(np.array([base, *flips], dtype=np.uint64).view(np.int64))], ["fp"])])]
-    shared = defaultdict(set)
-    for b in posted:
-        for k, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            shared[k].add(f)
-    met = set().union(*(v for v in shared.values() if int(np.uint64(base).view(np.int64)) in v))
-    assert len(met) == len({int(np.uint64(x).view(np.int64)) for x in [base, *flips]})
+    rng = np.random.default_rng(0)
+    fps = []
+    for _ in range(6):
+        base = rng.integers(0, 2, 64 * index.words, dtype=np.uint8)
+        for _ in range(25):
+            x = base.copy()
+            x[rng.choice(len(x), rng.integers(0, index.bits + 3), replace=False)] ^= 1
+            fps.append(np.packbits(x).tobytes())
+    fps = sorted(set(fps))
+    posted = pa.Table.from_batches(simhash._post(index)([pa.RecordBatch.from_arrays([pa.array(fps, pa.binary())], ["fp"])]))
+    posted = posted.sort_by([(c, "ascending") for c in posted.column_names])
+    assert posted.num_rows == len(fps) * len(index.sets)
+    label = {f: f for f in fps}
+
+    def root(f):
+        while label[f] != f:
+            f = label[f]
+        return f
+
+    for batch in simhash._meet(index, 10**6, 1)([b for t in (posted.slice(at, 997) for at in range(0, posted.num_rows, 997)) for b in t.combine_chunks().to_batches()]):
+        for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            label[root(a)] = root(b)
+    want = {f: f for f in fps}
+
+    def top(f):
+        while want[f] != f:
+            f = want[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            x, y = (np.frombuffer(v, dtype=np.uint8) for v in (a, b))
+            if np.bitwise_count(x ^ y).sum() <= index.bits and (x == y).sum() >= index.least and any((x[list(s)] == y[list(s)]).all() for s in index.sets):
+                want[top(a)] = top(b)
+    assert len({(root(f), top(f)) for f in fps}) == len({root(f) for f in fps}) == len({top(f) for f in fps})
+
+
+def test_simhash_finds_edited_texts(spark):
+    """Texts of at least 0.8 of common five-word shingles link; others keep to themselves."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    rows = []
+    for g in range(40):
+        base = [word() for _ in range(300)]
+        rows.append((10 * g, " ".join(base), "x"))
+        for k in range(1, 4):
+            edited = list(base)
+            for at in rng.sample(range(300), 2 * k):
+                edited[at] = word()
+            rows.append((10 * g + k, " ".join(edited), "x"))
+    got = simhash.near_groups(docs(spark, rows), index=simhash.texts_alike()).collect()
+    assert sum(r.component_id == r.doc_id // 10 * 10 for r in got) >= 0.97 * len(got)
+    assert all(r.component_id // 10 == r.doc_id // 10 for r in got)
 
 
 def test_simhash_empty(spark):

@@ -6,13 +6,53 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from girder.llm import bpe, mixing, toxicity
+from girder.llm import bpe, mixing, simhash, toxicity
 from girder.llm.common import table
 from tests.conftest import DATA
-from tests.llm.test_operators import brute_components, docs, slow_simhash
+from tests.llm.test_operators import docs
+
+
+def slow_bits(text):
+    """256 majority bits of the distinct five-word shingles, in plain integers."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    grams = {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    hashes, out, top = [xxhash.xxh64_intdigest(g, 42) for g in grams], 0, 2**64 - 1
+    for k in range(4):
+        seen = []
+        for h in hashes:
+            if k:
+                h = (h + k * 0x9E3779B97F4A7C15) & top
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & top
+                h = (h ^ h >> 27) * 0x94D049BB133111EB & top
+                h ^= h >> 31
+            seen.append(h)
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in seen) > len(seen))
+    return out.to_bytes(32, "big")
+
+
+def brute_near(texts):
+    """Smallest id reachable through pairs that share a line of bytes, enough bytes and enough bits."""
+    index = simhash.texts_alike()
+    fps = {i: np.frombuffer(slow_bits(t), dtype=np.uint8) for i, t in texts.items()}
+    label = {i: i for i in fps}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(fps)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            same = fps[i] == fps[j]
+            if same.sum() >= index.least and int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= index.bits and any(all(same[p] for p in line) for line in index.sets):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
 
 
 def test_stages(spark):
@@ -33,7 +73,7 @@ def test_stages(spark):
                 first[key] = min(first.get(key, r["doc_id"]), r["doc_id"])
             want = set(first.values())
         elif name == "simhash_near_dedup":
-            want = set(brute_components({r["doc_id"]: slow_simhash(r["text"]) for r in before}).values())
+            want = set(brute_near({r["doc_id"]: r["text"] for r in before}).values())
         elif name == "mix_sources":
             count = Counter(r["doc_id"] for r in rows)
             size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in before}
