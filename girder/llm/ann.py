@@ -8,7 +8,7 @@ back edges are pruned alike.  Each query runs a beam search on every shard; what
 finds is scored in double precision on the original vectors and merged.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part; only vectors of equal length meet; ties go to the smaller
+components and rows without an id take no part; only vectors of equal length meet; ties go to the smaller
 id; repeated rows are candidates of their own; fewer candidates than asked for are
 all returned; an empty table gives an empty result; extra columns are ignored.
 """
@@ -27,12 +27,12 @@ from girder.llm.common import lean, table
 
 DEGREE = 24
 BUILD_BEAM = 40
-SEARCH_BEAM = 64
+SEARCH_BEAM = 128
 RELAX = 1.2
 BATCH = 256
-#: A dozen shards, and more once they would hold this many rows.
+#: A dozen shards; fewer while they would hold less than the lower, more once they would hold more than the upper number of rows.
 SHARDS = 12
-SHARD_ROWS = 200_000
+SHARD_ROWS = (4_000, 16_000)
 
 
 class Graph:
@@ -140,15 +140,12 @@ class Shard:
         x = self.x.astype(np.float64)
         self.norm = np.sqrt((x * x).sum(axis=1))
         self.k = k
-        self.graph = Graph((x / self.norm[:, None]).astype(np.float32)) if len(x) > SEARCH_BEAM else None
+        self.graph = Graph((x / self.norm[:, None]).astype(np.float32))
 
     def answer(self, ids: np.ndarray, q: np.ndarray) -> list[tuple]:
         q = q.astype(np.float64)
         norm = np.sqrt((q * q).sum(axis=1))
-        if self.graph is None:
-            found = np.tile(np.arange(len(self.x)), (len(q), 1))
-        else:
-            found, _ = self.graph.search((q / norm[:, None]).astype(np.float32), SEARCH_BEAM)
+        found, _ = self.graph.search((q / norm[:, None]).astype(np.float32), SEARCH_BEAM)
         out = []
         for i, own in enumerate(ids.tolist()):
             nodes = found[i][found[i] >= 0]
@@ -194,12 +191,17 @@ def _search(k: int):
     return run
 
 
+def shard_count(rows: int) -> int:
+    least, most = SHARD_ROWS
+    return max(1, min(SHARDS, math.ceil(rows / least)), math.ceil(rows / most))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, its own id left out."""
     finite = ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector_col, lambda x: x != 0)
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull())
     base, asked = clean(rows.filter(finite)), clean(queries.filter(finite))
-    shards = max(SHARDS, math.ceil(base.count() / SHARD_ROWS))
+    shards = shard_count(base.count())
     part = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     length = F.size("v") * shards  # vectors of another length are of other shards
     kept = base.select((length + part).alias("shard"), F.lit(0).alias("asks"), "id", "v")

@@ -511,6 +511,30 @@ def test_secrets_against_python(spark):
 # --- neighbours ---
 
 
+def test_ann_recall_of_the_query(spark):
+    """The registered query against brute force over the whole table."""
+    where = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{where}/embeddings.parquet").dropna(subset=["embedding"]).collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    found = defaultdict(set)
+    for r in ann.query(spark, where).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = np.where(ids == ids[q], -9, x @ x[q])
+        hits += len(set(ids[np.lexsort((ids, -score))[:5]].tolist()) & found[int(ids[q])])
+        total += 5
+    assert hits / total >= 0.95
+
+
+def test_ann_shards_and_names(spark):
+    assert [ann.shard_count(n) for n in (0, 500, 4_001, 60_000, 192_000, 192_001, 10**7)] == [1, 1, 2, 12, 12, 13, 625]
+    df = spark.createDataFrame([(0, [1.0, 0.0], 5, "a", 1), (50, [1.0, 0.5], 6, "b", 2), (7, [0.0, 1.0], 7, "c", 3), (None, [1.0, 0.0], 8, "d", 4), (7, [0.0, 1.0], 9, "e", 5)], "vec_id long, embedding array<double>, shard int, v string, rank int")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, df.filter("vec_id % 50 = 0")).collect())
+    assert got == [(0, 1, 50), (0, 2, 7), (0, 3, 7), (50, 1, 0), (50, 2, 7), (50, 3, 7)]
+
+
 def test_ann_recall_and_edges(spark):
     rng = np.random.default_rng(3)
     x = (rng.normal(size=(3000, 16)) + 2 * rng.integers(0, 2, (3000, 1))).astype(np.float32)
