@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girder.llm.common import stage, table, word_count
@@ -27,6 +27,14 @@ REPEAT_COST = lambda k: k * k
 #: Patterns and sources are gathered on the driver up to this many; beyond, the operator refuses.
 MAX_PATTERNS = 100_000
 SEED = 17
+#: Times that open documents are taken in order for what is left of a flow.
+ROUNDS = 3
+FILLS = "fills array<struct<rest: long, cut: string>>"
+
+
+def _filled() -> Column:
+    """Does a fill take the document: it fits the rest and does not come after the cut?"""
+    return F.exists("fills", lambda f: (F.col("unit") <= f["rest"]) & (F.col("ord") <= f["cut"]))
 
 
 def share_targets(sizes: dict, weights: dict, cap: int = 3) -> dict:
@@ -49,28 +57,16 @@ def share_targets(sizes: dict, weights: dict, cap: int = 3) -> dict:
 def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = 3) -> list[dict]:
     """Min-cost flow: words of each pattern given to each of its sources.
 
-    patterns: (sources, words); quotas: words wanted by each source.  Sources
-    that no overlapping pattern joins to others are served in closed form; the
-    rest by successive shortest paths with potentials, where a path may take
-    words back from one source to give another.
+    patterns: (sources, words); quotas: words wanted by each source.  Successive
+    shortest paths: all arcs but a pattern's readings are free, so the cheapest
+    pattern that reaches a source with quota left starts a shortest path, and a
+    path may take words back from one source to give another.  What a pattern
+    reaches in vain stays closed for good and is not searched again.
     """
     flows: list[dict] = [{} for _ in patterns]
-    linked = {s for members, _ in patterns if len(members) > 1 for s in members}
-    left = dict(quotas)
-    hard = []
-    for i, (members, words) in enumerate(patterns):
-        if set(members) & linked:
-            hard.append(i)
-        elif words:
-            flows[i][members[0]] = f = min(left[members[0]], repeats * words)
-            left[members[0]] -= f
-    if not hard:
-        return flows
-    used = {i: 0 for i in hard}
-    holders = defaultdict(list)
-    for i in hard:
-        for s in patterns[i][0]:
-            holders[s].append(i)
+    left, used, closed = dict(quotas), [0] * len(patterns), set()
+    #: movers[s][t]: patterns that give s words and can give them to t.
+    movers: dict = {s: {} for s in quotas}
 
     def tier(i: int) -> tuple[int, int]:
         """Cost and room of the next reading of pattern i."""
@@ -78,48 +74,49 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = 3) ->
         k = used[i] // words if words else repeats
         return (REPEAT_COST(k), (k + 1) * words - used[i]) if k < repeats else (-1, 0)
 
-    while True:
-        # All arcs but those from the super-source are free, so the cheapest pattern that
-        # reaches a source with quota left ends a shortest path: a search from the cheapest on.
-        heap = [(tier(i)[0], i) for i in hard if tier(i)[1]]
-        heapq.heapify(heap)
-        seen_p, from_s, from_p, end = set(), {}, {}, None
-        while heap and end is None:
-            _, root = heapq.heappop(heap)
-            if root in seen_p:
-                continue
-            seen_p.add(root)
-            from_p[root] = None
-            todo = [root]
-            while todo and end is None:
-                p = todo.pop()
-                for s in patterns[p][0]:
-                    if s in from_s:
-                        continue
-                    from_s[s] = p
-                    if left[s] > 0:
-                        end = s
-                        break
-                    for q in holders[s]:  # q gives s words that p can give instead
-                        if q not in seen_p and flows[q].get(s, 0) > 0:
-                            seen_p.add(q)
-                            from_p[q] = s
-                            todo.append(q)
+    def give(p: int, s, n: int) -> None:
+        before = flows[p].get(s, 0)
+        flows[p][s] = before + n
+        if not before or not flows[p][s]:
+            for t in patterns[p][0]:
+                if t != s:
+                    if flows[p][s]:
+                        movers[s].setdefault(t, {})[p] = True
+                    else:
+                        movers[s][t].pop(p)
+
+    heap = [(tier(i)[0], i) for i in range(len(patterns)) if tier(i)[1]]
+    heapq.heapify(heap)
+    while heap:
+        _, root = heapq.heappop(heap)
+        came, end = {s: None for s in patterns[root][0] if s not in closed}, None
+        todo = deque(came)
+        while todo:
+            s = todo.popleft()
+            if left[s] > 0:
+                end = s
+                break
+            for t, who in movers[s].items():
+                if who and t not in came and t not in closed:
+                    came[t] = (s, next(iter(who)))
+                    todo.append(t)
         if end is None:
-            return flows
-        path, s = [], end
-        while s is not None:
-            p = from_s[s]
-            path.append((p, s))
-            s = from_p[p]
-        root = path[-1][0]
-        push = min(left[end], tier(root)[1], *(flows[p][from_p[p]] for p, _ in path[:-1]))
-        for p, s in path:
-            flows[p][s] = flows[p].get(s, 0) + push
-            if from_p[p] is not None:
-                flows[p][from_p[p]] -= push
+            closed.update(came)
+            continue
+        hops, s = [], end
+        while came[s] is not None:
+            hops.append((came[s][1], came[s][0], s))
+            s = came[s][0]
+        push = min(left[end], tier(root)[1], *(flows[q][a] for q, a, _ in hops))
+        give(root, s, push)
+        for q, a, b in hops:
+            give(q, b, push)
+            give(q, a, -push)
         used[root] += push
         left[end] -= push
+        if tier(root)[1]:
+            heapq.heappush(heap, (tier(root)[0], root))
+    return flows
 
 
 def mix(docs: DataFrame, members: F.Column, *, id_col: str = "doc_id", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = SEED, row_col: str | None = None) -> DataFrame:
@@ -135,13 +132,14 @@ def mix(docs: DataFrame, members: F.Column, *, id_col: str = "doc_id", text_col:
     groups; only sums per pattern reach the driver.
     """
     spark = docs.sparkSession
-    ident = F.col(id_col)
+    ident, ident_text = F.col(id_col), F.col("id").cast("string")
     carried = [row_col] if row_col else []
     base = docs.select(
         ident.alias("id"), word_count(F.col(text_col)).alias("size"),
         F.array_sort(F.array_distinct(members)).alias("members"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary")).alias("h"), *carried,
     ).withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"})).withColumn("bucket", F.substring("h", 1, 3))
+    base = base.withColumn("ord", F.concat("h", F.lpad(F.col("size").cast("string"), 20, "0"), F.coalesce(ident_text, F.lit("null")))).drop("h")
     base = stage(base, "mix-base")
     sums = base.groupBy("pattern", "members").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
@@ -166,25 +164,43 @@ def mix(docs: DataFrame, members: F.Column, *, id_col: str = "doc_id", text_col:
     in_bucket = Window.partitionBy("pattern", "bucket")
     offsets = base.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn(
         "before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = base.withColumn("reach", F.sum("size").over(in_bucket.orderBy("h", "id", "size"))).withColumn("unit", F.sum("size").over(Window.partitionBy("pattern", "bucket", "h", "id", "size")))
+    placed = base.withColumn("reach", F.sum("size").over(in_bucket.orderBy("ord"))).withColumn("unit", F.sum("size").over(Window.partitionBy("pattern", "bucket", "ord")))
     placed = placed.join(offsets.select("pattern", "bucket", "before"), ["pattern", "bucket"]).join(plan, "pattern")
     stop = F.col("before") + F.col("reach")
     tiers = [F.lit(k) * F.col("words") + stop <= F.col("flow") for k in range(repeats)]
     placed = placed.withColumn("at", stop - F.col("unit")).withColumn("floor_copies", sum((t.cast("int") for t in tiers[1:]), tiers[0].cast("int")))
     placed = stage(placed.drop("bucket", "before", "reach"), "mix-placed")
 
-    # Whole documents leave a rest below the flow: the one open document that comes nearest fills it.
+    # Whole documents leave a rest below the flow.  Open documents that fit it are taken in order, a few times over ...
     got = {r.pattern: r.got for r in placed.groupBy("pattern").agg(F.sum(F.col("floor_copies") * F.col("size")).alias("got")).collect()}
-    rests = spark.createDataFrame([(p, f - got.get(p, 0), min(repeats, f // w) if w else repeats) for p, w, f, *_ in plan_rows], "pattern string, rest long, level int")
+    level = {p: min(repeats, f // w) if w else repeats for p, w, f, *_ in plan_rows}
+    rest = {p: f - got.get(p, 0) for p, w, f, *_ in plan_rows}
+    fills: dict = {p: [] for p in rest}
+
+    def openings() -> DataFrame:
+        """Documents at their pattern's level that no fill takes, with the rest."""
+        now = spark.createDataFrame([(p, level[p], rest[p], fills[p]) for p in rest if rest[p] > 0 and level[p] < repeats], f"pattern string, level int, rest long, {FILLS}")
+        return placed.select("pattern", "ord", "size", "unit", "floor_copies").join(now, "pattern").filter((F.col("floor_copies") == F.col("level")) & ~_filled())
+
+    for _ in range(ROUNDS):
+        fit = openings().filter(F.col("unit") <= F.col("rest")).withColumn("bucket", F.substring("ord", 1, 3))
+        before = fit.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn(
+            "before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        fit = fit.join(before.select("pattern", "bucket", "before"), ["pattern", "bucket"]).filter(F.col("before") < F.col("rest"))
+        fit = fit.withColumn("reach", F.sum("size").over(in_bucket.orderBy("ord"))).filter(F.col("before") + F.col("reach") <= F.col("rest"))
+        taken = fit.groupBy("pattern").agg(F.max("ord").alias("cut"), F.sum("size").alias("got")).collect()
+        for r in taken:
+            fills[r.pattern].append((rest[r.pattern], r.cut))
+            rest[r.pattern] -= r.got
+        if not taken:
+            break
+    # ... and the one that then comes nearest fills what is left.
     gap = F.abs(F.col("unit") - F.col("rest"))
-    picks = placed.select("pattern", "h", "id", "size", "unit", "floor_copies").join(rests, "pattern").filter((F.col("floor_copies") == F.col("level")) & (F.col("level") < repeats) & (gap < F.col("rest")))
-    picks = picks.groupBy("pattern").agg(F.min_by(F.struct("h", "id", "size"), F.struct(gap, "h", "id", "size")).alias("pick"))
-    pick_rows = [(r.pattern, r.pick.h, r.pick.id, r.pick["size"]) for r in picks.collect()]
-    id_type = docs.schema[id_col].dataType.simpleString()
-    picks = spark.createDataFrame(pick_rows, f"pattern string, pick_h string, pick_id {id_type}, pick_size long")
-    placed = placed.join(picks, "pattern", "left")
-    extra = (F.col("h") == F.col("pick_h")) & F.col("id").eqNullSafe(F.col("pick_id")) & (F.col("size") == F.col("pick_size"))
-    copies = F.col("floor_copies") + F.coalesce(extra.cast("int"), F.lit(0))
+    picks = {r.pattern: r.pick.ord for r in openings().filter(gap < F.col("rest")).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "ord")).alias("pick")).collect()}
+    ends = spark.createDataFrame([(p, level[p], fills[p], picks.get(p)) for p in rest], f"pattern string, level int, {FILLS}, pick string")
+    placed = placed.join(ends, "pattern")
+    extra = (F.col("floor_copies") == F.col("level")) & (F.col("level") < repeats) & (_filled() | F.coalesce(F.col("ord") == F.col("pick"), F.lit(False)))
+    copies = F.col("floor_copies") + extra.cast("int")
     # The tape of a pattern is cut at its sources' ends; a reading goes to the source that holds its middle.
     middle = lambda k: F.least(k.cast("long") * F.col("words") + F.col("at") + F.floor(F.col("unit") / 2), F.col("flow") - 1)
     owner = lambda k: F.size(F.filter("ends", lambda e: e <= middle(k)))
@@ -221,22 +237,29 @@ t AS (
   FROM r, cut),
 f AS (SELECT *, least(floor(target + 0.5)::BIGINT, 3 * words) AS flow FROM t),
 p AS (
-  SELECT b.*, f.words, f.target, f.flow,
-         sum(size) OVER (PARTITION BY b.source ORDER BY h, doc_id, size)::BIGINT AS reach,
-         sum(size) OVER (PARTITION BY b.source, h, doc_id, size)::BIGINT AS unit
+  SELECT b.*, h || lpad(size::VARCHAR, 20, '0') || coalesce(doc_id::VARCHAR, 'null') AS ord, f.words, f.target, f.flow
   FROM b JOIN f ON b.source IS NOT DISTINCT FROM f.source),
+p2 AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ord)::BIGINT AS reach, sum(size) OVER (PARTITION BY source, ord)::BIGINT AS unit
+  FROM p),
 q AS (
   SELECT *, (reach <= flow)::INT + (words + reach <= flow)::INT + (2 * words + reach <= flow)::INT AS n,
          CASE WHEN words = 0 THEN 3 ELSE least(3, flow // words) END AS level
-  FROM p),
-rest AS (SELECT source, any_value(flow) - sum(n * size)::BIGINT AS rest FROM q GROUP BY source),
+  FROM p2),
+o0 AS (SELECT source, ord, size, unit FROM q WHERE n = level AND level < 3),
+rest0 AS (SELECT source, any_value(flow) - sum(n * size)::BIGINT AS rest FROM q GROUP BY source),
+""" + "".join(f"""
+fit{k} AS (SELECT o.*, rest, sum(size) OVER (PARTITION BY o.source ORDER BY ord) AS reach FROM o{k} o JOIN rest{k} r ON o.source IS NOT DISTINCT FROM r.source WHERE unit <= rest),
+take{k} AS (SELECT source, ord, size FROM fit{k} WHERE reach <= rest),
+o{k + 1} AS (SELECT o.* FROM o{k} o WHERE NOT EXISTS (SELECT 1 FROM take{k} t WHERE t.source IS NOT DISTINCT FROM o.source AND t.ord = o.ord)),
+rest{k + 1} AS (SELECT r.source, rest - coalesce(got, 0) AS rest FROM rest{k} r LEFT JOIN (SELECT source, sum(size)::BIGINT AS got FROM take{k} GROUP BY source) t ON r.source IS NOT DISTINCT FROM t.source),""" for k in range(ROUNDS)) + f"""
 pick AS (
-  SELECT source, h, doc_id, size FROM (
-    SELECT q.source, h, doc_id, size, row_number() OVER (PARTITION BY q.source ORDER BY abs(unit - rest), h, doc_id, size) AS k
-    FROM q JOIN rest ON q.source IS NOT DISTINCT FROM rest.source
-    WHERE n = level AND level < 3 AND abs(unit - rest) < rest)
-  WHERE k = 1)
-SELECT q.doc_id, q.size, q.words AS source_size, q.target, ((n + (pick.h IS NOT NULL)::INT) * q.size)::BIGINT AS taken,
-       q.source, (n + (pick.h IS NOT NULL)::INT)::BIGINT AS copies
-FROM q LEFT JOIN pick ON q.source IS NOT DISTINCT FROM pick.source AND q.h = pick.h AND q.doc_id IS NOT DISTINCT FROM pick.doc_id AND q.size = pick.size
+  SELECT source, ord FROM (
+    SELECT o.source, ord, row_number() OVER (PARTITION BY o.source ORDER BY abs(unit - rest), ord) AS k
+    FROM o{ROUNDS} o JOIN rest{ROUNDS} r ON o.source IS NOT DISTINCT FROM r.source WHERE abs(unit - rest) < rest)
+  WHERE k = 1),
+more AS (SELECT DISTINCT source, ord FROM (""" + " UNION ALL ".join(f"SELECT source, ord FROM take{k}" for k in range(ROUNDS)) + """ UNION ALL SELECT source, ord FROM pick))
+SELECT q.doc_id, q.size, q.words AS source_size, q.target, ((n + (m.ord IS NOT NULL)::INT) * q.size)::BIGINT AS taken,
+       q.source, (n + (m.ord IS NOT NULL)::INT)::BIGINT AS copies
+FROM q LEFT JOIN more m ON q.source IS NOT DISTINCT FROM m.source AND q.ord = m.ord
 """

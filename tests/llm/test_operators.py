@@ -97,6 +97,37 @@ def test_flow_is_least_cost():
         assert (served, cost) == brute_flow(patterns, quotas), (patterns, quotas, flows)
 
 
+def test_flow_of_many_patterns():
+    import time
+
+    rng = random.Random(9)
+    names = [f"s{i}" for i in range(60)]
+    patterns = [(tuple(sorted(rng.sample(names, rng.randint(1, 3)))), rng.randint(1, 1000)) for _ in range(20_000)]
+    quotas = {s: rng.randint(0, 500_000) for s in names}
+    began = time.time()
+    flows = mixing.route(patterns, quotas)
+    assert time.time() - began < 60
+    got = Counter()
+    for (members, words), f in zip(patterns, flows, strict=True):
+        assert set(f) <= set(members) and sum(f.values()) <= 3 * words and min(f.values(), default=0) >= 0
+        got.update(f)
+    assert all(got[s] <= q for s, q in quotas.items())
+
+
+def test_mix_fills_behind_a_long_document(spark):
+    """A document far longer than what is left does not end the selection, wherever it stands in the order."""
+    for seed in range(4):
+        rows = [(0, "w " * 7000, "a"), *((i, "w " * 100, "a") for i in range(1, 31)), (99, "w " * 1_000_000, "b")]
+        out = mixing.mix(docs(spark, rows), F.array("source"), weights=(3, 1009), seed=seed).collect()
+        target = next(r.targets[0] for r in out if r.members == ["a"])
+        assert 2900 < target < 3100 and abs(sum(r.taken for r in out if r.members == ["a"]) - target) <= 100
+
+
+def test_mix_of_clashing_names(spark):
+    df = docs(spark, [(1, "a b", "x"), (2, "c", "y"), (3, "word " * 1_000_000, "y")]).selectExpr("*", "1 AS size", "'q' AS pattern", "'r' AS ord", "2 AS id", "3 AS copies", "4 AS taken", "5 AS bucket")
+    assert {r.doc_id: r["size"] for r in mixing.mix(df, F.array("source")).collect()} == {1: 2, 2: 1, 3: 1_000_000}
+
+
 def test_mix_edges(spark):
     rows = [(1, "a b c", "x"), (2, None, "x"), (3, "", None), (4, "d e", None), (4, "d e", None), (None, "f", "y")]
     out = mixing.mix(docs(spark, rows), F.array("source")).collect()
