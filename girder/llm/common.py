@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.plans.staging import new_path, stage
 from girder.plans.tables import table
 
-__all__ = ["lean", "new_path", "slices", "squeeze", "stage", "table", "utf8", "word_count"]
+__all__ = ["fresh", "lean", "new_path", "slices", "squeeze", "stage", "table", "utf8", "word_count"]
 
 #: Words are maximal runs without ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_RE)).cast("long")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def squeeze(data: bytes) -> bytes:
     """Each run of ASCII white space becomes one space."""
     data = data.translate(_TO_SPACE)

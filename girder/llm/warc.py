@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import lean, new_path, table, utf8
+from girder.llm.common import lean, new_path, stage, table, utf8
 
 DATE = "2024-01-01T00:00:00Z"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 _FEED = 1 << 16
+#: Pages below so many bytes come so many to a file, which so stays within 1 GB (of pages up to 128 MB).
+FILES = ((1 << 16, 16_000), (1 << 22, 250), (1 << 31, 8))
 
 
 def digest(data: bytes) -> str:
@@ -87,19 +89,41 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
-def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, records_per_file: int = 20_000) -> None:
+def write_warc(pages: DataFrame, path: str, *, min_revisit_bytes: int = 0, files: tuple[tuple[int, int], ...] = FILES) -> None:
     """Write a record per row of pages(page_id, url, html) under ``path``.
 
     Of equal payloads of at least ``min_revisit_bytes`` bytes the one with the
     smallest page id is the response and others revisit it.  Members reach the
     files through Spark's text writer, whose separator is the zero byte that
     each member ends in: commits, retries and any store work as for other tables.
+    ``files``: pages are written by size, (below so many bytes, so many to a file).
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
-    firsts = pages.select("page_id", F.sha1(html).alias("sha"), F.length(html).alias("n")).filter(F.col("n") >= min_revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"))
-    made = pages.select("page_id", "url", "html").mapInArrow(lean(_responses), "page_id long, url string, sha string, digest string, n long, member binary")
-    rows = made.join(firsts, "sha", "left").select("page_id", "url", "digest", "n", "member", "first").mapInArrow(lean(_finish), "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
+    firsts = pages.select("page_id", F.sha1(html).alias("sha"), F.length(html).alias("n")).filter(F.col("n") >= min_revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.max("n").alias("n"))
+    firsts = stage(firsts, "warc-firsts")
+    longest = pages.agg(F.max(F.length(html))).first()[0] or 0
+    low = 0
+    for below, per_file in files:
+        if longest < low:
+            break
+        mine = pages.select("page_id", "url", "html").filter((F.length(html) >= low) & (F.length(html) < below))
+        made = mine.mapInArrow(lean(_responses), "page_id long, url string, sha string, digest string, n long, member binary")
+        rows = made.join(firsts.filter((F.col("n") >= low) & (F.col("n") < below)).drop("n"), "sha", "left").select("page_id", "url", "digest", "n", "member", "first").mapInArrow(lean(_finish), "value binary")
+        rows.select(F.col("value").cast("string")).write.mode("append").option("lineSep", "\u0000").option("maxRecordsPerFile", per_file).text(path)
+        low = below
+
+
+class Marks:
+    """Places of a byte string, each found once however often it is asked for."""
+
+    def __init__(self, data: bytes, mark: bytes):
+        self.data, self.mark, self.known = data, mark, None
+
+    def after(self, at: int) -> int:
+        """First place from ``at`` on, or -1."""
+        if self.known is None or not (self.known[0] <= at and (at <= self.known[1] or self.known[1] < 0)):
+            self.known = (at, self.data.find(self.mark, at))
+        return self.known[1]
 
 
 def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
@@ -122,14 +146,16 @@ def _inflate(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
     return b"".join(out), pos - len(z.unused_data), None
 
 
-def parse_record(data, at: int) -> tuple[dict, bytes, int]:
+def parse_record(data, at: int, lines: Marks) -> tuple[dict, bytes, int]:
     """Header, block and end of the record at ``at``; raises ValueError if a check fails."""
-    later = data.find(b"\n" + VERSION, at + 1)  # a header of any length ends before the next version line
+    if not data.startswith(VERSION, at):
+        raise ValueError("no header")
+    later = lines.after(at + 1)  # a header of any length ends before the next version line
     head_end = data.find(b"\r\n\r\n", at, later + 1 if later >= 0 else len(data))
-    if not data.startswith(VERSION, at) or head_end < 0:
+    if head_end < 0:
         raise ValueError("no header")
-    lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")
-    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    named = data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]
+    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in named)}
     if not head.get("content-length", "").isdigit():
         raise ValueError("no length")
     start = head_end + 4
@@ -146,14 +172,14 @@ def parse_record(data, at: int) -> tuple[dict, bytes, int]:
 
 def _inside(raw: bytes) -> list[tuple]:
     """(start, end, header, block, None) of each good record of a member's bytes; (start, end, None, None, reason) of each gap."""
-    out, at, gap, reason = [], 0, None, ""
+    out, at, gap, reason, lines = [], 0, None, "", Marks(raw, b"\n" + VERSION)
     while at < len(raw):
         try:
-            head, block, end = parse_record(raw, at)
+            head, block, end = parse_record(raw, at, lines)
         except ValueError as why:
             if gap is None:
                 gap, reason = at, str(why)
-            at = raw.find(b"\n" + VERSION, at) + 1 or len(raw)
+            at = lines.after(at) + 1 or len(raw)
             continue
         if gap is not None:
             out.append((gap, at, None, None, reason))
@@ -172,6 +198,13 @@ def salvage(data: bytes) -> Iterator[tuple]:
     a gap in it says which of its inflated bytes are lost.
     """
     view, at, gap, reason = memoryview(data), 0, None, ""
+    lines, magics = Marks(data, b"\n" + VERSION), Marks(data, MAGIC)
+
+    def following(at: int) -> int:
+        """Where the next member or version line may start."""
+        nexts = [x for x in (magics.after(at + 1), lines.after(at) + 1) if x > at]
+        return min(nexts, default=len(data))
+
     while at < len(data):
         found, end, damage = [], at, None
         try:
@@ -186,18 +219,18 @@ def salvage(data: bytes) -> Iterator[tuple]:
                         lost = found.pop()[0]
                     found.append((lost, "", None, None, damage))
             else:
-                head, block, end = parse_record(data, at)
+                head, block, end = parse_record(data, at, lines)
                 found.append((at, end, head, block, None))
         except ValueError as why:
             if gap is None:
                 gap, reason = at, str(why)
-            at = end if end > at else _next(data, at)
+            at = end if end > at else following(at)
             continue
         if gap is not None:
             yield gap, at, None, None, reason
             gap = None
         if damage:
-            end = _next(data, at)
+            end = following(at)
         for start, stop, head, block, why in found:
             yield at, end, head, block, why and f"{why} (inflated bytes {start} to {stop})"
         at = end
@@ -205,12 +238,6 @@ def salvage(data: bytes) -> Iterator[tuple]:
         yield gap, len(data), None, None, reason
 
 
-def _next(data: bytes, at: int) -> int:
-    """Where the next member or version line may start."""
-    nexts = [x for x in (data.find(MAGIC, at + 1), data.find(b"\n" + VERSION, at)) if x >= 0]
-    return min((x + 1 if data[x] == 10 else x for x in nexts), default=len(data))
-
-
 _READ = "path string, start long, stop long, gap string, record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
