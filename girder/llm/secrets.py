@@ -1,15 +1,18 @@
-"""Secret scans in DataFrame functions only, candidates first by a trigram index.
+"""Secret scans in DataFrame functions only, candidates first by a trigram inverted index.
 
-Each rule's regex gives a Boolean query over trigrams.  A row's postings are the
-bits of the queries' trigrams that it holds; intersecting the postings of a query
-is a test of those bits, made in the scan where the text is, so no posting or
-text crosses the network.  Rules without mandatory trigrams scan fully.
+Each rule's regex gives a Boolean query over trigrams.  The index holds, for each
+trigram of some query and each block of rows, the sorted list of rows whose text
+has it; a rule's query intersects and unites the lists of a block.  Only candidates
+are verified by the rule's regex; rules without mandatory trigrams scan fully.
+Candidates go back to the texts as row numbers: broadcast while there are few,
+beyond that through a shuffle join.
 
 Spans come from splitting at a regex and from what it matches: lengths of the
 pieces in turn give the places.
 
 Edge cases: null text is empty; texts without a match have empty spans; repeated
-rows are scanned alike; a null id is passed through; extra columns are ignored.
+rows are scanned alike; a null id is passed through; an empty table gives an empty
+result; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import table
+from girder.llm.common import fresh, stage, table
 from girder.llm.trigrams import ANY, Query, derive
 
 
@@ -49,48 +52,42 @@ ADDED = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", 0, 39),
     Rule("url_login", r"[a-z]{3,12}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!*-]{6,64}@", 0, 1),
 )
-#: Trigrams in a word of bits.
-BITS = 60
+#: Rows of a block of the index have the same number but for so many bits.
+BLOCK_BITS = 14
+#: Up to so many candidate rows (16 bytes each, and their rules' bits) are broadcast.
+FEW = 1 << 20
 
 
 class TrigramIndex:
-    """Postings as bits of a row: for each trigram of the rules' queries, whether the text holds it."""
+    """Posting lists of the trigrams of the rules' queries."""
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.queries = {r.kind: derive(r.pattern) for r in rules}
-        found = sorted(set().union(*(q.trigrams() for q in self.queries.values())))
-        self.place = {t: divmod(i, BITS) for i, t in enumerate(found)}
-
-    def postings(self, lowered: Column) -> Column:
-        """array<long> of bits."""
-        words = max((w for w, _ in self.place.values()), default=0) + 1
-        out = []
-        for word in range(words):
-            bits = F.lit(0).cast("long")
-            for t, (w, b) in self.place.items():
-                if w == word:
-                    bits = bits + F.when(F.contains(lowered, F.lit(t)), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
-            out.append(bits)
-        return F.array(*out)
-
-    def candidate(self, kind: str, postings: Column) -> Column:
-        """Does the row satisfy the rule's query?"""
-        return self._test(self.queries[kind], postings)
-
-    def _test(self, q: Query, postings: Column) -> Column:
-        if q == ANY:
-            return F.lit(True)
-        if q.op == "and" and all(p.op == "tri" for p in q.parts) or q.op == "tri":
-            masks: dict[int, int] = {}
-            for t in q.trigrams():
-                w, b = self.place[t]
-                masks[w] = masks.get(w, 0) | 1 << b
-            tests = [postings[w].bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long") for w, m in masks.items()]
-        else:
-            tests = [self._test(p, postings) for p in q.parts]
-        out = tests[0]
-        for t in tests[1:]:
-            out = (out | t) if q.op == "or" else (out & t)
+        self.trigrams = sorted(set().union(*(q.trigrams() for q in self.queries.values())))
+
+    def postings(self, rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
+        """(block, trigram, rows): rows is the sorted array of the row numbers that hold the trigram."""
+        lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        seen = rows.select(F.col(row_col).alias("row"), lowered.alias("lowered")).select("row", F.array_compact(F.array(*(F.when(F.contains("lowered", F.lit(t)), F.lit(t)) for t in self.trigrams))).alias("held"))
+        return seen.select("row", F.explode("held").alias("trigram")).groupBy(F.shiftright("row", BLOCK_BITS).alias("block"), "trigram").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """(row, rules): for each row that some query leaves, a bit for each such rule by the order of the rules."""
+        lists = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("lists"))
+        left = [F.struct(F.lit(1 << i).cast("long").alias("bit"), self._left(q, F.col("lists")).alias("rows")) for i, q in enumerate(self.queries.values()) if q != ANY]
+        if not left:
+            return lists.select(F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("rules")).limit(0)
+        found = lists.select(F.explode(F.array(*left)).alias("found")).select("found.bit", F.explode("found.rows").alias("row"))
+        return found.groupBy("row").agg(F.bit_or("bit").alias("rules"))
+
+    def _left(self, q: Query, lists: Column) -> Column:
+        """The rows of a block that satisfy a query."""
+        if q.op == "tri":
+            return F.coalesce(F.try_element_at(lists, F.lit(q.parts[0])), F.array().cast("array<bigint>"))
+        parts = [self._left(p, lists) for p in q.parts if p != ANY]
+        out = parts[0]
+        for p in parts[1:]:
+            out = F.array_union(out, p) if q.op == "or" else F.array_intersect(out, p)
         return out
 
 
@@ -108,18 +105,22 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.aggregate(pieces, place, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text", few: int = FEW) -> DataFrame:
     """docs with ``found``: array of (kind, start, stop, rank), by start, then the order of the rules."""
     index = TrigramIndex(rules)
+    row, bits = fresh("row", docs), fresh("rules", docs)
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "secrets-rows")
+    found = stage(index.candidates(index.postings(rows, row, text_col)).select(F.col("row").alias(row), F.col("rules").alias(bits)), "secrets-candidates")
+    out = rows.join(F.broadcast(found) if found.count() <= few else found, row, "left")
     none = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
-    out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_bits", index.postings(F.lower("_text")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
 
     def part(rank: int, rule: Rule) -> Column:
-        placed = F.transform(spans(F.col("_text"), rule), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(rule.kind).alias("kind")))
-        return F.when(index.candidate(rule.kind, F.col("_bits")) & F.col("_text").rlike(rule.pattern), placed).otherwise(none)
+        placed = F.transform(spans(text, rule), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(rule.kind).alias("kind")))
+        candidate = F.lit(True) if index.queries[rule.kind] == ANY else F.coalesce(F.col(bits).bitwiseAND(F.lit(1 << rank).cast("long")) != 0, F.lit(False))
+        return F.when(candidate & text.rlike(rule.pattern), placed).otherwise(none)
 
-    parts = [part(rank, rule) for rank, rule in enumerate(rules)]
-    return out.withColumn("found", F.array_sort(F.concat(*parts))).drop("_text", "_bits")
+    return out.select(*(F.col(c) for c in docs.columns if c != "found"), F.array_sort(F.concat(*(part(rank, rule) for rank, rule in enumerate(rules)))).alias("found"))
 
 
 def joined(found: Column) -> Column:
