@@ -80,16 +80,16 @@ def _light(fingerprint_of):
     """rid, id, text -> rid, id, n_bytes, sha, fp or, of huge documents, their chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 200)):
             n, sha, fp, parts = [], [], [], []
-            for raw in (x for part in slices(b.column(2)) for x in utf8(part)):
+            for raw in utf8(b.column(2)):
                 data = squeeze(raw)
                 n.append(len(data))
                 sha.append(hashlib.sha256(data).hexdigest())
                 huge = len(data) > HUGE
                 fp.append(None if huge else fingerprint_of(data).tolist())
                 parts.append([{"k": k, "data": x} for k, x in enumerate(chunks_of(data))] if huge else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(fp, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.struct([("k", pa.int64()), ("data", pa.binary())])))], ["rid", "id", "n_bytes", "sha", "fp", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(fp, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.struct([("k", pa.int64()), ("data", pa.binary())])))], ["rid", "id", "n_bytes", "sha", "fp", "parts"])
 
     return run
 
@@ -119,9 +119,9 @@ def _keep_marked(bits, fingerprint_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_bits = bits.value
         m = len(table_bits) * 64
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 200)):
             rows = [[], [], [], [], []]
-            for ident, raw in ((i, x) for part in slices(b) for i, x in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True)):
+            for ident, raw in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
                 data = squeeze(raw)
                 fp = fingerprint_of(data)
                 at = int(fp[0]) % m
@@ -141,7 +141,7 @@ def same_stream(a: bytes, b: bytes) -> bool:
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (key, via, sha, data): each is compared with its group's leaders; new texts lead."""
     group, leaders = None, []
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, 200)):
         out = [[], [], [], []]
         for key, sha, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             if key != group:
@@ -177,7 +177,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_keep_marked(spark.sparkContext.broadcast(bits.view(np.uint64)), fingerprint_of)), f"id {id_type}, fp {FP}, n_bytes long, sha string, data binary")
         key = F.concat_ws(":", F.transform("fp", lambda x: x.cast("string")), F.col("n_bytes").cast("string"))
         salts = max(1, math.isqrt(size.most))
-        first = marked.select(F.concat_ws("#", key, F.pmod(F.xxhash64("id"), F.lit(salts))).alias("key"), "sha", "data")
+        first = marked.select(F.concat_ws("#", key, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))).alias("key"), "sha", "data")
         first = first.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_classes), "key string, sha string, cls int, data binary")
         second = first.select(F.substring_index("key", "#", 1).alias("key"), "sha", "data")
         second = second.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_classes), "key string, sha string, cls int, data binary")
