@@ -50,7 +50,7 @@ def format_chats(rows: DataFrame, template: Template = Template()) -> DataFrame:
     The segments' texts in order are the formatted text; loss is set on what the
     learned roles say.  bad_turn is the first turn that the state machine refuses.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct(F.col("turn").isNull().alias("no_turn"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     moves = F.create_map(*(F.lit(x) for kv in template.moves.items() for x in kv))
     step = lambda acc, t: F.struct(
@@ -86,7 +86,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(0, 2, 1, 1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
     template = Template()
     out = format_chats(rows.unionByName(probe), template).withColumn("turns", read_turns(F.col("formatted"), template))
-    out = out.withColumn("learned", template.unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")))
+    out = out.withColumn("learned", F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(*template.learned)), lambda t: t["text"]), ""))
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
