@@ -1,16 +1,18 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features are word and word-prefix counts whose presence in toxic documents is
-beyond chance, counted by different words before them so that copies of a
-document do not add up.  Labels say toxic or not; toxic documents are graded 1 to 3 by
-terciles of how often such words occur in them.  One weight vector serves all
-thresholds: P(grade > k) = sigmoid(w.x - theta_k), theta rising; the expected
-severity is the sum over k.
+Features are word and word-prefix counts that speak for or against toxicity beyond
+chance, counted by different words before them so that copies of a document do not
+add up.  Labels say toxic or not; toxic documents are graded 1 to 3 by terciles of
+how often telling words occur in them, words that the other half of the labelled
+documents told.  One weight vector serves all thresholds:
+P(grade > k) = sigmoid(w.x - theta_k), theta rising; the expected severity is the
+sum over k.
 
 Edge cases: null or blank text has no feature and the severity of the intercept;
-labels that are null or name no document are left out; without toxic labels all
-documents have severity 0; tied and repeated rows are scored alike; extra
-columns are ignored.
+labels that are null or name no document are left out; of documents that share a
+labelled id one is learned from; without toxic labels all documents have severity
+0; tied and repeated rows are scored alike; empty tables give empty results; extra
+columns pass through, but those named severity, p_toxic or toxic are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import lean, slices, stage, table, utf8
+from girder.llm.common import fresh, lean, slices, stage, table, utf8
 
 #: The model is fitted on at most so many labelled documents (those of smallest hash), with so many features.
 SAMPLE = 20_000
@@ -51,16 +53,16 @@ def contexts(data: bytes) -> set[tuple[bytes, bytes]]:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, text -> (feature, hash of the word before, toxic) of each document once."""
+    """mark, text -> (feature, hash of the word before, mark) of each document once."""
     for b in batches:
         for part in slices(b, 50):
             names, befores, marks = [], [], []
-            for toxic, data in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+            for mark, data in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
                 mine = contexts(data)
                 names.extend(f for f, _ in mine)
                 befores.extend(zlib.crc32(w) for _, w in mine)
-                marks.extend([toxic] * len(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(befores, pa.int64()), pa.array(marks, pa.int32())], ["feature", "before", "toxic"])
+                marks.extend([mark] * len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(befores, pa.int64()), pa.array(marks, pa.int32())], ["feature", "before", "mark"])
 
 
 def sparse(data: bytes, index: dict[bytes, int]) -> dict[int, int]:
@@ -108,38 +110,60 @@ class Model:
         return sigmoid(sum(math.log1p(n) * self.w[i] for i, n in sparse(data, self.index).items()) - self.theta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id, toxic, text of at most ``sample`` labelled documents, one of each id."""
+    chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    both = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return both.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def telling(seen: DataFrame, toxic: str, clean: str, share: float, features: int) -> list[bytes]:
+    """The features whose contexts are toxic (or clean) beyond chance, most telling first."""
+    t, n = F.col(toxic).cast("double"), (F.col(toxic) + F.col(clean)).cast("double")
+    part = lambda k, of: F.when(k > 0, k * F.log(k / (n * of))).otherwise(0.0)
+    gain = part(t, share) + part(n - t, 1 - share)
+    one_sided = (t >= PURITY * n) | (t <= (1 - PURITY) * share * n)
+    best = seen.filter((n >= 3) & one_sided).select("feature", gain.alias("gain")).filter(F.col("gain") > math.log(max(2, seen.filter(n >= 3).count())))
+    return [bytes(r.feature) for r in best.orderBy(F.desc("gain"), "feature").limit(features).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """Fit on at most ``sample`` labelled documents; only counts of features and short sparse rows reach the driver."""
-    chosen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"), "toxic-sample")
-    counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_all = counts.get(1, 0), sum(counts.values())
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    rows = stage(labelled(docs, labels, sample).select(F.col("toxic").alias("toxic"), (2 * half + F.col("toxic")).alias("mark"), "text"), "toxic-sample")
+    counts = {r.mark: r["count"] for r in rows.groupBy("mark").count().collect()}
+    n_toxic, n_all = counts.get(1, 0) + counts.get(3, 0), sum(counts.values())
     if not n_toxic or n_toxic == n_all:
         return Model([], np.zeros(0), np.full(GRADES, 40.0 if not n_toxic else -40.0))
-    share = n_toxic / n_all
     # Copies repeat a word with the word before it; a telling word comes after many different ones.
-    seen = rows.select("toxic", "text").mapInArrow(lean(_seen), "feature binary, before long, toxic int").groupBy("feature", "before").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("c"))
-    seen = seen.groupBy("feature").agg(F.sum("t").alias("t"), F.sum(F.col("t") + F.col("c")).alias("n"))
-    seen = stage(seen.filter("n >= 3"), "toxic-features")
-    t, n = F.col("t").cast("double"), F.col("n").cast("double")
-    gain = t * F.log(t / (n * share)) + F.when(n > t, (n - t) * F.log((n - t) / (n * (1 - share)))).otherwise(0.0)
-    best = seen.filter(t >= PURITY * n).select("feature", gain.alias("gain")).filter(F.col("gain") > math.log(max(2, seen.count()))).orderBy(F.desc("gain"), "feature").limit(FEATURES)
-    names = [bytes(r.feature) for r in best.collect()]
+    held = [F.max((F.col("mark") == k).cast("int")).alias(f"m{k}") for k in range(4)]
+    seen = rows.select("mark", "text").mapInArrow(lean(_seen), "feature binary, before long, mark int").groupBy("feature", "before").agg(*held)
+    seen = stage(seen.groupBy("feature").agg(*(F.sum(f"m{k}").alias(f"m{k}") for k in range(4)), F.sum(F.greatest("m1", "m3")).alias("t"), F.sum(F.greatest("m0", "m2")).alias("c")).filter("t + c >= 3"), "toxic-features")
+    share = n_toxic / n_all
+    used = telling(seen, "t", "c", share, features)
+    spoken = [telling(seen.filter(F.col(t) >= PURITY * (F.col(t) + F.col(c))), t, c, share, features) for t, c in (("m1", "m0"), ("m3", "m2"))]
+    names = list(dict.fromkeys(used + spoken[0] + spoken[1]))
     index = {f: i for i, f in enumerate(names)}
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sparse(x, index) for part in slices(b.column(1)) for x in utf8(part)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[*x] for x in found], pa.list_(pa.int32())), pa.array([[*x.values()] for x in found], pa.list_(pa.int32()))], ["toxic", "cols", "vals"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[*x] for x in found], pa.list_(pa.int32())), pa.array([[*x.values()] for x in found], pa.list_(pa.int32()))], ["mark", "cols", "vals"])
 
-    got = rows.select("toxic", "text").mapInArrow(lean(matrix), "toxic int, cols array<int>, vals array<int>").collect()
-    toxic, hits = np.array([r.toxic for r in got]), np.array([sum(r.vals) for r in got])
-    cuts = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + (hits > cuts[0]) + (hits > cuts[1]), 0)
+    got = rows.select("mark", "text").mapInArrow(lean(matrix), "mark int, cols array<int>, vals array<int>").collect()
+    mark = np.array([r.mark for r in got])
     where = np.repeat(np.arange(len(got)), [len(r.cols) for r in got])
     cols = np.array([c for r in got for c in r.cols], dtype=np.int64)
-    vals = np.log1p(np.array([v for r in got for v in r.vals], dtype=float))
-    return Model(names, *fit_ordinal(where, cols, vals, grade, len(names)))
+    vals = np.array([v for r in got for v in r.vals], dtype=float)
+    grade = mark % 2
+    for k in (0, 1):  # a half's documents are graded by the words that the other half told
+        mine = np.flatnonzero(mark == 2 * k + 1)
+        if len(mine):
+            tells = np.isin(cols, [index[f] for f in spoken[1 - k]])
+            hits = np.bincount(where[tells], vals[tells], len(got))[mine]
+            grade[mine] += sum((hits > cut).astype(int) for cut in np.quantile(hits, [1 / 3, 2 / 3]))
+    kept = cols < len(used)  # the model's features come first
+    return Model(used, *fit_ordinal(where[kept], cols[kept], np.log1p(vals[kept]), grade, len(used)))
 
 
 def severity(model: Model, text: Column) -> Column:
@@ -156,8 +180,9 @@ def severity(model: Model, text: Column) -> Column:
 def grade_docs(docs: DataFrame, labels: DataFrame, threshold: float = REJECT_AT) -> DataFrame:
     """docs with severity (0 to 3), p_toxic and toxic."""
     model = fit(docs, labels)
-    out = docs.withColumn("_score", severity(model, F.col("text")))
-    return out.withColumn("severity", F.col("_score.severity")).withColumn("p_toxic", F.col("_score.p_toxic")).withColumn("toxic", F.col("_score.p_toxic") >= threshold).drop("_score")
+    score = fresh("score", docs)
+    out = docs.withColumn(score, severity(model, F.col("text")))
+    return out.withColumns({"severity": F.col(score)["severity"], "p_toxic": F.col(score)["p_toxic"], "toxic": F.col(score)["p_toxic"] >= threshold}).drop(score)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
