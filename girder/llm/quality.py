@@ -7,8 +7,9 @@ of a pattern is a document's soft label.  A logistic scorer on hashed shape
 features learns from soft labels and then scores all documents.
 
 Edge cases: null or blank text is bad by its length alone; ties keep a document;
-repeated rows get the same score; an empty table gives an empty result; extra
-columns pass through.
+repeated rows get the same score; of documents that share an id (or have none) one
+is learned from; an empty table gives an empty result; extra columns pass through,
+but those named weak, quality or keep are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import slices, stage, table, utf8
+from girder.llm.common import fresh, slices, stage, table, utf8
 from girder.llm.toxicity import sigmoid
 
 #: The scorer is fitted on at most so many documents (those of smallest hash); features are hashed to so many places.
@@ -87,7 +88,7 @@ def shapes(data: bytes) -> tuple[list[int], list[float]]:
     words = data.split()
     n = max(1, len(words))
     found = Counter(_DIGITS.sub(b"9", _LETTERS.sub(b"a", data)).split())
-    rows = {zlib.crc32(w[:12]) % DIMENSIONS: c / n for w, c in found.items()}
+    rows = {zlib.crc32(w) % DIMENSIONS: c / n for w, c in found.items()}
     rows[zlib.crc32(b"repeats") % DIMENSIONS] = sum(map(bytes.__eq__, words, words[1:])) / n
     rows[zlib.crc32(b"top") % DIMENSIONS] = max(Counter(words).values(), default=0) / n
     rows[zlib.crc32(b"length") % DIMENSIONS] = min(1.0, n / 50)
@@ -130,8 +131,9 @@ def grade_quality(docs: DataFrame, keep_at: float = KEEP_AT, sample: int = SAMPL
     _, _, good = estimate(patterns, np.array([r["count"] for r in tallied], dtype=float))
     weak = dict(zip(patterns.tolist(), good.tolist(), strict=True))
     # An id threshold by hash would cut a corpus of any size; orderBy().limit() keeps the smallest hashes in each task.
-    chosen = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).select("doc_id").distinct()
-    got = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(shape, "pattern int, cols array<int>, vals array<double>"), "quality-sample").collect()
+    chosen = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id").groupBy("h", "doc_id").agg(F.lit(1)).orderBy("h", "doc_id").limit(sample).select(F.col("doc_id").alias("chosen"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen"))).groupBy("chosen").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = stage(texts.select("text").mapInArrow(shape, "pattern int, cols array<int>, vals array<double>"), "quality-sample").collect()
     rows = np.repeat(np.arange(len(got)), [len(r.cols) for r in got])
     cols, vals = np.array([c for r in got for c in r.cols], dtype=np.int64), np.array([x for r in got for x in r.vals])
     w, b = fit_linear(rows, cols, vals, np.array([weak[r.pattern] for r in got]))
@@ -147,8 +149,9 @@ def grade_quality(docs: DataFrame, keep_at: float = KEEP_AT, sample: int = SAMPL
             posterior.append(weak[votes(x)])
         return pa.StructArray.from_arrays([pa.array(posterior, pa.float64()), pa.array(sigmoid(np.array(z, dtype=float)), pa.float64())], ["weak", "quality"])
 
-    out = docs.withColumn("_score", score("text"))
-    return out.withColumn("weak", F.col("_score.weak")).withColumn("quality", F.col("_score.quality")).withColumn("keep", F.col("_score.quality") >= keep_at).drop("_score")
+    name = fresh("score", docs)
+    out = docs.withColumn(name, score("text"))
+    return out.withColumns({"weak": F.col(name)["weak"], "quality": F.col(name)["quality"], "keep": F.col(name)["quality"] >= keep_at}).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
