@@ -515,6 +515,9 @@ def test_toxicity_held_out(spark):
     held = [i for i, _, _ in rows if i not in {l[0] for l in labels}]
     assert len(out) == len(rows) + 3
     assert sum(out[i].toxic == (i % 5 == 0) for i in held) >= 0.97 * len(held)
+    count = {i: sum(w in ("idiotic", "moronic", "scumbag", "trashy") for w in re.findall("[a-z]+", (t or "").lower())) for i, t, _ in rows}
+    mean = lambda least, most: np.mean([out[i].severity for i in held if least <= count[i] <= most])
+    assert mean(0, 0) < mean(1, 2) < mean(5, 6)  # more telling words, more severe
     assert not any(out[i].toxic for i in (9001, 9002, 9003)) and all(0 <= r.severity <= toxicity.GRADES for r in out.values())
 
 
@@ -533,6 +536,105 @@ def test_ordinal_thresholds_rise():
     assert ((up > 0.5).sum(axis=1) == grade).mean() > 0.95
 
 
+def test_ordinal_fit_is_the_likelihoods_best():
+    """Against the likelihood written out in plain Python: no step along any axis is better."""
+    import math
+
+    rng = random.Random(1)
+    rows = [[rng.choice([0.0, 0.7, 1.1]) for _ in range(3)] for _ in range(120)]
+    grades = [min(3, max(0, round(1.5 * r[0] - r[1] + rng.random()))) for r in rows]
+    where = np.repeat(np.arange(120), 3)
+    w, theta = toxicity.fit_ordinal(where, np.tile(np.arange(3), 120), np.array(rows).ravel(), np.array(grades), 3, l2=0.01, steps=3000, rate=0.02)
+
+    def loss(w, theta):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            up = [1.0, *(1 / (1 + math.exp(t - sum(a * b for a, b in zip(w, r, strict=True)))) for t in theta), 0.0]
+            total -= math.log(up[g] - up[g + 1])
+        return total / len(rows) + 0.005 * sum(a * a for a in w)
+
+    best = loss(w, theta)
+    for i in range(3):
+        for step in (-0.02, 0.02):
+            w2, t2 = list(w), list(theta)
+            w2[i] += step
+            t2[i] += step
+            assert loss(w2, theta) > best - 1e-6 and loss(w, t2) > best - 1e-6
+    model = toxicity.Model([b"bad", b"nice"], np.array([2.0, -1.0]), np.array([1.0, 2.0, 3.0]))
+    assert np.allclose(model.above(b"Bad bad, nice other"), [1 / (1 + math.exp(t - 2 * math.log(3) + math.log(2))) for t in (1, 2, 3)])
+
+
+def test_toxicity_edges(spark):
+    rows, labels = toxic_corpus(spark, 300)
+    rows = rows + [(0, "idiotic twin of an id", "x")] * 3 + [(None, "no id", "x"), (None, "you moronic scumbag idiotic trashy", "x"), (9000, "fine word " * 400_000, "x")]
+    made = docs(spark, rows).selectExpr("*", "1 AS score", "2 AS mark", "3 AS _score", "'t' AS feature")
+    out = toxicity.grade_docs(made, spark.createDataFrame(labels + labels[:20], "doc_id long, quality int, toxic int"))
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns == [*made.columns, "severity", "p_toxic", "toxic"]
+    assert [r.toxic for r in got if r.doc_id is None and r.text.startswith("you")] == [True]
+    assert len({r.severity for r in got if r.text == "idiotic twin of an id"}) == 1
+    assert toxicity.grade_docs(made.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+    assert toxicity.labelled(made, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 50).count() == 50
+
+
+def test_quality_estimate_against_plain_python():
+    """Expectation-maximisation, document by document, gives the same posteriors."""
+    import math
+
+    rng = random.Random(4)
+    docs_votes = [[rng.choice([0, 1, 2]) if rng.random() < 0.3 else 2 for _ in quality.LABELLERS] for _ in range(150)]
+    seen = Counter(sum(v * 3**i for i, v in enumerate(d)) for d in docs_votes)
+    patterns = np.array(sorted(seen))
+    prior, rate, good = quality.estimate(patterns, np.array([float(seen[p]) for p in patterns.tolist()]), rounds=25)
+    mine = [1 / (1 + math.exp(4.0 * sum(v == 0 for v in d[:quality.DEFECTS]) - 3.0)) for d in docs_votes]
+    for _ in range(25):
+        p = min(0.98, max(0.02, sum(mine) / len(mine)))
+        table = []
+        for k in range(len(quality.LABELLERS)):
+            n = [[1.0, 1.0], [1.0, 1.0]]
+            for d, g in zip(docs_votes, mine, strict=True):
+                if d[k] != 1:
+                    n[1][d[k] // 2] += g
+                    n[0][d[k] // 2] += 1 - g
+            bad_if_good = n[1][0] / sum(n[1])
+            if k < quality.DEFECTS:
+                bad_if_good = min(bad_if_good, quality.FALSE_ALARMS)
+            table.append(((n[0][0] / sum(n[0]), n[0][1] / sum(n[0])), (bad_if_good, 1 - bad_if_good)))
+        mine = []
+        for d in docs_votes:
+            z = math.log(p / (1 - p)) + sum(math.log(table[k][1][v // 2] / table[k][0][v // 2]) for k, v in enumerate(d) if v != 1)
+            mine.append(1 / (1 + math.exp(-z)))
+    by_pattern = dict(zip(patterns.tolist(), good.tolist(), strict=True))
+    assert abs(p - prior) < 1e-6
+    assert all(abs(by_pattern[sum(v * 3**i for i, v in enumerate(d))] - g) < 1e-6 for d, g in zip(docs_votes, mine, strict=True))
+
+
+def test_quality_linear_scorer_against_plain_python():
+    import math
+
+    rng = random.Random(5)
+    x = [[rng.random(), rng.random()] for _ in range(60)]
+    soft = [0.9 if a > b else 0.2 for a, b in x]
+    w, bias = quality.fit_linear(np.repeat(np.arange(60), 2), np.tile([0, 1], 60), np.array(x).ravel(), np.array(soft), dims=2, steps=4000, l2=0.01)
+
+    def loss(w, b):
+        z = [w[0] * p + w[1] * q + b for p, q in x]
+        return sum(math.log(1 + math.exp(v)) - s * v for v, s in zip(z, soft, strict=True)) / 60 + 0.005 * sum(v * v for v in w)
+
+    best = loss(w, bias)
+    assert all(loss([w[0] + i, w[1] + j], bias + k) > best - 1e-6 for i in (-0.02, 0, 0.02) for j in (-0.02, 0, 0.02) for k in (-0.02, 0, 0.02))
+
+
+def test_quality_edges(spark):
+    good = "The quick word runs over some other lazy word today. " * 6
+    rows = [(i, good.replace("word", f"w{i}"), "x") for i in range(30)] + [(None, good, "x"), (None, "$$$ " * 40, "x"), (3, good, "x"), (3, good, "x"), (50, "a b. " * 500_000, "x")]
+    made = docs(spark, rows).selectExpr("*", "1 AS score", "2 AS pattern", "3 AS _score", "4 AS h")
+    out = quality.grade_quality(made)
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns == [*made.columns, "weak", "quality", "keep"]
+    assert len({r.quality for r in got if r.text == good}) == 1
+
+
 def test_quality(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))

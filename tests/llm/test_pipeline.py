@@ -123,3 +123,20 @@ def test_stages_keep_rows_of_null_and_repeated_ids(spark):
     assert got == +want and any(i is None for i, _ in got)
     assert max(Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs(spark, [(7, c, "x")] * 4), DATA).collect()).values()) <= 12
     assert sorted(Counter(r.doc_id for r in corpus_pipeline.encode(spark, made, DATA).collect()).items(), key=str) == sorted(Counter(i for i, _, _ in rows).items(), key=str)
+
+
+def test_stages_of_clashing_names_and_empty_tables(spark):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(3)]
+    rows = [(1, texts[0], "x"), (2, texts[1], None), (3, texts[1].replace(" ", "\n"), "x"), (4, None, "y"), (5, "long " * 1_000_000, "y"), (6, texts[2], "y")]
+    names = ["_score", "score", "copies", "severity", "toxic", "weak", "_copy", "key", "row", "_row", "rid", "id", "fp", "kept"]
+    made = docs(spark, rows).selectExpr("*", *(f"{i} AS {n}" for i, n in enumerate(names)))
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, made, DATA)
+        got = out.collect()
+        if name != "bpe":
+            assert out.columns == made.columns
+            assert all(r[n] == i for r in got for i, n in enumerate(names))
+        ids = {r.doc_id for r in got}
+        assert ids == {"exact_dedup": {1, 2, 4, 5, 6}, "simhash_near_dedup": {1, 2, 4, 5, 6}}.get(name, ids) and ids >= ({1, 6} if name != "mix_sources" else set())
+        assert step(spark, made.limit(0), DATA).count() == 0
