@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.plans.staging import stage
+from girder.plans.staging import settle, stage, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,10 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps, written to the shared folder
     each round; it ends when a round changes nothing.
     """
+    since = staged()
     now = stage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     mark = None
     while True:
-        now = stage(_star(_star(now, True), False), "edges")
+        now = settle(_star(_star(now, True), False), "edges", since)
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (new.n, new.h) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
