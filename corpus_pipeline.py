@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from girder.llm import bpe, dedup, mixing, simhash, toxicity
 from girder.llm.common import fresh, stage, table
+from girder.plans.staging import settle, staged
 
 
 
@@ -70,7 +71,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), staged()
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settle(step(spark, docs, sf_dir), f"pipeline-{name}", since)
     return docs
