@@ -25,7 +25,10 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 def clean_prices(rows: DataFrame, as_of: str) -> DataFrame:
     """W20 with P11-P14: alias, unit, date, cast, validate, then the first row per five-column key."""
-    out = rows.withColumn("material", D.material(F.col("material"))).withColumn("unit", D.unit(F.col("unit"))).withColumn("price_date", D.full_date(F.col("price_date"), as_of))
+    # Names are few: each distinct one is normalised once and joined back.
+    names = rows.select(F.col("material").alias("_raw")).distinct().withColumn("_standard", D.material(F.col("_raw")))
+    out = rows.join(names, F.col("material").eqNullSafe(F.col("_raw")), "left").withColumn("material", F.col("_standard")).drop("_raw", "_standard")
+    out = out.withColumn("unit", D.unit(F.col("unit"))).withColumn("price_date", D.full_date(F.col("price_date"), as_of))
     out = out.withColumn("price_low", F.col("price_low").try_cast("double")).withColumn("price_high", F.col("price_high").try_cast("double"))
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("spec", "market", "source")}
     return keep_first(out.withColumns(blank).filter(D.plausible_price(F.col("material"), F.col("price_low"), F.col("price_high"))), list(PRICE_KEY), [F.col("ord")])

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girder.functions import geometry as G
-from girder.functions.text import contains_any
 from girder.operators import interval, ordered, spatial
 
 
@@ -152,12 +151,46 @@ def split_by_columns(walls: DataFrame, columns: DataFrame, keys: list[str], shor
 
 
 def greedy_hosts(labels: DataFrame, boundaries: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """Nearest free boundary or profile of each label within reach (one to one), with a confidence falling by distance."""
+    """Nearest free boundary or profile of each label within reach (one to one), with a confidence falling by distance."""
     b = boundaries.select(*keys, "boundary_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
     near = spatial.near_points(labels, b, keys, reach).select(*keys, "label_id", "boundary_id", "distance")
     return ordered.greedy_pairs(near, keys, "label_id", "boundary_id", "distance").withColumn("confidence", G.distance_confidence(F.col("distance"), reach, 0.8, 0.2))
 
 
+def beam_labels(beams: DataFrame, labels: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """The nearest label of each beam within reach; a label may serve several beams.  A beam without one gets a
+    mark from a hash of its place and a confidence of at most 0.85.
+
+    beams: keys, beam_id, x, y, confidence.  labels: keys, label_id, mark, x, y.
+    """
+    l = labels.select(*keys, "label_id", F.col("mark").alias("label_mark"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    best = spatial.near_points(beams, l, keys, reach).groupBy("beam_id").agg(F.min_by(F.struct("label_id", "label_mark"), F.struct("distance", "label_id")).alias("best"))
+    place = F.substring(F.sha2(F.concat_ws(":", F.round("x", 3).cast("decimal(18,3)").cast("string"), F.round("y", 3).cast("decimal(18,3)").cast("string")), 256), 1, 8)
+    named = F.col("best").isNotNull()
+    return beams.join(best, "beam_id", "left").select(*keys, "beam_id", "best.label_id", F.when(named, F.col("best.label_mark")).otherwise(F.concat(F.lit("LL-"), place)).alias("mark"), F.when(named, F.col("confidence")).otherwise(F.least("confidence", F.lit(0.85))).alias("confidence"))
+
+
+def label_openings(labels: DataFrame, boundaries: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """Labels in input order (``ord``) each take the nearest boundary within reach that is still free."""
+    b = boundaries.select(*keys, "boundary_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    near = spatial.near_points(labels, b, keys, reach).select(*keys, "ord", "label_id", "boundary_id", "distance")
+    types = dict(near.dtypes)
+
+    def rule(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["ord", "distance", "boundary_id"], kind="stable")
+        return pd.DataFrame(ordered.take_greedy(list(zip(pdf["label_id"], pdf["boundary_id"], pdf["distance"], strict=True))), columns=["label_id", "boundary_id", "distance"])
+
+    return ordered.by_group(near, keys, ["ord"], rule, f"label_id {types['label_id']}, boundary_id {types['boundary_id']}, distance double")
+
+
+def ifc_grid(axes: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Axis values folded pairwise per direction (a value near the last centre moves it to their mean) and numbered in order."""
+    centres = axes.groupBy(*keys, "direction").agg(ordered.cluster_fold(F.collect_list("v"), tolerance).alias("centres"))
+    return centres.select(*keys, "direction", F.posexplode("centres").alias("pos", "at")).select(*keys, "direction", "at", F.concat(F.substring("direction", 1, 1), (F.col("pos") + 1).cast("string")).alias("label"))
+
+
 def paired_evidence(segments: DataFrame, keys: list[str], declared: DataFrame | None = None, most: float = 0.60) -> DataFrame:
     """Wall evidence from paired faces, each stretch of a face used once, nearest pairs first; thicker pairs only
     where the frame declares one such thickness (declared: keys, thickness)."""
@@ -181,7 +214,7 @@ def grid_calibration(matches: DataFrame) -> DataFrame:
 
 
 def project_grid(axes: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Axis candidates clustered by running mean per direction and numbered in order."""
+    """Axis candidates clustered by running mean per direction and numbered in order."""
     return ordered.clusters(axes, [*keys, "direction"], "v", tolerance).withColumn("label", F.concat(F.substring("direction", 1, 1), (F.col("cluster") + 1).cast("string")))
 
 
@@ -244,20 +277,36 @@ def union_floors(floors: dict[str, DataFrame], kind: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def pixel_iou(source: DataFrame, target: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Edge pixels (keys, x, y) of two renders: recall, precision, their minimum, and matched over union."""
-    s = source.distinct().withColumn("sid", F.xxhash64("x", "y"))
-    t = target.distinct().select(*keys, F.col("x").alias("rx"), F.col("y").alias("ry"), F.xxhash64("x", "y").alias("tid"))
-    hit = spatial.near_points(s, t, keys, tolerance).select(*keys, "sid", "tid")
-    n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    out = n(s, "a").join(n(t, "b"), keys, "full").join(n(hit.select(*keys, "sid").distinct(), "ma"), keys, "left").join(n(hit.select(*keys, "tid").distinct(), "mb"), keys, "left").na.fill(0)
-    matched = (F.col("ma") + F.col("mb")) / 2
-    return out.withColumn("recall", F.col("ma") / F.col("a")).withColumn("precision", F.col("mb") / F.col("b")).withColumn("edge_iou", F.least("recall", "precision")).withColumn("raw_iou", matched / (F.col("a") + F.col("b") - matched))
+def pixel_iou(source: DataFrame, target: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
+    """Edge pixels (keys, x, y: whole numbers) of two renders.
+
+    A pixel is matched if the other render has one in the square of ``tolerance``
+    pixels to each side.  Recall, precision, their minimum, and matched over union;
+    0 where a side is empty.
+    """
+    s, t = source.select(*keys, "x", "y").distinct(), target.select(*keys, "x", "y").distinct()
 
+    def matched(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        steps = F.sequence(F.lit(-tolerance), F.lit(tolerance))
+        reached = b.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select(*keys, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")).distinct()
+        return a.join(reached, [*keys, "x", "y"], "left_semi").groupBy(*keys).agg(F.count("*").alias(name))
 
-def endpoint_review(texts: Column, words: tuple[str, ...]) -> Column:
-    """Whether a report's texts name one of the known pitfalls."""
-    return F.exists(texts, lambda t: contains_any(t, words))
+    n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    out = n(s, "a").join(n(t, "b"), keys, "full").join(matched(s, t, "ma"), keys, "left").join(matched(t, s, "mb"), keys, "left").na.fill(0)
+    share = lambda part, whole: F.when((F.col("a") > 0) & (F.col("b") > 0), F.col(part) / F.col(whole)).otherwise(0.0)
+    both = (F.col("ma") + F.col("mb")) / 2
+    out = out.withColumn("recall", share("ma", "a")).withColumn("precision", share("mb", "b")).withColumn("edge_iou", F.least("recall", "precision"))
+    return out.withColumn("raw_iou", F.when((F.col("a") > 0) & (F.col("b") > 0), both / (F.col("a") + F.col("b") - both)).otherwise(0.0))
+
+
+def pitfalls(reports: DataFrame) -> DataFrame:
+    """The known pitfalls that a report of counts hits: more axes than labels, flipped orientations, a match
+    rate below 0.9, columns out of range.  An absent or zero count says nothing, but a match rate of zero counts."""
+    some = lambda c: F.coalesce(F.col(c), F.lit(0)) != 0
+    hits = F.array_compact(F.array(
+        F.when(some("axis_count") & some("axis_label_count") & (F.col("axis_count") > F.col("axis_label_count")), F.lit("PIT-01")),
+        F.when(some("orient_flips"), F.lit("PIT-03")), F.when(F.col("main_match_rate") < 0.9, F.lit("PIT-06")), F.when(F.col("coord_outliers") > 0, F.lit("PIT-08"))))
+    return reports.withColumn("pitfalls", hits)
 
 
 def cached_by_digest(spark: SparkSession, root: str, digest: str, build: Callable[[], DataFrame]) -> DataFrame:

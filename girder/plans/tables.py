@@ -55,7 +55,7 @@ def metadata_matches(props: Column, filters: dict[str, object]) -> Column:
 
 def json_or(value: Column, schema: str, default: Column) -> Column:
     """Null or invalid JSON gives the default."""
-    return F.coalesce(F.from_json(value, schema), default)
+    return F.coalesce(F.when(F.try_parse_json(value).isNotNull(), F.from_json(value, schema)), default)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

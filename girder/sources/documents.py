@@ -48,11 +48,15 @@ def ifc_products(data: bytes) -> list[tuple[str, str, str, str]]:
 
 
 def pdf_text(data: bytes) -> str:
-    """A section per page that has text, headed "# Page n".  Needs the optional pypdf."""
+    """The pages of a PDF as text.  Needs the optional pypdf."""
     from pypdf import PdfReader
 
-    pages = [(n, (p.extract_text() or "").strip()) for n, p in enumerate(PdfReader(io.BytesIO(data)).pages, 1)]
-    return "\n\n".join(f"# Page {n}\n{t}" for n, t in pages if t)
+    return page_sections([p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages])
+
+
+def page_sections(pages: list[str]) -> str:
+    """A section per page that has text, headed "# Page n" and a blank line."""
+    return "\n\n".join(f"# Page {n}\n\n{t.strip()}" for n, t in enumerate(pages, 1) if t.strip())
 
 
 def read_one(path: str, data: bytes) -> str:
