@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,6 +122,11 @@ def vertex_mean(points: Column) -> Column:
     return F.struct(total("x").alias("x"), total("y").alias("y"))
 
 
+def _named(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it stands in the expression."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def clip_polygon(points: Column, xmin: Column, xmax: Column, ymin: Column, ymax: Column) -> Column:
     """The polygon cut to a rectangle, one side after the other, as nested array folds."""
 
@@ -139,7 +146,7 @@ def clip_polygon(points: Column, xmin: Column, xmax: Column, ymin: Column, ymax:
         return F.flatten(step)
 
     for axis, bound, less in (("x", xmin, False), ("x", xmax, True), ("y", ymin, False), ("y", ymax, True)):
-        points = cut(points, axis, bound, less)
+        points = _named(points, functools.partial(cut, axis=axis, bound=bound, keep_less=less))
     return points
 
 

@@ -107,17 +107,18 @@ _REQUIRED = (("letter", ("the ", "le ")), ("licence", ("der ", "la ")), ("proxy"
 _RISKS = ("###", "%%%")
 
 
-@query(f"""
-WITH b AS (SELECT source AS bid_id, doc_id, text FROM documents), t AS (SELECT bid_id, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM b WHERE doc_id % 25 < 1 GROUP BY 1)
-SELECT bid_id, (CASE WHEN {' OR '.join(f"contains(t, '{w}')" for w in _REQUIRED[0][1])} THEN 0 ELSE 1 END + CASE WHEN {' OR '.join(f"contains(t, '{w}')" for w in _REQUIRED[1][1])} THEN 0 ELSE 1 END + CASE WHEN contains(t, 'ing') THEN 0 ELSE 1 END + CASE WHEN contains(t, '###') OR contains(t, '%%%') THEN 1 ELSE 0 END) > 0 AS critical,
-       regexp_matches(t, '[0-9]+') AS has_amount, CASE WHEN (CASE WHEN {' OR '.join(f"contains(t, '{w}')" for w in _REQUIRED[0][1])} THEN 0 ELSE 1 END + CASE WHEN {' OR '.join(f"contains(t, '{w}')" for w in _REQUIRED[1][1])} THEN 0 ELSE 1 END + CASE WHEN contains(t, 'ing') THEN 0 ELSE 1 END + CASE WHEN contains(t, '###') OR contains(t, '%%%') THEN 1 ELSE 0 END) > 0 THEN 'rejected' WHEN length(t) % 100 >= 80 THEN 'approved' WHEN length(t) % 100 >= 60 THEN 'review' ELSE 'rejected' END AS verdict FROM t""")
+_HOLDS = [" OR ".join(f"contains(t, '{w}')" for w in words) for _, words in _REQUIRED] + [" OR ".join(f"contains(t, '{w}')" for w in _RISKS)]
+
+
+@query(f"""WITH t AS (SELECT doc_id AS bid_id, coalesce(text, '') AS t FROM documents), f AS (SELECT bid_id, t, NOT ({_HOLDS[0]}) OR NOT ({_HOLDS[1]}) OR NOT ({_HOLDS[2]}) OR {_HOLDS[3]} AS critical FROM t)
+SELECT bid_id, critical, regexp_matches(t, '[0-9]+') AS has_amount, CASE WHEN critical THEN 'rejected' WHEN length(t) % 100 >= 80 THEN 'approved' WHEN length(t) % 100 >= 60 THEN 'review' ELSE 'rejected' END AS verdict,
+       CASE WHEN critical OR length(t) % 100 < 60 THEN 'high' WHEN length(t) % 100 < 75 THEN 'medium' ELSE 'low' END AS risk FROM f""")
 def bid_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P27, P28 with stand-in words; a bid is a source's every 25th document, as the fixture's rule."""
-    files = table(spark, sf_dir, "documents").filter("doc_id % 25 < 1").groupBy(F.col("source").alias("bid_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("p"))
-    t = files.select("bid_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("t"))
-    hits = D.disqualifications(F.col("t"), _REQUIRED, _RISKS, "[0-9]+")
-    out = t.withColumn("hits", hits).withColumn("critical", F.exists("hits", lambda h: h["severity"] == "critical"))
-    return out.select("bid_id", "critical", (~F.exists("hits", lambda h: h["rule"] == "报价缺失")).alias("has_amount"), D.bid_verdict(F.length("t") % 100, F.col("critical"))["verdict"].alias("verdict"))
+    """P27, P28 with stand-in words; a document is a bid."""
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("bid_id"), F.coalesce("text", F.lit("")).alias("t"))
+    out = t.withColumn("hits", D.disqualifications(F.col("t"), _REQUIRED, _RISKS, "[0-9]+")).withColumn("critical", F.exists("hits", lambda h: h["severity"] == "critical"))
+    verdict = D.bid_verdict(F.length("t") % 100, F.col("critical"))
+    return out.select("bid_id", "critical", (~F.exists("hits", lambda h: h["rule"] == "报价缺失")).alias("has_amount"), verdict["verdict"].alias("verdict"), verdict["risk_level"].alias("risk"))
 
 
 _VIOLATIONS = f"""WITH {X.ELEMENT_SQL},

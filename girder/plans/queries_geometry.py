@@ -22,13 +22,14 @@ def size_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT DISTINCT o_custkey % 50 AS drawing, (o_orderkey * 37 % 23 * 4000 + o_orderkey % 3 * 500)::DOUBLE AS v FROM orders WHERE o_orderkey % 40 = 0),
+WITH a AS (SELECT DISTINCT o_custkey % 50 AS drawing, (o_orderkey * 37 % 23 * (4000 + o_custkey % 50 * 10) + o_orderkey % 3 * 200)::DOUBLE AS v FROM orders),
 g AS (SELECT drawing, v, v - lag(v) OVER (PARTITION BY drawing ORDER BY v) AS gap FROM a), h AS (SELECT drawing, gap, count(*) AS n, min(v) AS first FROM g WHERE gap > 3000 AND gap < 15000 GROUP BY 1, 2),
 m AS (SELECT drawing, arg_max(gap, (n, -first)) AS mode FROM h GROUP BY 1)
 SELECT DISTINCT a.drawing, coalesce(mode, 9000) AS pitch FROM a LEFT JOIN m USING (drawing)""")
 def axis_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").filter(k % 40 == 0).select((F.col("o_custkey") % 50).alias("drawing"), (k * 37 % 23 * 4000 + k % 3 * 500).cast("double").alias("v"))
+    drawing = F.col("o_custkey") % 50
+    rows = table(spark, sf_dir, "orders").select(drawing.alias("drawing"), (k * 37 % 23 * (4000 + drawing * 10) + k % 3 * 200).cast("double").alias("v"))
     return stats.axis_pitch(rows, ["drawing"])
 
 
@@ -289,5 +290,5 @@ def collinear_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = X.segments(spark, sf_dir).filter("seg_id % 3 = 0").select("drawing", F.col("seg_id").alias("id"), "x1", "y1", "x2", "y2", (F.col("thickness") / 1000).alias("thickness"))
+    s = X.segments(spark, sf_dir).select("drawing", F.col("seg_id").alias("id"), "x1", "y1", "x2", "y2", (F.col("thickness") / 1000).alias("thickness"))
     return ordered.walls_by_group(s, ["drawing"], lambda walls: ordered.classify_junctions(ordered.heal_junctions(walls, 0.3), 0.3), "kind string, x double, y double, members array<long>", ["id"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girder.functions import text as T
 from girder.functions import vectors as V
-from girder.operators import clean, retrieval
+from girder.operators import clean, retrieval, stats
 from girder.plans.registry import query
 from girder.plans.tables import metadata_matches, scope_visible, table
 from girder.sources import prices
@@ -59,10 +59,10 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.document_frequency(table(spark, sf_dir, "documents"), F.col("text"))
 
 
-@query(f"SELECT doc_id, list_sort([('0x' || substr(md5(x), 1, 8))::BIGINT FOR x IN list_distinct({_TOKENS})])[1:5] AS ids, len({_TOKENS})::DOUBLE AS total FROM documents")
+@query(f"SELECT doc_id, md5(array_to_string(list_sort([('0x' || substr(md5(x), 1, 8))::BIGINT FOR x IN list_distinct({_TOKENS})]), ',')) AS ids, len({_TOKENS})::DOUBLE AS total FROM documents")
 def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = retrieval.sparse_vectors(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("vector", "v")
-    return rows.select("doc_id", F.slice(F.transform("v", lambda p: p["id"]), 1, 5).alias("ids"), F.aggregate("v", F.lit(0.0), lambda acc, p: acc + p["n"]).alias("total"))
+    return rows.select("doc_id", F.md5(F.array_join(F.transform("v", lambda p: p["id"].cast("string")), ",").cast("binary")).alias("ids"), F.aggregate("v", F.lit(0.0), lambda acc, p: acc + p["n"]).alias("total"))
 
 
 @query("""
@@ -99,12 +99,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 10),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id AS doc_key, greatest(0.0::DOUBLE, list_reduce([v[i] * e.embedding[i]::DOUBLE FOR i IN range(1, len(v) + 1)], lambda a, b: a + b)) AS score FROM q, embeddings e)
 SELECT query_id, doc_key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_key)::INT AS rank FROM s QUALIFY rank <= 10""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return retrieval.top_k(retrieval.dense(rows, asked, "vec_id", "embedding"), 10).withColumn("score", F.round("score", 6))
 
 
@@ -136,15 +136,16 @@ f AS (SELECT u.*, row_number() OVER (PARTITION BY query_id, left(text, 80) ORDER
 SELECT query_id AS group_id, doc_key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, query_ord, rank)::INT AS merged_rank FROM f WHERE k = 1 QUALIFY merged_rank <= 3""")
 def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, parts = table(spark, sf_dir, "documents"), []
+    prepared = retrieval.tokenised(docs, "doc_id")
     for i, first in enumerate((1, 7)):
-        scores = retrieval.bm25(docs, _queries(spark, sf_dir, first), "doc_id").withColumn("score", F.round("score", 9))
+        scores = retrieval.bm25(docs, _queries(spark, sf_dir, first), "doc_id", prepared=prepared).withColumn("score", F.round("score", 9))
         parts.append(retrieval.top_k(scores, 4).withColumn("query_ord", F.lit(i)))
     hits = parts[0].unionByName(parts[1]).withColumnRenamed("query_id", "group_id").join(docs.select(F.col("doc_id").alias("doc_key"), F.substring("text", 1, 80).alias("content")), "doc_key")
     return retrieval.merge_queries(hits).select("group_id", "doc_key", F.round("score", 6).alias("score"), "merged_rank")
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id AS doc_key, greatest(0.0::DOUBLE, list_reduce([v[i] * e.embedding[i]::DOUBLE FOR i IN range(1, len(v) + 1)], lambda a, b: a + b)) AS score, e.label = q.label AS rel FROM q, embeddings e WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_key) AS rank, count(*) FILTER (rel) OVER (PARTITION BY query_id) AS n_rel FROM s),
 t AS (SELECT * FROM r WHERE rank <= 10),
@@ -152,7 +153,7 @@ i AS (SELECT query_id, any_value(n_rel) AS n_rel, count(*) FILTER (rel) AS hit,
 SELECT query_id, round(hit::DOUBLE / n_rel, 6) AS recall, round(rr, 6) AS rr, round(dcg / (SELECT sum(1.0::DOUBLE / log2(k + 1)) FROM range(1, 11) x(k) WHERE k <= n_rel), 6) AS ndcg FROM i""")
 def recall_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
     got = retrieval.top_k(retrieval.dense(rows, asked, "vec_id", "embedding").filter("query_id <> doc_key"), 10)
     want = rows.join(asked.select("query_id", F.col("query_label").alias("label")), "label").filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_key"), F.lit(1.0).alias("gain"))
     m = retrieval.retrieval_metrics(got, want, 10)
@@ -202,15 +203,39 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "text_hash", "n")
 
 
-@query(f"""
-WITH t AS (SELECT doc_id, source, list_distinct({_TOKENS}) AS tokens FROM documents WHERE doc_id < 200),
-p AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, len(list_intersect(a.tokens, b.tokens)) AS shared, len(a.tokens) + len(b.tokens) AS total FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id)
-SELECT a_id, b_id, round(CASE WHEN total - shared > 0 THEN shared::DOUBLE / (total - shared) ELSE 0 END, 9) AS score FROM p""")
+_PROFILES = f"""
+WITH t AS (SELECT doc_id, source, list_distinct({_TOKENS}) AS tokens FROM documents),
+p AS (SELECT a.doc_id AS drawing_id, b.doc_id AS profile_id, len(list_intersect(a.tokens, b.tokens)) AS shared, len(a.tokens) + len(b.tokens) AS total FROM t a JOIN t b ON a.source = b.source WHERE b.doc_id % 100 = 0),
+s AS (SELECT drawing_id, profile_id, CASE WHEN total - shared > 0 THEN shared::DOUBLE / (total - shared) ELSE 0 END AS score FROM p)"""
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as drawings, and a library of profiles: those whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tenant_id"), F.array_distinct(T.lexical_tokens(F.coalesce("text", F.lit("")))).alias("layers"))
+    library = rows.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("profile_id"), F.col("doc_id").alias("ord"), "tenant_id", "layers", F.lit("stored").alias("signature"))
+    return rows.withColumnRenamed("doc_id", "drawing_id").withColumn("signature", F.lit("new")), library
+
+
+@query(_PROFILES + " SELECT drawing_id, profile_id, round(score, 9) AS score FROM s")
 def jaccard_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A21 between a stated library of 200 profiles, within their source."""
-    rows = table(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id", "source", F.array_distinct(T.lexical_tokens(F.col("text"))).alias("tokens"))
-    a, b = rows.select(F.col("doc_id").alias("a_id"), "source", F.col("tokens").alias("a")), rows.select(F.col("doc_id").alias("b_id"), "source", F.col("tokens").alias("b"))
-    return a.join(b, "source").filter("a_id < b_id").select("a_id", "b_id", F.round(V.profile_similarity([(F.col("a"), F.col("b"))]), 9).alias("score"))
+    """A21 between each document and a stated library, within their source."""
+    rows, library = _profiles(spark, sf_dir)
+    both = rows.join(library.withColumnsRenamed({"layers": "stored", "signature": "stored_signature"}), "tenant_id")
+    return both.select("drawing_id", "profile_id", F.round(V.profile_similarity([(F.col("layers"), F.col("stored"))]), 9).alias("score"))
+
+
+@query(_PROFILES + " SELECT drawing_id, arg_max(profile_id, (score, -profile_id)) AS profile_id, round(max(score), 4) AS score FROM s WHERE score > 0 GROUP BY 1 HAVING round(max(score), 4) >= 0.2")
+def best_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best stored profile of each drawing."""
+    rows, library = _profiles(spark, sf_dir)
+    return stats.best_profile(rows, library, 0.2, ("layers",))
+
+
+@query("""WITH h AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, l_returnflag || l_suppkey % 3 AS source, (l_partkey * 1000 + l_suppkey) * 100 + l_quantity::BIGINT AS o FROM lineitem)
+SELECT query_id, string_agg(source, ',' ORDER BY rank, source) AS sources FROM h GROUP BY 1""")
+def top_sources_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.concat("l_returnflag", (F.col("l_suppkey") % 3).cast("string")).alias("source"))
+    return top_sources(hits).select("query_id", F.array_join("sources", ",").alias("sources"))
 
 
 @query("""
