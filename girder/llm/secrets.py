@@ -68,7 +68,9 @@ class TrigramIndex:
     def postings(self, rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
         """(block, trigram, rows): rows is the sorted array of the row numbers that hold the trigram."""
         lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-        seen = rows.select(F.col(row_col).alias("row"), lowered.alias("lowered")).select("row", F.array_compact(F.array(*(F.when(F.contains("lowered", F.lit(t)), F.lit(t)) for t in self.trigrams))).alias("held"))
+        every = F.array(*map(F.lit, self.trigrams))
+        held = F.transform(F.array(lowered), lambda text: F.filter(every, lambda t: F.contains(text, t)))  # the text is lowered once, not once a trigram
+        seen = rows.select(F.col(row_col).alias("row"), F.get(held, F.lit(0)).alias("held"))
         return seen.select("row", F.explode("held").alias("trigram")).groupBy(F.shiftright("row", BLOCK_BITS).alias("block"), "trigram").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
     def candidates(self, postings: DataFrame) -> DataFrame:
