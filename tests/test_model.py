@@ -111,9 +111,12 @@ def test_assembly(spark, tmp_path):
     base = spark.createDataFrame([("w1", "h1", 0.0, 0.0, 1.0, 0.0), ("w2", "h2", 0.0, 0.0, 1.0, 0.0)], "wall_id string, hash string, x1 double, y1 double, x2 double, y2 double")
     change = spark.createDataFrame([("w1", "h1", 0.0, 0.0, 2.0, 0.0), ("w2", "old", 9.0, 9.0, 9.0, 9.0)], "wall_id string, base_hash string, x1 double, y1 double, x2 double, y2 double")
     assert {r.wall_id: (r.replay, r.x2) for r in model.apply_if_unchanged(base, change).collect()} == {"w1": ("applied", 2.0), "w2": ("stale", 1.0)}
-    px = spark.createDataFrame([("r", float(i), 0.0) for i in range(10)], "k string, x double, y double")
-    iou = model.pixel_iou(px, px.filter("x < 5").withColumn("y", F.lit(1.0)), ["k"], 1.0).first()
-    assert (iou.recall, iou.precision, iou.edge_iou) == (0.5, 1.0, 0.5)
+    px = spark.createDataFrame([("r", i, 0) for i in range(10)] + [("t", 1, 1)], "k string, x long, y long")
+    iou = {r.k: r for r in model.pixel_iou(px, px.filter("k = 'r' AND x < 5").withColumn("y", F.lit(1).cast("long")), ["k"], 1).collect()}
+    assert (iou["r"].recall, iou["r"].precision, iou["r"].edge_iou) == (0.6, 1.0, 0.6)
+    assert (iou["t"].recall, iou["t"].edge_iou, iou["t"].raw_iou) == (0.0, 0.0, 0.0)
+    corner = model.pixel_iou(px.filter("k = 't'"), px.filter("k = 't'").withColumns({"x": F.col("x") + 4, "y": F.col("y") + 4}), ["k"], 4).first()
+    assert corner.edge_iou == 1.0  # a square reach, not a circle
     calls = []
     for _ in range(2):
         out = model.cached_by_digest(spark, str(tmp_path), "abc", lambda: calls.append(1) or a)
@@ -126,3 +129,26 @@ def test_assembly(spark, tmp_path):
     assert {r.wall_id: r.support for r in model.classify_ends(ends, [("column", ends.filter("wall_id = 1"))], ["wall_id", "end"]).collect()} == {1: "column", 2: "unresolved"}
     cal = model.grid_calibration(spark.createDataFrame([("d", "x", 0.0, 1.0), ("d", "x", 0.0, 3.0), ("d", "x", 5.0, 9.0), ("d", "y", 0.0, 0.0)], "drawing_id string, axis string, local double, target double"))
     assert {r.axis: (r.status, r.controls[0].to) for r in cal.collect()} == {"x": ("ok", 2.0), "y": ("too_few_grids", 0.0)}
+
+
+def test_labels_openings_grid_and_pitfalls(spark):
+    beams = spark.createDataFrame([("d", 1, 0.0, 0.0, 0.95), ("d", 2, 0.4, 0.0, 0.95), ("d", 3, 50.0, 0.0, 0.95)], "d string, beam_id int, x double, y double, confidence double")
+    labels = spark.createDataFrame([("d", 7, "LL1", 0.1, 0.0)], "d string, label_id int, mark string, x double, y double")
+    got = {r.beam_id: (r.label_id, r.mark, r.confidence) for r in model.beam_labels(beams, labels, ["d"], 1.0).collect()}
+    assert got[1] == (7, "LL1", 0.95) and got[2] == (7, "LL1", 0.95)  # a label serves several beams
+    assert got[3][0] is None and got[3][1].startswith("LL-") and got[3][2] == 0.85
+    names = spark.createDataFrame([("d", 1, 11, 0.0, 0.0), ("d", 0, 12, 0.3, 0.0)], "d string, ord int, label_id int, x double, y double")
+    bounds = spark.createDataFrame([("d", 5, 0.1, 0.0), ("d", 6, 0.9, 0.0)], "d string, boundary_id int, x double, y double")
+    assert {(r.label_id, r.boundary_id) for r in model.label_openings(names, bounds, ["d"], 1.0).collect()} == {(12, 5), (11, 6)}  # in input order, not by distance
+    axes = spark.createDataFrame([("f", "x", v) for v in (0.0, 0.4, 0.7, 5.0)], "f string, direction string, v double")
+    grid = sorted((r.label, r["at"]) for r in model.ifc_grid(axes, ["f"], 0.6).collect())
+    assert [g[0] for g in grid] == ["x1", "x2"] and abs(grid[0][1] - 0.45) < 1e-9 and grid[1][1] == 5.0  # (0 + .4) / 2, then (.2 + .7) / 2
+    rows = [(3, 2, 1, 0.89, 0), (2, 3, 0, 0.9, 1), (3, None, None, None, None), (3, 0, 0, 0.0, 0)]
+    reports = spark.createDataFrame(rows, "axis_count int, axis_label_count int, orient_flips int, main_match_rate double, coord_outliers int")
+    assert [r.pitfalls for r in model.pitfalls(reports).collect()] == [["PIT-01", "PIT-03", "PIT-06"], ["PIT-08"], [], ["PIT-06"]]
+
+
+def test_page_sections():
+    from girder.sources.documents import page_sections
+
+    assert page_sections([" a ", "", "b\n"]) == "# Page 1\n\na\n\n# Page 3\n\nb"
