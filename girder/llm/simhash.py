@@ -273,7 +273,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crossed = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", *names).mapInArrow(lean(_meet(index, block, 3)), "key long, a binary, b binary")
     comp = components(edges.unionByName(crossed.select("a", "b")))
     labelled = distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    lows = labelled.groupBy("label").agg(F.min("low").alias("first"))
+    # Written, so that the join below shuffles both sides and a large component can be split: an aggregate in its stage would forbid that.
+    lows = stage(labelled.groupBy("label").agg(F.min("low").alias("first")), "simhash-lows")
     by_fp = labelled.join(lows, "label").select("fp", "first")
     out = [F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("first.id" if row_col else "first").alias("component_id")]
     if row_col:
