@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from girder.llm import ann, bpe, chat, dedup, mixing, quality, secrets, simhash, toxicity, warc
+from girder.llm import ann, bpe, centroids, chat, dedup, infill, licenses, mixing, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scan": secrets.query,
     "op9_quality": quality.query,
     "op10_ann": ann.query,
+    "op11_infill": infill.query,
+    "op12_centroids": centroids.query,
+    "op13_licenses": licenses.query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,7 @@ ORACLE_SQL = {
     "op3_warc_salvage": warc.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
+    "op11_infill": infill.ORACLE,
+    "op12_centroids": centroids.ORACLE,
+    "op13_licenses": licenses.ORACLE,
 }
