@@ -109,3 +109,68 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").withColumn("answer", F.lead("text").over(w)).filter("role = 'user'")
     return rows.select("conv_id", F.row_number().over(w).alias("seq"), F.col("text").alias("user_text"), F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+#: Building models in STEP text: a file of a building with two storeys for every hundred parts, an element with its relations for each part.
+_IFC_HEAD = (
+    "ISO-10303-21", "DATA",
+    "#1=IFCPROJECT('project',$,'P',$,$,$,$,$,$)", "#2=IFCBUILDING('building',$,'B',$,$,#12,$,$,.ELEMENT.,$,$,$)",
+    "#3=IFCBUILDINGSTOREY('storey1',$,'L1',$,$,#13,$,$,.ELEMENT.,0.)", "#4=IFCBUILDINGSTOREY('storey2',$,'L2',$,$,#14,$,$,.ELEMENT.,3600.)",
+    "#12=IFCLOCALPLACEMENT($,#21)", "#13=IFCLOCALPLACEMENT(#12,#23)", "#14=IFCLOCALPLACEMENT(#12,#27)",
+    "#20=IFCCARTESIANPOINT((100.,200.,0.))", "#21=IFCAXIS2PLACEMENT3D(#20,$,$)", "#22=IFCCARTESIANPOINT((0.,0.,0.))", "#23=IFCAXIS2PLACEMENT3D(#22,#24,#25)",
+    "#24=IFCDIRECTION((0.,0.,1.))", "#25=IFCDIRECTION((0.,1.,0.))", "#26=IFCCARTESIANPOINT((0.,0.,3.6E3))", "#27=IFCAXIS2PLACEMENT3D(#26,$,$)",
+    "#30=IFCMATERIAL('\\X2\\6DF751DD571F\\X0\\ C30',$,$)", "#31=IFCMATERIAL('Steel')", "#32=IFCMATERIALLAYER(#30,200.,$)", "#33=IFCMATERIALLAYER(#31,5.,$)",
+    "#34=IFCMATERIALLAYERSET((#32,#33),'layers')", "#35=IFCMATERIALLAYERSETUSAGE(#34,.AXIS2.,.POSITIVE.,0.)",
+    "#40=IFCWALLTYPE('type',$,'W',$,$,(#41),$,$,$,.STANDARD.)", "#41=IFCPROPERTYSET('common',$,'Pset_Own',$,(#42,#43))",
+    "#42=IFCPROPERTYSINGLEVALUE('FireRating',$,IFCLABEL('of type'),$)", "#43=IFCPROPERTYSINGLEVALUE('LoadBearing',$,IFCBOOLEAN(.T.),$)",
+    "#50=IFCSPACE('space',$,'S1',$,$,$,$,'long',.ELEMENT.,.INTERNAL.,$)",
+)
+
+
+def step_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, statement) of such models."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    file = F.concat(F.lit("model-"), F.floor(k / 100).cast("string"))
+    base = 1000 + 100 * (k % 100)
+    at = lambda j: F.concat(F.lit("#"), (base + j).cast("string"))
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    upper = size % 2 == 1
+    kinds = F.get(F.array(*map(F.lit, ("IFCWALL", "IFCSLAB", "IFCCOLUMN", "IFCBEAM"))), (k % 4).cast("int"))
+    shaped = (k % 3 == 0) & (k % 4 < 2)
+    name = F.when(k % 11 == 0, "$").otherwise(say("'", F.col("p_name"), "''s'"))
+    solid = F.when(k % 8 == 0, say(at(17), "=IFCBOOLEANCLIPPINGRESULT(.DIFFERENCE.,", at(18), ",", at(19), ")")).otherwise(say(at(17), "=IFCEXTRUDEDAREASOLID(", at(20), ",", at(21), ",#24,3000.)"))
+    lines = [
+        say(at(0), "=", kinds, "('e", k, "',$,", name, ",$,'made',", at(1), ",", F.when(shaped, at(15)).otherwise("$"), ",'tag',.STANDARD.)"),
+        say(at(1), "= IFCLOCALPLACEMENT(", F.when(upper, "#14").otherwise("#13"), ", ", at(2), ")"),
+        say(at(2), "=IFCAXIS2PLACEMENT3D(", at(3), ",$,$)"), say(at(3), "=IFCCARTESIANPOINT((", size, ".,", k % 100, ".,0.5))"),
+        F.when(k % 5 != 0, say(at(4), "=IFCRELCONTAINEDINSPATIALSTRUCTURE('c',$,$,$,(", at(0), "),", F.when(upper, "#4").otherwise("#3"), ")")).when(k % 100 != 0, say(at(5), "=IFCRELAGGREGATES('a',$,$,$,", at(-100), ",(", at(0), "))")),
+        *(F.when(size % 4 != 0, x) for x in (
+            say(at(6), "=IFCRELDEFINESBYPROPERTIES('d',$,$,$,(", at(0), "),", at(7), ")"), say(at(7), "=IFCPROPERTYSET('s',$,'Pset_Own',$,(", at(8), ",", at(9), "))"),
+            say(at(8), "=IFCPROPERTYSINGLEVALUE('FireRating',$,IFCLABEL('", size, "h; (a, b)'),$)"), say(at(9), "=IFCPROPERTYSINGLEVALUE('Mark',$,IFCINTEGER(", size, "),$)"))),
+        F.when(k % 4 == 0, say(at(10), "=IFCRELDEFINESBYTYPE('t',$,$,$,(", at(0), "),#40)")),
+        *(F.when(size % 3 != 0, x) for x in (
+            say(at(11), "=IFCRELDEFINESBYPROPERTIES('d',$,$,$,(", at(0), "),", at(12), ")"), say(at(12), "=IFCELEMENTQUANTITY('q',$,'Qto_Base',$,$,(", at(13), "))"),
+            say(at(13), "=IFCQUANTITYLENGTH('Width',$,$,", size * 10, ".)"))),
+        F.when(size % 2 == 0, say(at(14), "=IFCRELASSOCIATESMATERIAL('m',$,$,$,(", at(0), "),#35)")).when(size % 3 != 0, say(at(14), "=IFCRELASSOCIATESMATERIAL('m',$,$,$,(", at(0), "),#31)")),
+        *(F.when(shaped, x) for x in (
+            say(at(15), "=IFCPRODUCTDEFINITIONSHAPE($,$,(", at(16), "))"), say(at(16), "=IFCSHAPEREPRESENTATION(#99,'Body','SweptSolid',(", at(17), "))"), solid,
+            F.when(k % 8 == 0, say(at(18), "=IFCEXTRUDEDAREASOLID(", at(20), ",", at(21), ",#24,3000.)")), F.when(k % 8 == 0, say(at(19), "=IFCHALFSPACESOLID(#98,.F.)")),
+            say(at(20), "=IFCRECTANGLEPROFILEDEF(.AREA.,$,$,", size + 100, ".,5000.)"), say(at(21), "=IFCAXIS2PLACEMENT3D(", at(22), ",$,$)"), say(at(22), "=IFCCARTESIANPOINT((0.,0.,", size, "."  "))"))),
+    ]
+    rows = p.select(file.alias("file"), F.explode(F.array_compact(F.array(*lines))).alias("statement"))
+    heads = p.select(file.alias("file")).distinct().select("file", F.explode(F.array(*map(F.lit, _IFC_HEAD))).alias("statement"))
+    return rows.unionByName(heads)
+
+
+#: What such a model says of each part.
+STEP_SQL = """ifc0 AS (
+  SELECT p_partkey AS k, p_size AS size, 'model-' || p_partkey // 100 AS file, 'e' || p_partkey AS global_id, ['IFCWALL', 'IFCSLAB', 'IFCCOLUMN', 'IFCBEAM'][p_partkey % 4 + 1] AS ifc_type,
+         CASE WHEN p_partkey % 11 = 0 THEN '未命名' ELSE p_name || '''s' END AS name, p_size % 2 = 1 AS upper, p_partkey % 3 = 0 AND p_partkey % 4 < 2 AS has_geometry, p_partkey % 100 AS place FROM part),
+ifc AS (
+  SELECT a.*, CASE WHEN a.k % 5 <> 0 THEN CASE WHEN a.upper THEN 'L2' ELSE 'L1' END WHEN a.place <> 0 THEN CASE WHEN b.upper THEN 'L2' ELSE 'L1' END END AS container,
+         CASE WHEN a.size % 4 <> 0 THEN a.size || 'h; (a, b)' WHEN a.k % 4 = 0 THEN 'of type' END AS fire, CASE WHEN a.k % 4 = 0 THEN 'True' END AS load_bearing, CASE WHEN a.size % 4 <> 0 THEN a.size::VARCHAR END AS mark,
+         CASE WHEN a.size % 3 <> 0 THEN (a.size * 10)::DOUBLE::VARCHAR END AS width, CASE WHEN a.size % 2 = 0 THEN '混凝土 C30,Steel' WHEN a.size % 3 <> 0 THEN 'Steel' ELSE '' END AS materials,
+         CASE WHEN a.has_geometry AND a.k % 4 = 0 THEN (a.size + 100)::DOUBLE END AS thickness,
+         CASE WHEN a.k % 4 = 1 THEN CASE WHEN a.has_geometry THEN a.size::DOUBLE WHEN a.k % 5 <> 0 THEN CASE WHEN a.upper THEN 3600.0::DOUBLE ELSE 0.0::DOUBLE END END END AS level
+  FROM ifc0 a LEFT JOIN ifc0 b ON b.k = a.k - 1)"""
