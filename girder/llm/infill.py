@@ -57,14 +57,16 @@ def form_of(text: Column, ident: Column, seed: int = SEED) -> Column:
 
 
 def cut_requests(docs: DataFrame, id_col: str, text_col: str, seed: int = SEED) -> DataFrame:
-    """key, n, low, high of each distinct document: its units, and the ordinals of the units that end prefix and middle (null if plain)."""
+    """key, n, low, high of each distinct document that is cut: its units, and the ordinals of the units that end prefix and middle."""
     text, ident = _text(text_col), F.col(_quoted(id_col))
     h1, h2, _, _ = draws(ident, seed)
-    n = F.regexp_count(text, F.lit(UNIT)).cast("long")
-    rows = docs.select(_key(text, ident).alias("key"), n.alias("n"), h1.alias("h1"), h2.alias("h2"), (form_of(text, ident, seed) != "plain").alias("cuts"))
+    rows = docs.filter(form_of(text, ident, seed) != "plain").select(_key(text, ident).alias("key"), _units(text).alias("n"), h1.alias("h1"), h2.alias("h2"))
     ends = F.array_sort(F.array(F.col("h1") % (F.col("n") + 1), F.col("h2") % (F.col("n") + 1)))
-    rows = rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "h1", "h2", "cuts")))
-    return rows.select("key", "n", F.when(F.col("cuts"), ends[0]).alias("low"), F.when(F.col("cuts"), ends[1]).alias("high"))
+    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "h1", "h2"))).select("key", "n", ends[0].alias("low"), ends[1].alias("high"))
+
+
+def _units(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(UNIT)).cast("long")
 
 
 def _key(text: Column, ident: Column) -> Column:
@@ -80,7 +82,7 @@ def cut_offsets(docs: DataFrame, requests: DataFrame, tasks: int, id_col: str, t
     units = once.select("key", F.posexplode("lengths").alias("pos", "length"))
     in_order = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = units.select("key", (F.col("pos") + 1).alias("unit"), F.sum("length").over(in_order).alias("at"))
-    asked = requests.filter("low is not null").select("key", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("ordinal"))
+    asked = requests.select("key", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("ordinal"))
     # The ordinals meet as a difference, not as a second key: units stay where the window has put them.
     met = ends.join(asked, (ends["key"] == asked["key"]) & (ends["unit"] - asked["ordinal"] == 0)).select(asked["key"], "low", "high", "ordinal", "at")
     at = lambda end: F.max(F.when(F.col("ordinal") == F.col(end), F.col("at"))).alias(f"{end}_at")
@@ -94,19 +96,27 @@ def restore(output: Column, form: Column) -> Column:
 
 
 def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """docs with ``fim``: struct of n, form, prefix_chars, middle_chars and output."""
+    """docs with ``fim``: struct of n, form, prefix_chars, middle_chars and output.
+
+    Plain documents stay where they are; only texts to be cut are shuffled to their offsets.
+    """
     text, ident, key, fim = _text(text_col), F.col(_quoted(id_col)), fresh("fim_key", docs), fresh("fim", docs)
     requests = stage(cut_requests(docs, id_col, text_col, seed), "fim-requests")
-    n_units = requests.filter("low is not null").agg(F.sum("n")).first()[0] or 0
+    n_units = requests.agg(F.sum("n")).first()[0] or 0
     offsets = cut_offsets(docs, requests, max(1, math.ceil(n_units / TASK_UNITS)), id_col, text_col, seed)
     places = stage(requests.join(offsets, "key", "left").select(F.col("key").alias(key), "n", F.coalesce("low_at", F.lit(0)).alias("low_at"), F.coalesce("high_at", F.lit(0)).alias("high_at")), "fim-places")
-    asked = docs.withColumn(key, _key(text, ident)).join(places.select(key, F.struct("n", "low_at", "high_at").alias(fim)).hint("shuffle_hash"), key, "left")
-    low, high, form = F.col(fim)["low_at"], F.col(fim)["high_at"], form_of(text, ident, seed)
+    form = form_of(text, ident, seed)
+    asked = docs.filter(form != "plain").withColumn(key, _key(text, ident)).join(places.select(key, F.struct("n", "low_at", "high_at").alias(fim)).hint("shuffle_hash"), key)
+    low, high = F.col(fim)["low_at"], F.col(fim)["high_at"]
     prefix, middle, suffix = F.substr(text, F.lit(1), low), F.substr(text, low + 1, high - low), F.substr(text, high + 1)
-    output = F.when(form == "plain", text).when(form == "psm", F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)).otherwise(F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle))
-    chars = lambda value: F.when(form != "plain", value.cast("long"))
-    done = F.struct(F.col(fim)["n"].alias("n"), form.alias("form"), chars(low).alias("prefix_chars"), chars(high - low).alias("middle_chars"), output.alias("output"))
-    return asked.select(*(F.col(_quoted(c)) for c in docs.columns), done.alias(fim))
+    output = F.when(form == "psm", F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)).otherwise(F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle))
+
+    def done(frame: DataFrame, n: Column, form: Column, prefix_chars: Column, middle_chars: Column, output: Column) -> DataFrame:
+        made = F.struct(n.alias("n"), form.alias("form"), prefix_chars.cast("long").alias("prefix_chars"), middle_chars.cast("long").alias("middle_chars"), output.alias("output"))
+        return frame.select(*(F.col(_quoted(c)) for c in docs.columns), made.alias(fim))
+
+    none = F.lit(None)
+    return done(asked, F.col(fim)["n"], form, low, high - low, output).unionByName(done(docs.filter(form == "plain"), _units(text), F.lit("plain"), none, none, text))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
