@@ -23,12 +23,12 @@ meet AS (
    AND ((a.upright = b.upright AND a.fixed = b.fixed AND a.lo <= b.hi AND b.lo <= a.hi)
      OR (a.upright <> b.upright AND b.fixed BETWEEN a.lo AND a.hi AND a.fixed BETWEEN b.lo AND b.hi))),
 cuts AS (
-  SELECT DISTINCT seg_id, at FROM (
-    SELECT seg_id, unnest([lo, hi]) AS at FROM net UNION ALL SELECT a, cut FROM meet WHERE cut IS NOT NULL UNION ALL SELECT a, unnest(along) FROM meet WHERE along IS NOT NULL)),
+  SELECT DISTINCT seg_id, spot FROM (
+    SELECT seg_id, unnest([lo, hi]) AS spot FROM net UNION ALL SELECT a, cut FROM meet WHERE cut IS NOT NULL UNION ALL SELECT a, unnest(along) FROM meet WHERE along IS NOT NULL)),
 line AS (
-  SELECT n.drawing, n.upright, n.fixed, c.at, lead(c.at) OVER (PARTITION BY c.seg_id ORDER BY c.at) AS nxt FROM cuts c JOIN net n USING (seg_id)),
-e AS (SELECT drawing, count(*) AS n FROM (SELECT DISTINCT drawing, upright, fixed, at, nxt FROM line WHERE nxt IS NOT NULL) GROUP BY 1),
-v AS (SELECT drawing, count(*) AS n FROM (SELECT DISTINCT drawing, CASE WHEN upright = 1 THEN fixed ELSE at END AS x, CASE WHEN upright = 1 THEN at ELSE fixed END AS y FROM line) GROUP BY 1),
+  SELECT n.drawing, n.upright, n.fixed, c.spot, lead(c.spot) OVER (PARTITION BY c.seg_id ORDER BY c.spot) AS nxt FROM cuts c JOIN net n USING (seg_id)),
+e AS (SELECT drawing, count(*) AS n FROM (SELECT DISTINCT drawing, upright, fixed, spot, nxt FROM line WHERE nxt IS NOT NULL) GROUP BY 1),
+v AS (SELECT drawing, count(*) AS n FROM (SELECT DISTINCT drawing, CASE WHEN upright = 1 THEN fixed ELSE spot END AS x, CASE WHEN upright = 1 THEN spot ELSE fixed END AS y FROM line) GROUP BY 1),
 w AS (SELECT seg_id AS node, seg_id AS label FROM net UNION SELECT meet.b, w.label FROM w JOIN meet ON meet.a = w.node),
 p AS (SELECT drawing, count(DISTINCT label) AS n FROM (SELECT node, min(label) AS label FROM w GROUP BY 1) JOIN net ON seg_id = node GROUP BY 1),
 faces AS (SELECT drawing, e.n - v.n + p.n AS rooms FROM e JOIN v USING (drawing) JOIN p USING (drawing))"""

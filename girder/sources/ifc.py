@@ -62,7 +62,7 @@ def instances(statements: DataFrame) -> DataFrame:
     """(file, id, class, args) of each instance statement."""
     part = lambda i: F.regexp_extract("statement", STATEMENT, i)
     rows = statements.filter(F.col("statement").rlike(STATEMENT)).select("file", part(1).cast("long").alias("id"), F.upper(part(2)).alias("class"), part(3).alias("args"))
-    return rows.withColumn("args", F.transform(F.regexp_extract_all("args", F.lit(ARGUMENT), F.lit(0)), F.trim))
+    return rows.withColumn("args", F.transform(F.regexp_extract_all("args", F.lit(ARGUMENT), F.lit(0)), lambda x: F.trim(x)))
 
 
 def arg(i: int) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from girder.plans import fixtures as X
 from girder.plans.catalogue import ORACLE_SQL, QUERIES
 from tests.conftest import DATA, same_rows
+from tests.test_plans import flood
 
 
 def by(rows, *keys):
@@ -139,7 +140,15 @@ def brute_junctions(spark, frame):
             assert (away[0] ** 2 + away[1] ** 2) ** 0.5 <= 0.61
 
 
-BRUTE = {"nms": brute_nms, "cluster_1d": brute_cluster_1d, "cluster_pairwise": brute_cluster_pairwise, "breaker_trace": brute_breaker, "max_matching": brute_matching, "collinear_merge": brute_collinear, "opening_bridges": brute_bridges, "junctions": brute_junctions}
+def brute_rooms(spark, frame):
+    """Areas by a flood fill over eighths."""
+    eighth = lambda v: round(8 * v)
+    rows = [(r.drawing, *map(eighth, (r.x1, r.y1, r.x2, r.y2))) for r in X.segments(spark, DATA).collect()]
+    got = {d: sorted(r.area for r in rs) for (d,), rs in by(frame.collect(), "drawing").items()}
+    assert got == {d: sorted(round(a / 64, 6) for a in areas) for d, areas in flood(rows, 8 * 40).items()}
+
+
+BRUTE = {"rooms": brute_rooms, "nms": brute_nms, "cluster_1d": brute_cluster_1d, "cluster_pairwise": brute_cluster_pairwise, "breaker_trace": brute_breaker, "max_matching": brute_matching, "collinear_merge": brute_collinear, "opening_bridges": brute_bridges, "junctions": brute_junctions}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
