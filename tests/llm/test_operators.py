@@ -366,7 +366,7 @@ def test_simhash_against_brute_force(spark, block):
 
 @pytest.mark.parametrize("index", [simhash.FOUR_BITS, simhash.texts_alike()])
 def test_simhash_streams_equal_all_pairs(index):
-    """Postings cut anywhere into batches give the components of all pairs that share a set."""
+    """Postings cut anywhere into batches give the components of all pairs within the bound of differing bits."""
     import pyarrow as pa
 
     rng = np.random.default_rng(0)
@@ -401,11 +401,36 @@ def test_simhash_streams_equal_all_pairs(index):
     for i, a in enumerate(fps):
         for b in fps[:i]:
             x, y = (np.frombuffer(v, dtype=np.uint8) for v in (a, b))
-            if np.bitwise_count(x ^ y).sum() <= index.bits and (x == y).sum() >= index.least and any((x[list(s)] == y[list(s)]).all() for s in index.sets):
+            if np.bitwise_count(x ^ y).sum() <= index.bits:
                 want[top(a)] = top(b)
     assert len({(root(f), top(f)) for f in fps}) == len({root(f) for f in fps}) == len({top(f) for f in fps})
 
 
+@pytest.mark.parametrize(("index", "bits", "share"), [(simhash.FOUR_BITS, 4, 1.0), (simhash.texts_alike(), 45, 0.99), (simhash.texts_alike(), 40, 0.998)])
+def test_simhash_pairs_at_the_bound_meet(index, bits, share):
+    rng, n = np.random.default_rng(3), 5000
+    a = rng.integers(0, 2, (n, 64 * index.words), dtype=np.uint8)
+    b = a.copy()
+    at = np.argsort(rng.random(a.shape), axis=1)[:, :bits]
+    np.put_along_axis(b, at, 1 - np.take_along_axis(b, at, axis=1), axis=1)
+    same = np.packbits(a, axis=1) == np.packbits(b, axis=1)
+    assert index.bits == (4 if share == 1.0 else 45)
+    assert same[:, np.array(index.sets)].all(axis=2).any(axis=1).mean() >= share
+
+
+@pytest.mark.parametrize("size", [40, 300])
+def test_simhash_long_runs(size):
+    """Runs beyond the shifted ones: sparse links are all there, dense ones as a forest of the same components."""
+    index, rng = simhash.FOUR_BITS, np.random.default_rng(size)
+    fps = rng.integers(0, 2**63, (size, 1), dtype=np.uint64)
+    fps[size // 2:size // 2 + 3] = fps[0] ^ np.arange(1, 4, dtype=np.uint64)[:, None]
+    a, b = simhash.links(np.zeros((size, 1), dtype=np.int64), fps, index)
+    assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset((i, j)) for i in range(size) for j in range(i) if int(fps[i, 0] ^ fps[j, 0]).bit_count() <= 4}
+    close = fps[:1] ^ (np.uint64(1) << rng.integers(0, 64, (size, 1), dtype=np.uint64))
+    a, b = simhash.links(np.zeros((size, 1), dtype=np.int64), close, index)
+    assert len(a) <= simhash.DENSE * size + simhash.ROWS * size and len(set(a.tolist()) | set(b.tolist())) == size
+
+
 def test_simhash_finds_edited_texts(spark):
     """Texts of at least 0.8 of common five-word shingles link; others keep to themselves."""
     rng = random.Random(3)
