@@ -6,9 +6,14 @@ of a pattern's tokens costs more than the one before (convex repetition cost),
 so no pattern is repeated while a fresh one can serve.  What flows through a
 pattern is then turned into whole documents in a seeded order.
 
+Rows of one id, text and membership are alike; they are counted in slices and
+taken one by one, so neither null or repeated ids nor many copies put rows into
+one task or make them one piece.
+
 Edge cases: null text has size 0; a null member is a source of its own, ordered
-last; rows that share id, membership and size are one unit and are taken
-together; an empty table gives an empty mix; other columns are ignored.
+last; a null id counts as a text of its own; of rows that are alike any may be
+the one that is taken; an empty table gives an empty mix; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +34,20 @@ MAX_PATTERNS = 100_000
 SEED = 17
 #: Times that open documents are taken in order for what is left of a flow.
 ROUNDS = 3
-FILLS = "fills array<struct<rest: long, cut: string>>"
+#: Parts into which rows that are alike are dealt.
+SLICES = 1024
+FILLS = "fills array<struct<rest: long, cut: string, at_cut: long>>"
 
 
 def _filled() -> Column:
-    """Does a fill take the document: it fits the rest and does not come after the cut?"""
-    return F.exists("fills", lambda f: (F.col("unit") <= f["rest"]) & (F.col("ord") <= f["cut"]))
+    """How many open documents of a slice the fills take: all that fit before a fill's cut, some at the cut."""
+    more = lambda got, f: F.when(F.col("size") > f["rest"], F.lit(0)).when(F.col("key") < f["cut"], F.col("open") - got).when(F.col("key") == f["cut"], F.least(f["at_cut"], F.col("open") - got)).otherwise(F.lit(0))
+    return F.aggregate("fills", F.lit(0).cast("long"), lambda got, f: got + more(got, f).cast("long"))
+
+
+def _fitting(start: Column, size: Column, room: Column, n: Column) -> Column:
+    """How many of n pieces of one size, laid end to end from ``start``, end within ``room``."""
+    return F.when(size == 0, F.when(start <= room, n).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(n, F.floor((room - start) / F.nullif(size, F.lit(0)))))).cast("long")
 
 
 def share_targets(sizes: dict, weights: dict, cap: int = 3) -> dict:
@@ -128,19 +141,18 @@ def mix(docs: DataFrame, members: F.Column, *, id_col: str = "doc_id", text_col:
     and source_sizes (arrays along members), ``by_source`` (copies per member), and ``row_col`` of docs, if given.
 
     Positions along the seeded order come from 4096 hash buckets per pattern and
-    a window inside each bucket, so a hot source is spread over thousands of
-    groups; only sums per pattern reach the driver.
+    a window inside each bucket over distinct documents, so a hot source is spread
+    over thousands of groups; only sums per pattern reach the driver.
     """
     spark = docs.sparkSession
-    ident, ident_text = F.col(id_col), F.col("id").cast("string")
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     carried = [row_col] if row_col else []
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     base = docs.select(
-        ident.alias("id"), word_count(F.col(text_col)).alias("size"),
-        F.array_sort(F.array_distinct(members)).alias("members"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary")).alias("h"), *carried,
-    ).withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"})).withColumn("bucket", F.substring("h", 1, 3))
-    base = base.withColumn("ord", F.concat("h", F.lpad(F.col("size").cast("string"), 20, "0"), F.coalesce(ident_text, F.lit("null")))).drop("h")
-    base = stage(base, "mix-base")
+        F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.array_sort(F.array_distinct(members)).alias("members"),
+        F.md5(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), text).cast("binary")).alias("ord"), *carried,
+    ).withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"})).withColumn("bucket", F.substring("ord", 1, 3)).withColumn("at_row", F.monotonically_increasing_id())
+    base = stage(base.withColumn("key", F.concat("ord", F.lpad(F.pmod(F.xxhash64("at_row"), F.lit(SLICES)).cast("string"), 4, "0"))).drop("ord"), "mix-base")
     sums = base.groupBy("pattern", "members").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns; group the sources first")
@@ -158,55 +170,57 @@ def mix(docs: DataFrame, members: F.Column, *, id_col: str = "doc_id", text_col:
         for s in r.members:
             at += f.get(s, 0)
             ends.append(at)
-        plan_rows.append((r.pattern, r.words, at, ends, [targets[s] for s in r.members], [sizes[s] for s in r.members]))
-    plan = spark.createDataFrame(plan_rows, "pattern string, words long, flow long, ends array<long>, targets array<double>, source_sizes array<long>")
-
-    in_bucket = Window.partitionBy("pattern", "bucket")
-    offsets = base.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn(
-        "before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = base.withColumn("reach", F.sum("size").over(in_bucket.orderBy("ord"))).withColumn("unit", F.sum("size").over(Window.partitionBy("pattern", "bucket", "ord")))
-    placed = placed.join(offsets.select("pattern", "bucket", "before"), ["pattern", "bucket"]).join(plan, "pattern")
-    stop = F.col("before") + F.col("reach")
-    tiers = [F.lit(k) * F.col("words") + stop <= F.col("flow") for k in range(repeats)]
-    placed = placed.withColumn("at", stop - F.col("unit")).withColumn("floor_copies", sum((t.cast("int") for t in tiers[1:]), tiers[0].cast("int")))
-    placed = stage(placed.drop("bucket", "before", "reach"), "mix-placed")
+        plan_rows.append((r.pattern, r.words, at, min(repeats, at // r.words) if r.words else repeats, ends, [targets[s] for s in r.members], [sizes[s] for s in r.members]))
+    plan = spark.createDataFrame(plan_rows, "pattern string, words long, flow long, level int, ends array<long>, targets array<double>, source_sizes array<long>")
+
+    # Slices of like documents in order; each document of a pattern is taken ``level`` times, the first ones once more.
+    def started(df: DataFrame, n: str) -> DataFrame:
+        """df with ``start``: words of all slices before, from ``n`` documents a slice."""
+        length = F.col(n) * F.col("size")
+        offsets = df.groupBy("pattern", "bucket").agg(F.sum(length).alias("in_bucket")).withColumn(
+            "before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        inside = F.coalesce(F.sum(length).over(Window.partitionBy("pattern", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return df.withColumn("inside", inside).join(offsets.select("pattern", "bucket", "before"), ["pattern", "bucket"]).withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
+
+    slices = started(base.groupBy("pattern", "bucket", "key").agg(F.first("size").alias("size"), F.count("*").alias("n")), "n").join(plan.select("pattern", "words", "flow", "level"), "pattern")
+    full = F.col("level") == repeats
+    slices = slices.withColumn("held", F.when(full, F.lit(0).cast("long")).otherwise(_fitting(F.col("start"), F.col("size"), F.col("flow") - F.col("level") * F.col("words"), F.col("n"))))
+    slices = stage(slices.withColumn("open", F.when(full, F.lit(0).cast("long")).otherwise(F.col("n") - F.col("held"))).drop("words", "flow"), "mix-slices")
 
     # Whole documents leave a rest below the flow.  Open documents that fit it are taken in order, a few times over ...
-    got = {r.pattern: r.got for r in placed.groupBy("pattern").agg(F.sum(F.col("floor_copies") * F.col("size")).alias("got")).collect()}
-    level = {p: min(repeats, f // w) if w else repeats for p, w, f, *_ in plan_rows}
-    rest = {p: f - got.get(p, 0) for p, w, f, *_ in plan_rows}
+    got = {r.pattern: r.got for r in slices.groupBy("pattern").agg(F.sum((F.col("level") * F.col("n") + F.col("held")) * F.col("size")).alias("got")).collect()}
+    level = {p: lev for p, _, _, lev, *_ in plan_rows}
+    rest = {p: f - got.get(p, 0) for p, _, f, *_ in plan_rows}
     fills: dict = {p: [] for p in rest}
 
     def openings() -> DataFrame:
-        """Documents at their pattern's level that no fill takes, with the rest."""
-        now = spark.createDataFrame([(p, level[p], rest[p], fills[p]) for p in rest if rest[p] > 0 and level[p] < repeats], f"pattern string, level int, rest long, {FILLS}")
-        return placed.select("pattern", "ord", "size", "unit", "floor_copies").join(now, "pattern").filter((F.col("floor_copies") == F.col("level")) & ~_filled())
+        """Slices with documents at their pattern's level that no fill takes, with the rest."""
+        now = spark.createDataFrame([(p, rest[p], fills[p]) for p in rest if rest[p] > 0 and level[p] < repeats], f"pattern string, rest long, {FILLS}")
+        return slices.filter("open > 0").join(now, "pattern").withColumn("left", F.col("open") - _filled()).filter(F.col("left") > 0)
 
     for _ in range(ROUNDS):
-        fit = openings().filter(F.col("unit") <= F.col("rest")).withColumn("bucket", F.substring("ord", 1, 3))
-        before = fit.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn(
-            "before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        fit = fit.join(before.select("pattern", "bucket", "before"), ["pattern", "bucket"]).filter(F.col("before") < F.col("rest"))
-        fit = fit.withColumn("reach", F.sum("size").over(in_bucket.orderBy("ord"))).filter(F.col("before") + F.col("reach") <= F.col("rest"))
-        taken = fit.groupBy("pattern").agg(F.max("ord").alias("cut"), F.sum("size").alias("got")).collect()
+        fit = started(openings().filter(F.col("size") <= F.col("rest")), "left").withColumn("take", _fitting(F.col("start"), F.col("size"), F.col("rest"), F.col("left")))
+        taken = fit.filter("take > 0").groupBy("pattern").agg(F.max(F.struct("key", "take")).alias("cut"), F.sum(F.col("take") * F.col("size")).alias("got")).collect()
         for r in taken:
-            fills[r.pattern].append((rest[r.pattern], r.cut))
+            fills[r.pattern].append((rest[r.pattern], r.cut.key, r.cut["take"]))
             rest[r.pattern] -= r.got
         if not taken:
             break
     # ... and the one that then comes nearest fills what is left.
-    gap = F.abs(F.col("unit") - F.col("rest"))
-    picks = {r.pattern: r.pick.ord for r in openings().filter(gap < F.col("rest")).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "ord")).alias("pick")).collect()}
-    ends = spark.createDataFrame([(p, level[p], fills[p], picks.get(p)) for p in rest], f"pattern string, level int, {FILLS}, pick string")
-    placed = placed.join(ends, "pattern")
-    extra = (F.col("floor_copies") == F.col("level")) & (F.col("level") < repeats) & (_filled() | F.coalesce(F.col("ord") == F.col("pick"), F.lit(False)))
-    copies = F.col("floor_copies") + extra.cast("int")
+    gap = F.abs(F.col("size") - F.col("rest"))
+    picks = {r.pattern: r.pick.key for r in openings().filter(gap < F.col("rest")).groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "key")).alias("pick")).collect()}
+    last = spark.createDataFrame([(p, fills[p], picks.get(p)) for p in rest], f"pattern string, {FILLS}, pick string")
+    slices = slices.join(last, "pattern").withColumn("more", F.col("held") + _filled() + F.coalesce(F.col("key") == F.col("pick"), F.lit(False)).cast("long"))
+
+    nth = F.row_number().over(Window.partitionBy("pattern", "bucket", "key").orderBy("at_row"))
+    placed = base.withColumn("nth", nth).join(slices.select("pattern", "bucket", "key", "start", "level", "more"), ["pattern", "bucket", "key"]).join(plan.drop("level"), "pattern")
+    placed = placed.withColumn("at", F.col("start") + (F.col("nth") - 1) * F.col("size")).withColumn("copies", F.col("level") + (F.col("nth") <= F.col("more")).cast("int"))
     # The tape of a pattern is cut at its sources' ends; a reading goes to the source that holds its middle.
-    middle = lambda k: F.least(k.cast("long") * F.col("words") + F.col("at") + F.floor(F.col("unit") / 2), F.col("flow") - 1)
+    middle = lambda k: F.least(k.cast("long") * F.col("words") + F.col("at") + F.floor(F.col("size") / 2), F.col("flow") - 1)
     owner = lambda k: F.size(F.filter("ends", lambda e: e <= middle(k)))
     owners = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), owner)).otherwise(F.array().cast("array<int>"))
     by_source = F.transform("members", lambda s, i: F.size(F.filter("owners", lambda o: o == i)))
-    return placed.withColumn("copies", copies).withColumn("owners", owners).select(
+    return placed.withColumn("owners", owners).select(
         F.col("id").alias(id_col), "members", "size", "source_sizes", "targets", "copies", (F.col("copies") * F.col("size")).alias("taken"), by_source.alias("by_source"), *carried)
 
 
@@ -219,7 +233,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH b AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::HUGEINT AS words,
@@ -237,10 +251,10 @@ t AS (
   FROM r, cut),
 f AS (SELECT *, least(floor(target + 0.5)::BIGINT, 3 * words) AS flow FROM t),
 p AS (
-  SELECT b.*, h || lpad(size::VARCHAR, 20, '0') || coalesce(doc_id::VARCHAR, 'null') AS ord, f.words, f.target, f.flow
+  SELECT b.*, h || lpad((row_number() OVER (PARTITION BY b.source, h))::VARCHAR, 12, '0') AS ord, f.words, f.target, f.flow
   FROM b JOIN f ON b.source IS NOT DISTINCT FROM f.source),
 p2 AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ord)::BIGINT AS reach, sum(size) OVER (PARTITION BY source, ord)::BIGINT AS unit
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ord)::BIGINT AS reach, size AS unit
   FROM p),
 q AS (
   SELECT *, (reach <= flow)::INT + (words + reach <= flow)::INT + (2 * words + reach <= flow)::INT AS n,

@@ -137,6 +137,16 @@ def test_mix_edges(spark):
     assert twice[0] == twice[1]
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_mix_of_null_and_repeated_ids(spark, same):
+    """Rows of one id are taken one by one: a third of the words is due from A, two thirds from B, whether texts differ or not."""
+    rows = [(None if i % 2 else 7, " ".join([f"w{0 if same else i}"] * 10), s) for s in "AB" for i in range(300)]
+    out = mixing.mix(docs(spark, rows), F.array("source")).collect()
+    assert len(out) == 600
+    assert {s: sum(r.taken for r in out if r.members == [s]) for s in "AB"} == {"A": 2000, "B": 4000}
+    assert {r.copies for r in out if r.members == ["A"]} == {0, 1} and {r.copies for r in out if r.members == ["B"]} == {1, 2}
+
+
 def test_mix_of_overlapping_sources(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 30))), "") for i in range(400)]
