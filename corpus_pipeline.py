@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.llm import bpe, dedup, mixing, simhash, toxicity
-from girder.llm.common import fresh, stage, table
+from girder.llm.common import fresh, named, stage, table
 from girder.plans.staging import settle, staged
 
 
@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tagged, row = _tagged(docs)
     n = fresh("copies", tagged)
     mixed = mixing.mix(tagged, F.array("source"), row_col=row).filter("copies > 0").select(row, F.col("copies").alias(n))
-    return tagged.join(mixed, row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
+    return tagged.join(mixed, row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(named(c) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
