@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a robust-pruned directed graph per shard, beam search on each shard.
 
-Rows are dealt to shards by a hash of their id.  A shard's distinct vectors are
+Rows are dealt to shards by a hash of id and vector.  A shard's distinct vectors are
 the nodes of its graph, equal vectors share one, so many copies of a vector
 neither crowd a graph nor a task.  Nodes enter in batches: a greedy search from
 the medoid proposes neighbours, relaxed distance pruning keeps diverse edges, and
@@ -9,8 +9,9 @@ finds is scored in double precision on the original vectors and merged.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components and rows without an id take no part; only vectors of equal length meet; ties go to the smaller
-id; repeated rows are candidates of their own; fewer candidates than asked for are
-all returned; an empty table gives an empty result; extra columns are ignored.
+id; repeated rows are candidates of their own and queries of their own, but no row of a query's id is among what
+it finds; fewer candidates than asked for are all returned; an empty table gives an empty result; extra columns
+are ignored.  Of like rows only as many as a query may return are dealt, and like queries are asked once.
 """
 
 from __future__ import annotations
@@ -127,6 +128,12 @@ class Graph:
             self.out[h] = self.prune(h, np.concatenate([self.out[h].astype(np.int64), new], axis=1), slack)
 
 
+def _least(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of the sorted ids of equal vectors, which score alike: k rows besides those of any one id, the smallest."""
+    which, first, n = np.unique(ids, return_index=True, return_counts=True)
+    return np.concatenate([ids[f:f + min(c, k)] for f, c in zip(first[:k + 1].tolist(), n[:k + 1].tolist(), strict=True)])
+
+
 class Shard:
     """The vectors of a shard, its graph over distinct ones, and exact scores of what a beam finds."""
 
@@ -136,13 +143,13 @@ class Shard:
         self.x, node = np.unique(vectors, axis=0, return_inverse=True)
         by_node = np.argsort(node.ravel(), kind="stable")
         starts = np.searchsorted(node.ravel()[by_node], np.arange(len(self.x)))
-        self.ids = [ids[part[:k + 1]] for part in np.split(by_node, starts[1:])]  # equal vectors score alike: the smallest ids suffice
+        self.ids = [_least(ids[part], k) for part in np.split(by_node, starts[1:])]
         x = self.x.astype(np.float64)
         self.norm = np.sqrt((x * x).sum(axis=1))
         self.k = k
         self.graph = Graph((x / self.norm[:, None]).astype(np.float32))
 
-    def answer(self, ids: np.ndarray, q: np.ndarray) -> list[tuple]:
+    def answer(self, ids: np.ndarray, q: np.ndarray, tags: list[int]) -> list[tuple]:
         q = q.astype(np.float64)
         norm = np.sqrt((q * q).sum(axis=1))
         found, _ = self.graph.search((q / norm[:, None]).astype(np.float32), SEARCH_BEAM)
@@ -151,18 +158,18 @@ class Shard:
             nodes = found[i][found[i] >= 0]
             score = (self.x[nodes].astype(np.float64) * q[i]).sum(axis=1) / (self.norm[nodes] * norm[i])
             rows = [(-s, v) for s, node in zip(score.tolist(), nodes.tolist(), strict=True) for v in self.ids[node].tolist() if v != own]
-            out += [(own, v, -s) for s, v in sorted(rows)[:self.k]]
+            out += [(own, tags[i], v, -s) for s, v in sorted(rows)[:self.k]]
         return out
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (shard, asks, id, embedding) by shard, vectors before queries."""
+        """Rows (shard, asks, id, embedding, tag) by shard, vectors before queries."""
         now, ids, vectors, built = None, [], [], None
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            q, v, s = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+            q, t, v, s = zip(*rows, strict=True) if rows else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(t, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "tag", "vec_id", "score"])
 
         for b in batches:
             shard, asks = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -185,8 +192,9 @@ def _search(k: int):
                 if built is None:
                     built = Shard(np.concatenate(ids), np.concatenate(vectors), k)
                     vectors = []
+                tags = part.column(4).to_pylist()
                 for at in range(0, e - s, BATCH):
-                    yield emit(built.answer(own[at:at + BATCH], x[at:at + BATCH]))
+                    yield emit(built.answer(own[at:at + BATCH], x[at:at + BATCH], tags[at:at + BATCH]))
 
     return run
 
@@ -200,17 +208,20 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     """query_id, rank, vec_id, score: the k nearest rows found for each query, its own id left out."""
     finite = ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector_col, lambda x: x != 0)
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull())
-    base, asked = clean(rows.filter(finite)), clean(queries.filter(finite))
+    base = clean(rows.filter(finite)).groupBy("id", "v").count().withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("count", F.lit(k)).cast("int"))))
+    asked = clean(queries.filter(finite)).groupBy("id", "v").agg(F.count("*").alias("n")).withColumn("tag", F.xxhash64("v"))
     shards = shard_count(base.count())
-    part = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    part = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
     length = F.size("v") * shards  # vectors of another length are of other shards
-    kept = base.select((length + part).alias("shard"), F.lit(0).alias("asks"), "id", "v")
-    asks = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select((length + F.col("part")).alias("shard"), F.lit(1).alias("asks"), "id", "v")
+    kept = base.select((length + part).alias("shard"), F.lit(0).alias("asks"), "id", "v", F.lit(0).cast("long").alias("tag"))
+    asks = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select((length + F.col("part")).alias("shard"), F.lit(1).alias("asks"), "id", "v", "tag")
     both = kept.unionByName(asks)
     dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asks", "id")
-    found = dealt.mapInArrow(lean(_search(k)), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = dealt.mapInArrow(lean(_search(k)), "query_id long, tag long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    times = asked.select(F.col("id").alias("query_id"), "tag", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_time"))
+    return ranked.join(times, ["query_id", "tag"]).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

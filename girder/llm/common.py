@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from girder.plans.staging import new_path, stage
 from girder.plans.tables import table
 
-__all__ = ["fresh", "lean", "new_path", "slices", "squeeze", "stage", "table", "utf8", "word_count"]
+__all__ = ["fresh", "lean", "named", "new_path", "slices", "squeeze", "stage", "table", "utf8", "word_count"]
 
 #: Words are maximal runs without ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -31,6 +31,11 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def squeeze(data: bytes) -> bytes:
     """Each run of ASCII white space becomes one space."""
     data = data.translate(_TO_SPACE)

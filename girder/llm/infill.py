@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from girder.llm.common import fresh, stage, table
+from girder.llm.common import fresh, named, stage, table
 
 UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -36,11 +36,7 @@ TASK_UNITS = 2_000_000
 
 
 def _text(column: str) -> Column:
-    return F.coalesce(F.col(_quoted(column)), F.lit(""))
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    return F.coalesce(named(column), F.lit(""))
 
 
 def draws(ident: Column, seed: int = SEED) -> list[Column]:
@@ -58,7 +54,7 @@ def form_of(text: Column, ident: Column, seed: int = SEED) -> Column:
 
 def cut_requests(docs: DataFrame, id_col: str, text_col: str, seed: int = SEED) -> DataFrame:
     """key, n, low, high of each distinct document that is cut: its units, and the ordinals of the units that end prefix and middle."""
-    text, ident = _text(text_col), F.col(_quoted(id_col))
+    text, ident = _text(text_col), named(id_col)
     h1, h2, _, _ = draws(ident, seed)
     rows = docs.filter(form_of(text, ident, seed) != "plain").select(_key(text, ident).alias("key"), _units(text).alias("n"), h1.alias("h1"), h2.alias("h2"))
     ends = F.array_sort(F.array(F.col("h1") % (F.col("n") + 1), F.col("h2") % (F.col("n") + 1)))
@@ -75,7 +71,7 @@ def _key(text: Column, ident: Column) -> Column:
 
 def cut_offsets(docs: DataFrame, requests: DataFrame, tasks: int, id_col: str, text_col: str, seed: int = SEED) -> DataFrame:
     """key, low_at, high_at: where in code points the requested units end."""
-    text, ident = _text(text_col), F.col(_quoted(id_col))
+    text, ident = _text(text_col), named(id_col)
     lengths = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), F.length)
     cut = docs.filter(form_of(text, ident, seed) != "plain").select(_key(text, ident).alias("key"), lengths.alias("lengths"))
     once = cut.repartition(tasks, "key").groupBy("key").agg(F.first("lengths").alias("lengths"))
@@ -100,7 +96,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Plain documents stay where they are; only texts to be cut are shuffled to their offsets.
     """
-    text, ident, key, fim = _text(text_col), F.col(_quoted(id_col)), fresh("fim_key", docs), fresh("fim", docs)
+    text, ident, key, fim = _text(text_col), named(id_col), fresh("fim_key", docs), fresh("fim", docs)
     requests = stage(cut_requests(docs, id_col, text_col, seed), "fim-requests")
     n_units = requests.agg(F.sum("n")).first()[0] or 0
     offsets = cut_offsets(docs, requests, max(1, math.ceil(n_units / TASK_UNITS)), id_col, text_col, seed)
@@ -113,7 +109,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def done(frame: DataFrame, n: Column, form: Column, prefix_chars: Column, middle_chars: Column, output: Column) -> DataFrame:
         made = F.struct(n.alias("n"), form.alias("form"), prefix_chars.cast("long").alias("prefix_chars"), middle_chars.cast("long").alias("middle_chars"), output.alias("output"))
-        return frame.select(*(F.col(_quoted(c)) for c in docs.columns), made.alias(fim))
+        return frame.select(*(named(c) for c in docs.columns), made.alias(fim))
 
     none = F.lit(None)
     return done(asked, F.col(fim)["n"], form, low, high - low, output).unionByName(done(docs.filter(form == "plain"), _units(text), F.lit("plain"), none, none, text))

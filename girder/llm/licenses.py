@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import fresh, slices, table, utf8
+from girder.llm.common import fresh, named, slices, table, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -259,7 +259,7 @@ def confidence(template: Template) -> float:
 def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = BASE + NOTICES) -> DataFrame:
     """docs with ``licenses``: struct of n_words and matches (first, stop, template)."""
     out = fresh("licenses", docs)
-    return docs.withColumn(out, matches(F.col("`" + text_col.replace("`", "``") + "`"), templates))
+    return docs.withColumn(out, matches(named(text_col), templates))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
