@@ -1,9 +1,10 @@
 """Secret scans in DataFrame functions only, candidates first by a trigram inverted index.
 
-Each rule's regex gives a Boolean query over trigrams.  The index holds, for each
-trigram of some query and each block of rows, the sorted list of rows whose text
-has it; a rule's query intersects and unites the lists of a block.  Only candidates
-are verified by the rule's regex; rules without mandatory trigrams scan fully.
+Each rule's regex gives a Boolean query over trigrams, written as clauses: sets of
+trigrams that a text holds together.  The index holds, for each trigram of some
+clause and each block of rows, the sorted list of rows whose text has it; the lists
+of a clause are intersected, the clauses of a rule united.  Only candidates are
+verified by the rule's regex; rules without mandatory trigrams scan fully.
 Candidates go back to the texts as row numbers: broadcast while there are few,
 beyond that through a shuffle join.
 
@@ -22,8 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import fresh, stage, table
-from girder.llm.trigrams import ANY, Query, derive
+from girder.llm.common import fresh, named, stage, table
+from girder.llm.trigrams import ANY, clauses, derive
 
 
 @dataclass(frozen=True)
@@ -63,11 +64,13 @@ class TrigramIndex:
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.queries = {r.kind: derive(r.pattern) for r in rules}
-        self.trigrams = sorted(set().union(*(q.trigrams() for q in self.queries.values())))
+        #: (bit of the rule, trigrams) of each clause; what a rule's clauses leave out need not be posted.
+        self.clauses = [(1 << i, c) for i, q in enumerate(self.queries.values()) if q != ANY for c in clauses(q)]
+        self.trigrams = sorted(set().union(*(c for _, c in self.clauses)))
 
     def postings(self, rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
         """(block, trigram, rows): rows is the sorted array of the row numbers that hold the trigram."""
-        lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        lowered = F.lower(F.coalesce(named(text_col), F.lit("")))
         every = F.array(*map(F.lit, self.trigrams))
         held = F.transform(F.array(lowered), lambda text: F.filter(every, lambda t: F.contains(text, t)))  # the text is lowered once, not once a trigram
         seen = rows.select(F.col(row_col).alias("row"), F.get(held, F.lit(0)).alias("held"))
@@ -75,22 +78,14 @@ class TrigramIndex:
 
     def candidates(self, postings: DataFrame) -> DataFrame:
         """(row, rules): for each row that some query leaves, a bit for each such rule by the order of the rules."""
-        lists = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("lists"))
-        left = [F.struct(F.lit(1 << i).cast("long").alias("bit"), self._left(q, F.col("lists")).alias("rows")) for i, q in enumerate(self.queries.values()) if q != ANY]
-        if not left:
-            return lists.select(F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("rules")).limit(0)
-        found = lists.select(F.explode(F.array(*left)).alias("found")).select("found.bit", F.explode("found.rows").alias("row"))
-        return found.groupBy("row").agg(F.bit_or("bit").alias("rules"))
-
-    def _left(self, q: Query, lists: Column) -> Column:
-        """The rows of a block that satisfy a query."""
-        if q.op == "tri":
-            return F.coalesce(F.try_element_at(lists, F.lit(q.parts[0])), F.array().cast("array<bigint>"))
-        parts = [self._left(p, lists) for p in q.parts if p != ANY]
-        out = parts[0]
-        for p in parts[1:]:
-            out = F.array_union(out, p) if q.op == "or" else F.array_intersect(out, p)
-        return out
+        if not self.clauses:
+            return postings.select(F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("rules")).limit(0)
+        use = lambda n, bit, c: F.struct(F.lit(n).alias("clause"), F.lit(len(c)).alias("need"), F.lit(bit).cast("long").alias("bit"))
+        uses = {t: F.array(*(use(n, bit, c) for n, (bit, c) in enumerate(self.clauses) if t in c)) for t in self.trigrams}
+        served = F.create_map(*(x for t, u in uses.items() for x in (F.lit(t), u)))
+        lists = postings.select("block", "rows", F.explode(F.try_element_at(served, "trigram")).alias("use")).groupBy("block", "use").agg(F.collect_list("rows").alias("lists")).filter(F.size("lists") == F.col("use.need"))
+        both = F.aggregate(F.slice("lists", 2, F.size("lists")), F.col("lists")[0], lambda rows, more: F.array_intersect(rows, more))
+        return lists.select("use.bit", F.explode(both).alias("row")).groupBy("row").agg(F.bit_or("bit").alias("rules"))
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -108,21 +103,21 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text", few: int = FEW) -> DataFrame:
-    """docs with ``found``: array of (kind, start, stop, rank), by start, then the order of the rules."""
+    """docs with ``found`` (an underscore more where docs have that name): array of (kind, start, stop, rank), by start, then the order of the rules."""
     index = TrigramIndex(rules)
     row, bits = fresh("row", docs), fresh("rules", docs)
     rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "secrets-rows")
     found = stage(index.candidates(index.postings(rows, row, text_col)).select(F.col("row").alias(row), F.col("rules").alias(bits)), "secrets-candidates")
     out = rows.join(F.broadcast(found) if found.count() <= few else found, row, "left")
     none = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(named(text_col), F.lit(""))
 
     def part(rank: int, rule: Rule) -> Column:
         placed = F.transform(spans(text, rule), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(rule.kind).alias("kind")))
         candidate = F.lit(True) if index.queries[rule.kind] == ANY else F.coalesce(F.col(bits).bitwiseAND(F.lit(1 << rank).cast("long")) != 0, F.lit(False))
         return F.when(candidate & text.rlike(rule.pattern), placed).otherwise(none)
 
-    return out.select(*(F.col(c) for c in docs.columns if c != "found"), F.array_sort(F.concat(*(part(rank, rule) for rank, rule in enumerate(rules)))).alias("found"))
+    return out.select(*(named(c) for c in docs.columns), F.array_sort(F.concat(*(part(rank, rule) for rank, rule in enumerate(rules)))).alias(fresh("found", docs)))
 
 
 def joined(found: Column) -> Column:

@@ -14,6 +14,8 @@ from re import _parser as parser  # type: ignore[attr-defined]
 
 #: More alternatives than this are given up as "any string".
 MAX_SET = 64
+#: Classes of more letters than this are given up too.
+MAX_LETTERS = 16
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,7 @@ def _chars(items) -> set[str] | None:
             out |= {chr(x).lower() for x in range(arg[0], arg[1] + 1)}
         else:
             return None
-        if len(out) > 4:
+        if len(out) > MAX_LETTERS:
             return None
     return out
 
@@ -113,3 +115,21 @@ def derive(pattern: str) -> Query:
     """The query that each lower-cased text with a match satisfies; ANY if no trigram is mandatory."""
     strings, query = _walk(parser.parse(pattern))
     return query if strings is None else both(query, of_strings(strings))
+
+
+def clauses(q: Query) -> list[frozenset[str]]:
+    """Sets of trigrams, one of which each text that satisfies the query holds whole.
+
+    A product that grows too large keeps its shorter side only: more texts pass, none is lost.
+    """
+    if q.op == "tri":
+        return [frozenset(q.parts)]
+    parts = [clauses(p) for p in q.parts]
+    if q.op == "or":
+        found = {x for part in parts for x in part}
+    else:
+        found = {frozenset()}
+        for part in sorted(parts, key=len):
+            grown = {a | b for a in found for b in part}
+            found = grown if len(grown) <= MAX_SET else found
+    return sorted((x for x in found if not any(y < x for y in found)), key=sorted)

@@ -739,6 +739,26 @@ def test_secrets_against_python(spark):
 # --- neighbours ---
 
 
+def test_secret_clauses():
+    """A text passes if it holds the trigrams of one clause; classes of several letters are followed."""
+    of = lambda pattern: trigrams.clauses(trigrams.derive(pattern))
+    assert {"".join(sorted(c)[0]) for c in of("gh[pousr]_[A-Za-z0-9]{36,}")} == {"gho", "ghp", "ghr", "ghs", "ghu"}
+    assert of("abcd") == [frozenset({"abc", "bcd"})] and of("(abc|xyz)") == [frozenset({"abc"}), frozenset({"xyz"})]
+    assert all("cde" in c for c in of("[abf]cde")) and len(of("[abf]cde")) == 3
+    many = trigrams.Query("and", tuple(trigrams.Query("or", tuple(trigrams.Query("tri", (f"{i}{j:02d}",)) for j in range(9))) for i in range(4)))
+    assert 0 < len(trigrams.clauses(many)) <= trigrams.MAX_SET
+    unposted = [r.kind for r in secrets.BASE + secrets.ADDED if trigrams.derive(r.pattern) == trigrams.ANY]
+    assert unposted == ["hex"]
+
+
+def test_secret_scan_names(spark):
+    df = docs(spark, [(1, "AKIA" + "Z" * 16, "x"), (2, None, "y")]).withColumn("a.b", F.lit(1)).withColumn("Found", F.lit("mine")).withColumn("`x", F.lit(2))
+    out = secrets.scan(df)
+    assert out.columns == [*df.columns, "found_"]
+    got = {r.doc_id: (r["Found"], r["a.b"], [s.kind for s in r.found_]) for r in out.collect()}
+    assert got == {1: ("mine", 1, ["access"]), 2: ("mine", 1, [])}
+
+
 def test_ann_recall_of_the_query(spark):
     """The registered query against brute force over the whole table."""
     where = "/root/testdata/sf0.1"
@@ -763,6 +783,16 @@ def test_ann_shards_and_names(spark):
     assert got == [(0, 1, 50), (0, 2, 7), (0, 3, 7), (50, 1, 0), (50, 2, 7), (50, 3, 7)]
 
 
+def test_ann_of_repeated_ids(spark):
+    """Rows of a query's own id do not crowd out others with the same vector; each query row has ranks of its own."""
+    near, far = [1.0, 2.0], [2.0, -1.0]
+    df = spark.createDataFrame([(50, near)] * 10 + [(51 + i, near) for i in range(5)] + [(62, far)] * 9 + [(100, far), (100, near)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(df, df.filter("vec_id % 50 = 0")).collect())
+    of_50 = [(50, k + 1, v, 1.0) for k, v in enumerate(range(51, 56)) for _ in range(10)]
+    of_100 = [(100, k + 1, v, 1.0) for k in range(5) for v in (50, 62)]
+    assert got == sorted(of_50 + of_100)
+
+
 def test_ann_recall_and_edges(spark):
     rng = np.random.default_rng(3)
     x = (rng.normal(size=(3000, 16)) + 2 * rng.integers(0, 2, (3000, 1))).astype(np.float32)
