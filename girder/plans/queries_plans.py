@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.operators import planar, short_walls, strips
+from girder.operators import planar, runs, short_walls, strips
 from girder.operators import rules
 from girder.plans import fixtures as X
 from girder.plans.registry import query
@@ -177,3 +177,43 @@ def closed_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(corner(zero, zero), corner(w, zero), corner(w + lean, h), corner(lean, h)).alias("points"))
     out = strips.closed_strips(rows)
     return out.select("p_partkey", F.round("length", 6).alias("length"), F.round("thickness", 6).alias("thickness"), F.array_join("blockers", ",").alias("blockers"))
+
+
+@query()
+def enclosed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of a raster of 0.1 m that the walls of each drawing close off; compared with a flood fill in tests."""
+    found = runs.enclosed_regions(_drawn(spark, sf_dir), ["drawing"])
+    return found.select("drawing", "cells", "area")
+
+
+def detection_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Boxes, reference runs and images in cells of an eighth of a metre: odd segments are the reference, a fifth of all are detected, shifted by what their key says."""
+    s = X.segments(spark, sf_dir)
+    k = F.col("seg_id")
+    lines = s.filter(k % 2 == 1).select("drawing", *((F.col(c) * 8).alias(c) for c in ("x1", "y1", "x2", "y2")), F.lit(2.0).alias("width"))
+    away = k % 4 * 1.5
+    boxes = s.filter(k % 5 == 0).select("drawing", k.alias("box_id"), (F.col("x1") * 8 - 3 + away).alias("x1"), (F.col("y1") * 8 - 3 + away).alias("y1"), (F.col("x2") * 8 + 3.5).alias("x2"), (F.col("y2") * 8 + 3.5).alias("y2"), (k % 10 / 10).alias("confidence"))
+    images = s.select("drawing").distinct().select("drawing", F.lit(260).cast("long").alias("width"), F.lit(260).cast("long").alias("height"))
+    return boxes, runs.line_runs(lines, ["drawing"]), images
+
+
+@query()
+def detection_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compared with masks of pixels in tests."""
+    return runs.detection_quality(*detection_input(spark, sf_dir), ["drawing"])
+
+
+def profile_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """L-shaped profiles beside every twentieth wall, and walls, in mm."""
+    s = X.segments(spark, sf_dir)
+    mm = lambda c: (F.col(c) * 1000).alias(c)
+    corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    shape = F.array(*(corner(x, y) for x, y in ((0, 0), (600, 0), (600, 200), (200, 200), (200, 600), (0, 600))))
+    columns = s.filter("seg_id % 20 = 3").select("drawing", F.col("seg_id").alias("column_id"), (F.col("x1") * 1000 + 400).alias("x"), (F.col("y1") * 1000 - 250).alias("y"), shape.alias("points"))
+    return columns, s.select("drawing", mm("x1"), mm("y1"), mm("x2"), mm("y2"), "thickness")
+
+
+@query()
+def profile_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles moved onto walls by at most 1.5 m; compared with trying every shift in tests."""
+    return runs.register_profiles(*profile_input(spark, sf_dir), ["drawing"], max_shift=1500.0, group_distance=1500.0)
