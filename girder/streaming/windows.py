@@ -115,13 +115,14 @@ def keyed(events: DataFrame, key: str, processor: StatefulProcessor, schema: str
     return events.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-def once_per_batch(write):
-    """A foreachBatch writer that skips a batch it has committed before; ``write(df, batch_id, done)`` gets the set of ids."""
-    done: set[int] = set()
+def once_per_batch(path: str, name: str = "batch_id"):
+    """A foreachBatch writer of Parquet that may be asked again for a batch, after a restart too.
+
+    The batch's id goes with the data: each batch owns a folder ``name=id`` below
+    ``path`` and writes it whole, so a replayed batch takes its own place.
+    """
 
     def run(df: DataFrame, batch_id: int) -> None:
-        if batch_id not in done:
-            write(df, batch_id)
-            done.add(batch_id)
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}={batch_id}")
 
     return run

@@ -43,3 +43,19 @@ def test_breaker_equals_batch(spark, stream, tmp_path):
     got = run(windows.keyed(keyed, "key", windows.Breaker(3, 7200), "key long, id long, state string"), "breaker", "append", tmp_path)
     want = log.breaker_trace(spark.read.parquet(f"{DATA}/events.parquet"), "user_id", "ts", "event_id", bad, 3, 7200)
     assert {(r.key, r.id): r.state for r in got.collect()} == {(r.user_id, r.event_id): r.after for r in want.collect()}
+
+
+def test_batches_survive_a_restart(spark, stream, tmp_path):
+    """A stream that lost its last commit writes the batch again; the rows are there once."""
+    out, marks = tmp_path / "out", tmp_path / "marks"
+
+    def go():
+        q = stream.select("event_id").writeStream.foreachBatch(windows.once_per_batch(str(out))).option("checkpointLocation", str(marks)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(r.event_id for r in spark.read.parquet(str(out)).collect())
+
+    first = go()
+    assert first == sorted(r.event_id for r in spark.read.parquet(f"{DATA}/events.parquet").collect())
+    (marks / "commits" / "0").unlink()
+    (marks / "commits" / ".0.crc").unlink(missing_ok=True)
+    assert go() == first and [p.name for p in out.iterdir() if p.is_dir()] == ["batch_id=0"]
