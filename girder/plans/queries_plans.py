@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.operators import planar, runs, short_walls, strips
+from girder.operators import doors, lineage, planar, runs, short_walls, strips
 from girder.operators import rules
 from girder.plans import fixtures as X
 from girder.plans.registry import query
+from girder.plans.staging import stage
 from girder.plans.tables import table
 from girder.sources import ifc
 
@@ -217,3 +218,54 @@ def profile_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def profile_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles moved onto walls by at most 1.5 m; compared with trying every shift in tests."""
     return runs.register_profiles(*profile_input(spark, sf_dir), ["drawing"], max_shift=1500.0, group_distance=1500.0)
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 7 AS kind, 0.45::DOUBLE + p_size % 10 * 0.1 AS n, 0.012::DOUBLE * (p_partkey % 9 + 1) AS t FROM part)
+SELECT k AS candidate_id, CASE WHEN kind = 1 THEN 'identity_incomplete' WHEN kind = 2 THEN 'invalid_geometry' WHEN n NOT BETWEEN 0.6 AND 1.2 OR t NOT BETWEEN 0.015 AND 0.08 THEN 'out_of_range' WHEN kind = 3 THEN 'missing_arc' WHEN kind = 4 THEN 'ambiguous_arc' WHEN kind = 5 THEN 'held_by_walls' ELSE 'door_leaf' END AS outcome,
+       CASE WHEN kind IN (0, 6) AND NOT (n NOT BETWEEN 0.6 AND 1.2 OR t NOT BETWEEN 0.015 AND 0.08) THEN 'a' || k END AS arc_id FROM p""")
+def door_leaf_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf for each part, with a quarter arc about its first corner: none, two, or between two walls by what the key says."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", (k % 7).alias("kind"), (0.45 + size % 10 * 0.1).alias("n"), (0.012 * (k % 9 + 1)).alias("t"), (k % 50 * 10.0).alias("ox"), (F.floor(k / 50) * 10.0).alias("oy"), F.lit("d").alias("drawing"), F.lit("o").alias("occurrence"))
+    c = F.col
+    lean = F.when(c("kind") == 2, 0.05).otherwise(0.0)
+    corner = lambda x, y: F.struct((c("ox") + x).alias("x"), (c("oy") + y).alias("y"))
+    zero = F.lit(0.0)
+    profiles = p.select("drawing", "occurrence", k.alias("candidate_id"), F.lit("NEEDS_REVIEW").alias("status"), (c("kind") != 1).alias("identified"), F.array(corner(zero, zero), corner(c("n"), zero), corner(c("n") + lean, c("t")), corner(lean, c("t"))).alias("points"), c("ox").alias("x1"), (c("oy") + c("t") / 2).alias("y1"), (c("ox") + c("n")).alias("x2"), (c("oy") + c("t") / 2).alias("y2"))
+    copies = F.when(c("kind") == 3, F.array().cast("array<string>")).when(c("kind") == 4, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    arcs = p.select("drawing", "occurrence", F.explode(copies).alias("copy"), "*").select("drawing", "occurrence", F.concat("copy", k.cast("string")).alias("arc_id"), c("ox").alias("cx"), c("oy").alias("cy"), c("n").alias("radius"), F.lit(0.0).alias("start_angle"), F.lit(90.0).alias("end_angle"))
+    side = lambda x: F.struct(x.alias("x1"), (c("oy") - 1).alias("y1"), x.alias("x2"), (c("oy") + 1).alias("y2"))
+    walls = p.filter("kind IN (5, 6)").select("drawing", F.explode(F.when(c("kind") == 5, F.array(side(c("ox") - 0.1), side(c("ox") + c("n") + 0.1))).otherwise(F.array(side(c("ox") - 0.1)))).alias("w")).select("drawing", "w.*", F.lit(None).cast("long").alias("candidate_id"))
+    return doors.swings(profiles, arcs, walls).select("candidate_id", "outcome", "arc_id")
+
+
+@query("""
+WITH r AS (SELECT DISTINCT p_partkey % 23 AS run_id FROM part)
+SELECT run_id, CASE WHEN run_id % 11 = 0 THEN 'verified' ELSE 'broken' END AS status,
+       ['project_mismatch', 'entities_not_of_manifest', 'evidence_not_of_entities', 'model_not_of_evidence', 'duplicate_source', 'unknown_source', 'duplicate_entity', 'duplicate_evidence', 'unknown_entity', 'unknown_evidence'][nullif(run_id % 11, 0)] AS first_issue FROM r""")
+def model_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of parts, sealed after all but three kinds of harm: by what the run's number says, one link of each is broken."""
+    k, run = F.col("p_partkey"), F.col("run_id")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", (k % 23).alias("run_id"))
+    bad = lambda n: run % 11 == n
+    first = p.groupBy("run_id").agg(F.min("p_partkey").alias("p_partkey"))
+    is_first = p.join(first.withColumn("first", F.lit(True)), ["run_id", "p_partkey"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    is_first = stage(is_first, "lineage-parts")
+    twice = lambda df, n: df.unionByName(df.filter(F.col("first") & bad(n)))
+    source = F.concat(F.lit("s"), (k % 2).cast("string"))
+    entity = (source.alias("source_id"), k.cast("string").alias("entity_id"), F.concat(F.lit("/e:"), k.cast("string")).alias("locator"))
+    sources = first.select("run_id", F.explode(F.array(F.lit("s0"), F.lit("s1"))).alias("source_id"))
+    manifest = sources.unionByName(sources.filter(bad(5) & (F.col("source_id") == "s0"))).withColumn("note", F.lit("as sealed"))
+    entities = twice(is_first, 7).select("run_id", F.when(F.col("first") & bad(6), "s9").otherwise(source).alias("source_id"), *entity[1:], "p_name")
+    of = F.struct(F.when(F.col("first") & bad(6), "s9").otherwise(source).alias("source_id"), F.when(F.col("first") & bad(9), "none").otherwise(k.cast("string")).alias("entity_id"), entity[2])
+    evidence = twice(is_first, 8).select("run_id", F.concat(F.lit("v"), k.cast("string")).alias("evidence_id"), F.array(of).alias("refs"), F.lit("as sealed").alias("note"))
+    model = is_first.select("run_id", F.concat(F.lit("w"), k.cast("string")).alias("wall_id"), F.array(F.concat(F.lit("v"), k.cast("string")), F.when(F.col("first") & bad(10), "v-none").otherwise(F.concat(F.lit("v"), k.cast("string")))).alias("evidence_ids"))
+    contents = {"manifest": manifest, "entities": entities, "evidence": evidence, "model": model}
+    artifacts = lineage.sealed(first.select("run_id", F.lit("t").alias("tenant_id"), F.lit("p").alias("project_id")), contents)
+    late = F.lit(" changed later")
+    contents["manifest"] = manifest.withColumn("note", F.when(bad(2), late).otherwise(F.col("note")))
+    contents["entities"] = entities.withColumn("p_name", F.when(bad(3), F.concat("p_name", late)).otherwise(F.col("p_name")))
+    contents["evidence"] = evidence.withColumn("note", F.when(bad(4), late).otherwise(F.col("note")))
+    artifacts = artifacts.withColumn("project_id", F.when(bad(1) & (F.col("kind") == "evidence"), "q").otherwise(F.col("project_id")))
+    return lineage.verdicts(artifacts, contents).select("run_id", "status", "first_issue")
