@@ -51,12 +51,14 @@ def prices_like(rows: DataFrame, material_hint: str = "", market_hint: str = "")
 def lookup_price(items: DataFrame, prices: DataFrame, item_key: str = "item_id", name: str = "material_name") -> DataFrame:
     """For each item the newest price whose material contains its name; mid price, null if not positive.
 
-    Distinct names, not items, meet the distinct materials, so the containment
-    join runs over two vocabularies; the rest are equi joins.
+    Distinct names, not items, meet the distinct materials, and only those that
+    hold the name's first two characters (or its one): an equi join, like the rest.
     """
     names = items.select(F.col(name).alias("name")).filter(F.col("name") != "").distinct()
     newest = latest(prices, ["material"], [F.col("updated_at"), F.col("price_date"), F.col("ord")])
-    found = names.join(newest, F.contains(newest["material"], names["name"]))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("material"), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(F.substr(F.col("material"), i, F.lit(1)), F.substr(F.col("material"), i, F.lit(2))))))
+    found = names.withColumn("_gram", F.substring("name", 1, 2)).join(newest.withColumn("_gram", F.explode(grams)), "_gram").filter(F.contains("material", "name")).drop("_gram")
     best = latest(found, ["name"], [F.col("updated_at"), F.col("price_date"), F.col("ord")])
     mid = F.when((F.col("price_low") > 0) & (F.col("price_high") > 0), F.round((F.col("price_low") + F.col("price_high")) / 2, 2))
     return items.join(best.select(F.col("name").alias(name), mid.alias("market_price"), F.col("unit").alias("market_unit"), "material"), name, "left")

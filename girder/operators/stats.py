@@ -65,10 +65,25 @@ def line_fit(samples: DataFrame, keys: list[str], x: str = "x", y: str = "y") ->
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Minimum, p50, p95 and maximum by linear interpolation, rounded to 9 places."""
-    p = F.percentile(value, F.array(F.lit(0.0), F.lit(0.5), F.lit(0.95), F.lit(1.0)))
-    out = rows.groupBy(*keys).agg(p.alias("p"), F.count(value).alias("n"))
-    return out.select(*keys, "n", *[F.round(F.element_at("p", i + 1), 9).alias(name) for i, name in enumerate(("min", "p50", "p95", "max"))])
+    """Minimum, p50, p95 and maximum by linear interpolation, rounded to 9 places.
+
+    Values are counted first; a running sum over the distinct ones finds the ranks, so no group is held in memory.
+    """
+    said = F.col(value).isNotNull()
+    counts = rows.groupBy(*keys, value).agg(F.count(value).alias("_c"))
+    whole = Window.partitionBy(*keys)
+    counts = counts.withColumns({"_upto": F.sum("_c").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_n": F.sum("_c").over(whole)})
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(said & (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank), F.col(value)))
+
+    def share(p: float) -> Column:
+        place = (F.col("_n") - 1) * p
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        return F.round(low + (high - low) * part, 9)
+
+    return counts.groupBy(*keys).agg(F.max("_n").alias("n"), *(share(p).alias(name) for name, p in (("min", 0.0), ("p50", 0.5), ("p95", 0.95), ("max", 1.0))))
 
 
 def label_medians(samples: DataFrame, keys: list[str]) -> DataFrame:

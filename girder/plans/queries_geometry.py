@@ -198,7 +198,8 @@ def interval_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = X.segments(spark, sf_dir).select("drawing", "upright", F.floor("fixed").alias("fixed"), "seg_id", "lo", "hi")
     base = s.filter("seg_id % 4 = 1")
     line = ["drawing", "upright", "fixed"]
-    taken = base.select(*line, "seg_id").join(s.filter("seg_id % 4 <> 1").select(*line, F.col("lo").alias("lo"), F.col("hi").alias("hi")), line).select("seg_id", "lo", "hi")
+    spans = base.select(*line, "seg_id", F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
+    taken = interval.overlapping(spans, s.filter("seg_id % 4 <> 1").select(*line, "lo", "hi"), line, ("b_lo", "b_hi"), ("lo", "hi"), 4.0).select("seg_id", "lo", "hi")
     return interval.difference(base.select("seg_id", "lo", "hi"), taken, ["seg_id"], "lo", "hi", 0.25)
 
 
@@ -230,14 +231,14 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _edges(spark, sf_dir)
     line = ["drawing", "upright", "fixed"]
     a, b = s.select(*line, F.col("seg_id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), s.select(*line, F.col("seg_id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    return graph.components(a.join(b, line).filter("a < b AND alo <= bhi AND blo <= ahi").select("a", "b"))
+    return graph.components(interval.overlapping(a, b, line, ("alo", "ahi"), ("blo", "bhi"), 4.0).filter("a < b").select("a", "b"))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _edges(spark, sf_dir)
     line = ["drawing", "upright", "fixed"]
     a, b = s.filter("seg_id % 2 = 0").select(*line, F.col("seg_id").alias("left"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), s.filter("seg_id % 2 = 0 OR seg_id % 3 = 0").select(*line, F.col("seg_id").alias("right"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    return a.join(b, line).filter("left <> right AND alo < bhi AND blo < ahi").select("left", "right")
+    return interval.overlapping(a, b, line, ("alo", "ahi"), ("blo", "bhi"), 4.0).filter("left <> right AND alo < bhi AND blo < ahi").select("left", "right")
 
 
 @query()
