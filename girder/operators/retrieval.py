@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from girder.functions import text as T
 from girder.functions import vectors as V
 from girder.plans.staging import stage
-from girder.plans.tables import fit_for_broadcast
+from girder.plans.tables import fit_for_broadcast, spread
 
 K1, B = 1.5, 0.75
 
@@ -31,7 +31,7 @@ def corpus_size(docs: DataFrame, text: Column) -> DataFrame:
 def tokenised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """doc_key, length, distinct tokens and runs of each document, written once: texts are read a single time."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    split = docs.select(F.col(key).alias("doc_key"), T.lexical_tokens(F.coalesce(F.col(text), F.lit(""))).alias("all"), F.regexp_extract_all(low, F.lit("[a-z0-9]+|[一-龥]+"), F.lit(0)).alias("runs"))
+    split = spread(docs.select(key, text)).select(F.col(key).alias("doc_key"), T.lexical_tokens(F.coalesce(F.col(text), F.lit(""))).alias("all"), F.regexp_extract_all(low, F.lit("[a-z0-9]+|[一-龥]+"), F.lit(0)).alias("runs"))
     return stage(split.select("doc_key", F.greatest(F.lit(1), F.size("all")).alias("len"), F.array_distinct("all").alias("tokens"), "runs"), "tokenised")
 
 
@@ -54,13 +54,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", quer
     size = prepared.agg(F.count("*").alias("doc_count"), (F.sum("len") / F.greatest(F.lit(1), F.count("*"))).alias("avg_length"))
     weights = df.crossJoin(F.broadcast(size)).select("token", (F.when(F.length("token") >= 3, 2.0).otherwise(1.0) * F.log(1 + (F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"), "avg_length")
 
-    runs = prepared.select("doc_key", F.explode("runs").alias("run")).groupBy("doc_key", "run").agg(F.count("*").alias("n"))
     # A run that holds a token holds its first two characters: an equi join on those leaves few pairs to search.
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - 1, F.lit(1))), lambda i: F.substring(F.col("run"), i, 2)))
     first_two = wanted.select("token", F.substring("token", 1, 2).alias("pair"))
     held = prepared.select(F.explode("runs").alias("run")).distinct().select("run", F.explode(pairs).alias("pair")).join(fit_for_broadcast(first_two), "pair").filter(F.contains("run", F.col("token"))).select("run", "token")
     matches = held.withColumn("times", ((F.length("run") - F.length(F.replace(F.col("run"), F.col("token"), F.lit("")))) / F.length("token")).cast("long"))
-    tf = runs.join(matches, "run").groupBy("doc_key", "token").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("tf"))
+    # Written, so that its size is known: few matches go to the runs, beyond that runs are counted first.
+    matches = stage(matches, "bm25-matches")
+    few = fit_for_broadcast(matches)
+    runs = prepared.select("doc_key", F.explode("runs").alias("run"))
+    counted = runs.withColumn("n", F.lit(1)) if few is not matches else runs.groupBy("doc_key", "run").agg(F.count("*").alias("n"))
+    tf = counted.join(few, "run").groupBy("doc_key", "token").agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("tf"))
     lengths = prepared.select("doc_key", "len")
     hits = tf.join(fit_for_broadcast(weights), "token").join(lengths, "doc_key")
     part = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_length"))))

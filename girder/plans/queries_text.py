@@ -9,7 +9,7 @@ from girder.functions import text as T
 from girder.functions import vectors as V
 from girder.operators import clean, retrieval, stats
 from girder.plans.registry import query
-from girder.plans.tables import metadata_matches, scope_visible, table
+from girder.plans.tables import metadata_matches, scope_visible, spread, table
 from girder.sources import prices
 
 _NORMAL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -36,7 +36,7 @@ c AS (SELECT doc_id, unnest(CASE WHEN t = '' THEN [] WHEN length(t) <= 1200 THEN
 SELECT doc_id, chunk_index::INT AS chunk_index, length(chunk)::INT AS n_chars, greatest(1, length(chunk) // 2)::INT AS tokens, sha256(doc_id || ':1:' || chunk_index || ':' || chunk) AS chunk_id
 FROM c""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_text(F.col("text"))).alias("chunk_index", "chunk"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.split_text(F.col("text"))).alias("chunk_index", "chunk"))
     return rows.select("doc_id", "chunk_index", F.length("chunk").alias("n_chars"), T.token_estimate(F.col("chunk")).alias("tokens"), T.chunk_id(F.col("doc_id"), F.lit(1), F.col("chunk_index"), F.col("chunk")).alias("chunk_id"))
 
 

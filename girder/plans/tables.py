@@ -72,3 +72,9 @@ def fit_for_broadcast(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
     """Hint a broadcast only if the optimiser's own size bound for ``df`` is below the limit; else leave the join to Spark."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= max_bytes else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions than there are: for costly work on small files; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
