@@ -128,8 +128,8 @@ def test_stages_of_clashing_names_and_empty_tables(spark):
     rng = random.Random(6)
     texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(3)]
     rows = [(1, texts[0], "x"), (2, texts[1], None), (3, texts[1].replace(" ", "\n"), "x"), (4, None, "y"), (5, "long " * 1_000_000, "y"), (6, texts[2], "y")]
-    names = ["_score", "score", "copies", "severity", "toxic", "weak", "_copy", "key", "row", "_row", "rid", "id", "fp", "kept"]
-    made = docs(spark, rows).selectExpr("*", *(f"{i} AS {n}" for i, n in enumerate(names)))
+    names = ["_score", "score", "copies", "severity", "toxic", "weak", "_copy", "key", "row", "_row", "rid", "id", "fp", "kept", "a.b", "Found"]
+    made = docs(spark, rows).selectExpr("*", *(f"{i} AS `{n}`" for i, n in enumerate(names)))
     for name, step in corpus_pipeline.STAGES:
         out = step(spark, made, DATA)
         got = out.collect()
