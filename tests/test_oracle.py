@@ -149,11 +149,11 @@ def brute_rooms(spark, frame):
 
 
 def brute_elsewhere(spark, frame):
-    """tests/test_runs.py compares these with rasters of cells and with all shifts."""
+    """tests/test_runs.py and tests/test_rasters.py compare these with rasters of cells and with all shifts."""
     assert frame.count() > 0
 
 
-BRUTE = {"enclosed_regions": brute_elsewhere, "detection_quality": brute_elsewhere, "profile_registration": brute_elsewhere, "rooms": brute_rooms, "nms": brute_nms, "cluster_1d": brute_cluster_1d, "cluster_pairwise": brute_cluster_pairwise, "breaker_trace": brute_breaker, "max_matching": brute_matching, "collinear_merge": brute_collinear, "opening_bridges": brute_bridges, "junctions": brute_junctions}
+BRUTE = {"enclosed_regions": brute_elsewhere, "detection_quality": brute_elsewhere, "profile_registration": brute_elsewhere, "raster_walls_once": brute_elsewhere, "render_registration": brute_elsewhere, "render_audit": brute_elsewhere, "rooms": brute_rooms, "nms": brute_nms, "cluster_1d": brute_cluster_1d, "cluster_pairwise": brute_cluster_pairwise, "breaker_trace": brute_breaker, "max_matching": brute_matching, "collinear_merge": brute_collinear, "opening_bridges": brute_bridges, "junctions": brute_junctions}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
