@@ -1,11 +1,11 @@
-"""Queries over drawings as rasters: centre lines of edges, registered renders and their verdicts."""
+"""Queries over drawings as rasters: centre lines of edges, registered renders and their verdicts, floors fused."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.operators import rasters, runs
+from girder.operators import fusion, rasters, runs
 from girder.plans import fixtures as X
 from girder.plans.registry import query
 from girder.plans.tables import table
@@ -84,3 +84,48 @@ def render_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat(F.lit("s"), text), 256).alias("source_sha256"), F.sha2(F.concat(F.lit("v"), text), 256).alias("view_sha256"), F.sha2(F.concat(F.when(page % 11 == 6, "old").otherwise("v"), text), 256).alias("recorded_view_sha256"))
     verdicts = rasters.audit_verdicts(rasters.register_renders(images, source, target, ["page"]), results, ["page"])
     return verdicts.select("page", "status", F.array_join("issues", ",").alias("issues"), "similarity")
+
+
+def floor_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Floors of 20 parts: a column, a wall and two axes a part on both drawings; five floors of six break a rule each by their first part."""
+    k, floor = F.col("p_partkey"), F.col("floor")
+    p = table(spark, sf_dir, "part").select(F.floor(k / 20).alias("floor"), "p_partkey", (k % 20 * 3.0).alias("at"), (k % 20 == 0).alias("first"))
+    contract = lambda ox, oy, turn: F.struct(F.lit(ox).alias("origin_x"), F.lit(oy).alias("origin_y"), F.lit(500.0).alias("centre_x"), F.lit(250.0).alias("centre_y"), turn.alias("rotation"))
+    contracts = p.select("floor").distinct().select("floor", contract(4000.0, -1000.0, F.when(floor % 6 == 1, 90.0).otherwise(0.0)).alias("structure"), contract(1000.0, 2000.0, F.lit(0.0)).alias("architecture"))
+    both = p.withColumn("side", F.explode(F.array(F.lit("structure"), F.lit("architecture"))))
+    ours = F.col("side") == "structure"
+    x, y = F.col("at") - F.when(ours, 3.0).otherwise(0.0), F.col("at") * 2 + F.when(ours, 3.0).otherwise(0.0)
+    bad = lambda n: F.col("first") & (floor % 6 == n)
+    key = F.concat(F.substring("side", 1, 1), k.cast("string")).alias("id")
+    nudge = F.when(ours & bad(2), 0.002).when(ours & (k % 7 == 1), 0.0005).otherwise(0.0)
+    columns = both.select("floor", "side", key, (x + nudge).alias("x"), y.alias("y"), (0.5 + F.when(ours & bad(5), 0.0015).otherwise(0.0)).alias("w"), F.lit(0.5).alias("h"))
+    axes = both.filter(ours | (k % 3 != 2) | F.col("first")).select("floor", "side", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("direction"), k.alias("k"), "first", x.alias("x"), y.alias("y"))
+    lines = axes.select("floor", "side", "direction", F.concat(F.substring("side", 1, 1), "direction", F.col("k").cast("string")).alias("id"), (F.when(F.col("direction") == "x", F.col("x")).otherwise(F.col("y")) + F.when(~ours & bad(4), 0.5).otherwise(0.0)).alias("coord"))
+    again = axes.filter(ours & bad(3) & (F.col("direction") == "x")).select("floor", "side", "direction", F.concat(F.lit("sx-again"), F.col("k").cast("string")).alias("id"), (F.col("x") + 0.0004).alias("coord"))
+    here = F.when(ours, k % 4 != 0).otherwise(k % 3 != 0)
+    turned = ours & (k % 2 == 0)
+    ends = {"x1": (x, x + 2), "x2": (x + 2, x), "y1": (y, y + 1), "y2": (y + 1, y)}
+    walls = both.filter(here).select("floor", "side", key, *(F.when(turned, b).otherwise(a).alias(n) for n, (a, b) in ends.items()), (200.0 + F.when(ours & (k % 5 == 0), 2.0).when(ours, 1.0).otherwise(0.0)).alias("thickness"))
+    return contracts, lines.unionByName(again), columns, walls
+
+
+@query("""
+WITH f AS (SELECT DISTINCT p_partkey // 20 AS floor FROM part)
+SELECT floor, CASE floor % 6 WHEN 0 THEN 'fused' ELSE 'refused' END AS status,
+       coalesce(['column_not_one_to_one,rotation_differs', 'column_not_one_to_one', 'axes_not_of_structure,duplicate_axes', 'axes_not_of_structure', 'column_not_one_to_one'][nullif(floor % 6, 0)], '') AS issues FROM f""")
+def floor_fusion_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts, _ = fusion.fuse_floors(*floor_input(spark, sf_dir), ["floor"])
+    return verdicts.select("floor", "status", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey // 20 AS floor, p_partkey AS k FROM part WHERE p_partkey // 20 % 6 = 0),
+d AS (SELECT *, unnest(['x', 'y']) AS d FROM p)
+SELECT floor, 'axis_' || d AS kind, 's' || d || k AS structure_id, CASE WHEN k % 3 <> 2 THEN 'a' || d || k END AS architecture_id, CASE WHEN k % 3 <> 2 THEN 'EXACT' ELSE 'STRUCTURE_ONLY' END AS status, CASE WHEN k % 3 <> 2 THEN 0.0::DOUBLE END AS residual FROM d
+UNION ALL SELECT floor, 'column', 's' || k, 'a' || k, 'EXACT', CASE WHEN k % 7 = 1 THEN 0.0005::DOUBLE ELSE 0.0 END FROM p
+UNION ALL SELECT floor, 'wall', CASE WHEN k % 4 <> 0 THEN 's' || k END, CASE WHEN k % 3 <> 0 THEN 'a' || k END, CASE WHEN k % 3 = 0 THEN 'UNMATCHED_STRUCTURE_VIEW' WHEN k % 4 = 0 THEN 'UNMATCHED_ARCHITECTURE_VIEW' ELSE 'CORROBORATED' END, CASE WHEN k % 3 <> 0 AND k % 4 <> 0 THEN 0.0::DOUBLE END FROM p WHERE k % 12 <> 0 AND NOT (k % 5 = 0 AND k % 3 <> 0 AND k % 4 <> 0)
+UNION ALL SELECT floor, 'wall', 's' || k, NULL, 'UNMATCHED_STRUCTURE_VIEW', NULL FROM p WHERE k % 5 = 0 AND k % 3 <> 0 AND k % 4 <> 0
+UNION ALL SELECT floor, 'wall', NULL, 'a' || k, 'UNMATCHED_ARCHITECTURE_VIEW', NULL FROM p WHERE k % 5 = 0 AND k % 3 <> 0 AND k % 4 <> 0""")
+def floor_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, elements = fusion.fuse_floors(*floor_input(spark, sf_dir), ["floor"])
+    return elements.withColumn("residual", F.round("residual", 6))
