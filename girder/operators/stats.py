@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.functions import geometry as G
 from girder.functions import text as T
-from girder.functions import vectors as V
+from girder.plans.staging import stage
+from girder.plans.tables import fit_for_broadcast
 
 
 def call_stats(calls: DataFrame, as_of: Column, hours: int, at: str = "start_ts") -> DataFrame:
@@ -133,15 +138,120 @@ def delta(old: DataFrame, new: DataFrame, keys: list[str], measures: list[str])
     return out.withColumns({f"delta_{m}": F.col(f"new_{m}") - F.col(f"old_{m}") for m in measures})
 
 
+#: Profiles in a block, drawings in a slice, and rows of a batch that goes out.
+PROFILES, DRAWINGS, BATCH = 8192, 4096, 1 << 16
+
+
+def _profile_blocks(current: DataFrame, profiles: DataFrame, sets: tuple[str, ...]) -> DataFrame:
+    """Both sides in one table, by tenant, slice of its drawings and block of its profiles: a tenant of any size is many groups, the profiles of a group first."""
+    count = lambda df, name: df.filter("tenant_id IS NOT NULL").groupBy("tenant_id").agg(F.count("*").alias(name))
+    sizes = fit_for_broadcast(stage(count(current, "_n").join(count(profiles, "_m"), "tenant_id"), "profile-sizes"))
+    part = lambda key, n, size: F.pmod(F.xxhash64(key), F.ceil(F.col(n) / size))
+    each = lambda n, size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / size) - 1))
+    types = dict(profiles.dtypes) | dict(current.dtypes)
+    own = lambda side: [F.array_distinct(F.coalesce(s, F.array().cast(types[s]))).alias(s) for s in sets]
+    none = lambda *names: [F.lit(None).cast(types[n]).alias(n) for n in names]
+    c = current.join(sizes, "tenant_id").select("tenant_id", part("drawing_id", "_n", DRAWINGS).alias("_slice"), each("_m", PROFILES).alias("_block"), F.lit(1).alias("_side"), "drawing_id", *none("profile_id", "ord"), "signature", *own(1))
+    p = profiles.join(sizes, "tenant_id").select("tenant_id", each("_n", DRAWINGS).alias("_slice"), part("profile_id", "_m", PROFILES).alias("_block"), F.lit(0).alias("_side"), *none("drawing_id"), "profile_id", "ord", "signature", *own(0))
+    group = ["tenant_id", "_slice", "_block"]
+    return p.unionByName(c).repartition(*group).sortWithinPartitions(*group, "_side")
+
+
+class _Profiles:
+    """The profiles of a group: for each set the places of those that hold a member."""
+
+    def __init__(self, sets: tuple[str, ...]) -> None:
+        self.sets, self.ids, self.ords, self.signatures = sets, [], [], {}
+        self.sizes, self.held = [[] for _ in sets], [{} for _ in sets]
+
+    def add(self, row: dict) -> None:
+        at = len(self.ids)
+        self.ids.append(row["profile_id"])
+        self.ords.append(row["ord"])
+        self.signatures.setdefault(row["signature"], []).append(at)
+        for s, sizes, held in zip(self.sets, self.sizes, self.held, strict=True):
+            sizes.append(len(row[s]))
+            for member in row[s]:
+                held.setdefault(member, []).append(at)
+
+    def close(self, kinds: list[pa.DataType]) -> None:
+        self.columns = [pa.array(v, type=k) for v, k in zip((self.ids, self.ords), kinds, strict=True)]
+        self.sizes = [np.array(n, dtype=np.int64) for n in self.sizes]
+        self.held = [{k: np.array(v, dtype=np.int32) for k, v in h.items()} for h in self.held]
+
+    def scores(self, row: dict, signed: bool) -> np.ndarray:
+        """A21 of a drawing with each profile; with ``signed`` equal signatures score 1."""
+        total, parts = np.zeros(len(self.ids)), np.zeros(len(self.ids))
+        for s, sizes, held in zip(self.sets, self.sizes, self.held, strict=True):
+            places = [held[m] for m in row[s] if m in held]
+            shared = np.bincount(np.concatenate(places), minlength=len(self.ids)) if places else np.zeros(len(self.ids), dtype=np.int64)
+            union = sizes + len(row[s]) - shared
+            total += np.divide(shared, union, out=np.zeros(len(self.ids)), where=union > 0)
+            parts += union > 0
+        out = np.divide(total, parts, out=np.zeros(len(self.ids)), where=parts > 0)
+        if signed and row["signature"] is not None:
+            out[self.signatures.get(row["signature"], [])] = 1.0
+        return out
+
+
+def _profile_pairs(current: DataFrame, profiles: DataFrame, sets: tuple[str, ...], best: bool) -> DataFrame:
+    """(drawing_id, profile_id, ord, score) of all pairs of a tenant, or of the best of each drawing in each block."""
+    types = dict(profiles.dtypes) | dict(current.dtypes)
+    schema = f"drawing_id {types['drawing_id']}, profile_id {types['profile_id']}, ord {types['ord']}, score double"
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, opened = None, None, False
+        kinds, out, n = None, [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(column) for column in zip(*out, strict=True)], names=["drawing_id", "profile_id", "ord", "score"])
+
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(c).type for c in ("drawing_id", "profile_id", "ord")]
+            for start in range(0, batch.num_rows, 256):
+                for row in batch.slice(start, 256).to_pylist():
+                    now = row["tenant_id"], row["_slice"], row["_block"]
+                    if now != group:
+                        group, held, opened = now, _Profiles(sets), False
+                    if row["_side"] == 0:
+                        held.add(row)
+                        continue
+                    if not opened:
+                        held.close(kinds[1:])
+                        opened = True
+                    if not held.ids:
+                        continue
+                    scores = held.scores(row, best)
+                    if best:
+                        top = scores.max()
+                        if not top > 0:
+                            continue
+                        at = int(min(np.flatnonzero(scores == top), key=lambda i: (held.ords[i] is None, held.ords[i] or 0)))
+                        columns, scores = [c.slice(at, 1) for c in held.columns], scores[at:at + 1]
+                    else:
+                        columns = held.columns
+                    out.append((pa.repeat(pa.scalar(row["drawing_id"], type=kinds[0]), len(scores)), *columns, pa.array(scores)))
+                    n += len(scores)
+                    if n >= BATCH:
+                        yield flush()
+                        out, n = [], 0
+        if out:
+            yield flush()
+
+    return _profile_blocks(current, profiles, sets).mapInArrow(meet, schema)
+
+
+def profile_scores(current: DataFrame, profiles: DataFrame, sets: tuple[str, ...]) -> DataFrame:
+    """(drawing_id, profile_id, score) of each drawing with each profile of its tenant."""
+    return _profile_pairs(current, profiles, sets, best=False).select("drawing_id", "profile_id", "score")
+
+
 def best_profile(current: DataFrame, profiles: DataFrame, threshold: float = 0.65, sets: tuple[str, ...] = ("layers", "blocks", "active_layers", "type_names")) -> DataFrame:
     """Per drawing the best saved profile: equal signatures score 1; strictly greater wins; a minimum score.
 
-    Profiles are a small stated library; each drawing meets each of its tenant's.
+    Each drawing meets each of its tenant's profiles, in slices and blocks; only the best of a block goes on.
     """
-    c, p = current.alias("c"), profiles.alias("p")
-    joined = c.join(p, F.col("c.tenant_id") == F.col("p.tenant_id"))
-    score = F.when(F.col("c.signature") == F.col("p.signature"), 1.0).otherwise(V.profile_similarity([(F.coalesce(f"c.{s}", F.array()), F.coalesce(f"p.{s}", F.array())) for s in sets]))
-    scored = joined.select(F.col("c.drawing_id").alias("drawing_id"), F.col("p.profile_id").alias("profile_id"), F.col("p.ord").alias("ord"), score.alias("score")).filter(F.col("score") > 0)
+    scored = _profile_pairs(current, profiles, sets, best=True)
     best = scored.groupBy("drawing_id").agg(F.max_by(F.struct("profile_id", "score"), F.struct(F.col("score"), (-F.col("ord")).alias("o"))).alias("b"))
     return best.select("drawing_id", "b.profile_id", F.round("b.score", 4).alias("score")).filter(F.col("score") >= threshold)
 
