@@ -199,6 +199,66 @@ def crossing(a: dict, b: dict):
     return point
 
 
+class Cells:
+    """Numbered points in square cells; those that are not finite are near nothing."""
+
+    def __init__(self, side: float) -> None:
+        self.side, self.held = side, {}
+
+    def add(self, i: int, x: float, y: float) -> None:
+        if math.isfinite(x) and math.isfinite(y):
+            self.held.setdefault((math.floor(x / self.side), math.floor(y / self.side)), []).append(i)
+
+    def near(self, x: float, y: float, reach: float) -> list[int]:
+        """All points within ``reach`` and some beyond, in order."""
+        if not (math.isfinite(x) and math.isfinite(y)):
+            return []
+        reach += 1e-6
+        xs, ys = (range(math.floor((v - reach) / self.side), math.floor((v + reach) / self.side) + 1) for v in (x, y))
+        return sorted(i for cx in xs for cy in ys for i in self.held.get((cx, cy), ()))
+
+
+class Boxes:
+    """Walls by their places in a list, in square cells that their boxes cover; one that covers very many, or is not finite, is always looked at."""
+
+    MANY = 4096
+
+    def __init__(self, walls: list[dict], reach: float) -> None:
+        spans = [d for w in walls if math.isfinite(d := max(abs(w["x2"] - w["x1"]), abs(w["y2"] - w["y1"])))]
+        self.side = max(2 * reach, sum(spans) / len(spans) / 4 if spans else 0.0, 1e-3)
+        self.held, self.long, self.all = {}, set(), range(len(walls))
+        for i, w in enumerate(walls):
+            self.add(i, w)
+
+    def _cells(self, *box: float) -> list[tuple[int, int]] | None:
+        if not all(map(math.isfinite, box)):
+            return None
+        xs, ys = (range(math.floor((lo - 1e-6) / self.side), math.floor((hi + 1e-6) / self.side) + 1) for lo, hi in (box[::2], box[1::2]))
+        return [(cx, cy) for cx in xs for cy in ys] if len(xs) * len(ys) <= self.MANY else None
+
+    def _of(self, w: dict) -> list[tuple[int, int]] | None:
+        return self._cells(min(w["x1"], w["x2"]), min(w["y1"], w["y2"]), max(w["x1"], w["x2"]), max(w["y1"], w["y2"]))
+
+    def _among(self, cells: list[tuple[int, int]] | None) -> list[int]:
+        return list(self.all) if cells is None else sorted(self.long.union(*(self.held.get(c, ()) for c in cells)))
+
+    def add(self, i: int, w: dict) -> None:
+        """A wall, or one that has moved: it stays in its earlier cells too."""
+        cells = self._of(w)
+        if cells is None:
+            self.long.add(i)
+        for c in cells or ():
+            self.held.setdefault(c, set()).add(i)
+
+    def near(self, x: float, y: float, reach: float) -> list[int]:
+        """All walls within ``reach`` of a point and some beyond, in order."""
+        return self._among(self._cells(x - reach, y - reach, x + reach, y + reach))
+
+    def meeting(self, w: dict) -> list[int]:
+        """All walls whose boxes meet that of ``w`` and some beyond, in order."""
+        return self._among(self._of(w))
+
+
 def merge_collinear(walls: list[dict], gap: float = 0.35, offset: float = 0.06, angle: float = 1.0, thickness: float = 20.0) -> list[dict]:
     """Walls join the first group whose first member they match; each group's runs become walls.
 
@@ -209,10 +269,16 @@ def merge_collinear(walls: list[dict], gap: float = 0.35, offset: float = 0.06,
         rec = record(w)
         if rec is None:
             continue
+        own, thick = set(w.get("layers") or ()), w.get("thickness") or 0
+        (px, py), (qx, qy), turned = rec["p"], rec["q"], rec["angle"]
         for g in groups:
             first, base = g[0]
-            layers, own = set(base.get("layers") or ()), set(w.get("layers") or ())
-            if abs((w.get("thickness") or 0) - (base.get("thickness") or 0)) <= thickness and not (layers and own and layers.isdisjoint(own)) and angle_apart(rec["angle"], first["angle"]) <= angle and max(abs(across(first, rec[e])) for e in "pq") <= offset:
+            (fx, fy), (nx, ny) = first["p"], first["n"]
+            # The line first: it rules out most groups.
+            if not (abs((px - fx) * nx + (py - fy) * ny) <= offset and abs((qx - fx) * nx + (qy - fy) * ny) <= offset):
+                continue
+            layers = set(base.get("layers") or ())
+            if abs(thick - (base.get("thickness") or 0)) <= thickness and not (layers and own and layers.isdisjoint(own)) and angle_apart(turned, first["angle"]) <= angle:
                 g.append((rec, w))
                 break
         else:
@@ -273,16 +339,17 @@ def merge_axis_lines(lines: list[dict], coord_tolerance: float = 3.0, gap: float
 def opening_bridges(walls: list[dict], low: float = 0.30, high: float = 2.20, angle: float = 3.0) -> list[dict]:
     """Facing ends of collinear walls a door's width apart, nearest first, each end once."""
     ends = [(i, (w[x], w[y]), rec) for i, w in enumerate(walls) if (rec := record(w)) for x, y in (("x1", "y1"), ("x2", "y2"))]
-    found = []
-    for i, (wi, p, ri) in enumerate(ends):
-        for j in range(i + 1, len(ends)):
-            wj, q, rj = ends[j]
+    found, cells = [], Cells(high)
+    for j, (wj, q, rj) in enumerate(ends):
+        for i in cells.near(*q, high):
+            wi, p, ri = ends[i]
             d = math.dist(p, q)
             if wi == wj or not low <= d <= high or angle_apart(ri["angle"], rj["angle"]) > angle:
                 continue
             bridge = record({"x1": p[0], "y1": p[1], "x2": q[0], "y2": q[1]})
             if bridge and max(angle_apart(bridge["angle"], ri["angle"]), angle_apart(bridge["angle"], rj["angle"])) <= angle:
                 found.append((i, j, d))
+        cells.add(j, *q)
     used: set[int] = set()
     return [{"x1": round(ends[i][1][0], 3), "y1": round(ends[i][1][1], 3), "x2": round(ends[j][1][0], 3), "y2": round(ends[j][1][1], 3), "gap": round(d, 3)} for i, j, d in take_greedy(sorted(found, key=lambda f: (f[2], f[0], f[1])), used, used)]
 
@@ -323,16 +390,21 @@ def heal_axis_junctions(walls: list[dict], most: float = 0.80, shortest: float =
 def heal_junctions(walls: list[dict], tolerance: float) -> list[dict]:
     """Each end snaps to the best crossing or facing end within half the walls' widths, projected on its own line; in order. Thickness in metres."""
     walls = [dict(w) for w in walls]
+    records = [record(w) for w in walls]
+    thickest = max((w["thickness"] for w in walls), default=0.0)
+    # A wall that a point may snap to lies within twice the reach of it: the target is as near, and its place on the own line too.
+    boxes = Boxes(walls, tolerance)
     for i, w in enumerate(walls):
         base = (w["x1"], w["y1"])
         n = math.dist(base, (w["x2"], w["y2"]))
         if n <= 1e-9:
             continue
         u = ((w["x2"] - w["x1"]) / n, (w["y2"] - w["y1"]) / n)
+        most = 2 * max(tolerance, (w["thickness"] + thickest) / 2 + 0.02) + 1e-6
         for end in ("1", "2"):
             point, best = (w[f"x{end}"], w[f"y{end}"]), None
-            for j, o in enumerate(walls):
-                own, other = record(w), record(o)
+            for j in boxes.near(*point, most):
+                o, own, other = walls[j], records[i], records[j]
                 if j == i or own is None or other is None:
                     continue
                 reach = max(tolerance, (w["thickness"] + o["thickness"]) / 2 + 0.02)
@@ -350,6 +422,8 @@ def heal_junctions(walls: list[dict], tolerance: float) -> list[dict]:
                     best = d, on_line
             if best is not None:
                 w[f"x{end}"], w[f"y{end}"] = best[1]
+                records[i] = record(w)
+                boxes.add(i, w)
     return walls
 
 
@@ -367,14 +441,17 @@ def unique_directions(vectors: list[tuple[float, float]], tolerance: float = 8.0
 def classify_junctions(walls: list[dict], tolerance: float) -> list[dict]:
     """Ends and crossings clustered (first match within half the tolerance), then by directions: X, T, straight or L; members are places in the list."""
     points = [(w[f"x{e}"], w[f"y{e}"]) for w in walls for e in "12"]
-    points += [p for i, a in enumerate(walls) for b in walls[i + 1:] if (p := crossing(a, b)) is not None]
+    boxes = Boxes(walls, tolerance)
+    points += [p for i, a in enumerate(walls) for j in boxes.meeting(a) if j > i and (p := crossing(a, walls[j])) is not None]
     centres: list[tuple[float, float]] = []
+    seen = Cells(max(tolerance / 2, 1e-3))
     for p in points:
-        if all(math.dist(p, c) > tolerance / 2 for c in centres):
+        if all(math.dist(p, centres[c]) > tolerance / 2 for c in seen.near(*p, tolerance / 2)):
+            seen.add(len(centres), *p)
             centres.append(p)
     out = []
     for c in centres:
-        members = [i for i, w in enumerate(walls) if to_segment(c, w) <= tolerance]
+        members = [i for i in boxes.near(*c, tolerance) if to_segment(c, walls[i]) <= tolerance]
         if len(members) < 2:
             continue
         vectors = []
