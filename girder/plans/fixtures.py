@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import domain as D
-from girder.plans.tables import table
+from girder.plans.tables import spread, table
 
 RAW_MATERIALS = ("HRB400 钢筋", "商砼", "机制砂", "p.o42.5 水泥", "热轧卷板", "盘条", "电解铜", "玻璃")
 RAW_UNITS = ("元/m3", "元/吨", "", "元/平方米")
@@ -129,7 +129,7 @@ _IFC_HEAD = (
 
 def step_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, statement) of such models."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))  # a part becomes some twenty statements
     k, size = F.col("p_partkey"), F.col("p_size")
     file = F.concat(F.lit("model-"), F.floor(k / 100).cast("string"))
     base = 1000 + 100 * (k % 100)
