@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.functions import domain as D
+from girder.plans.staging import stage
+from girder.plans.tables import fit_for_broadcast
 
 PRICE_KEY = ("material", "spec", "market", "source", "price_date")
 
@@ -25,9 +27,9 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 def clean_prices(rows: DataFrame, as_of: str) -> DataFrame:
     """W20 with P11-P14: alias, unit, date, cast, validate, then the first row per five-column key."""
-    # Names are few: each distinct one is normalised once and joined back.
-    names = rows.select(F.col("material").alias("_raw")).distinct().withColumn("_standard", D.material(F.col("_raw")))
-    out = rows.join(names, F.col("material").eqNullSafe(F.col("_raw")), "left").withColumn("material", F.col("_standard")).drop("_raw", "_standard")
+    # Each distinct name is normalised once and joined back.  Written, so that its size is known: rows of few names would meet in as few tasks.
+    names = stage(rows.select(F.col("material").alias("_raw")).distinct().withColumn("_standard", D.material(F.col("_raw"))), "price-names")
+    out = rows.join(fit_for_broadcast(names), F.col("material").eqNullSafe(F.col("_raw")), "left").withColumn("material", F.col("_standard")).drop("_raw", "_standard")
     out = out.withColumn("unit", D.unit(F.col("unit"))).withColumn("price_date", D.full_date(F.col("price_date"), as_of))
     out = out.withColumn("price_low", F.col("price_low").try_cast("double")).withColumn("price_high", F.col("price_high").try_cast("double"))
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("spec", "market", "source")}
