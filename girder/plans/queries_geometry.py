@@ -10,7 +10,7 @@ from girder.functions import geometry as G
 from girder.operators import graph, interval, ordered, spatial, stats
 from girder.plans import fixtures as X
 from girder.plans.registry import query
-from girder.plans.tables import table
+from girder.plans.tables import spread, table
 
 _SEG = f"WITH {X.SEGMENT_SQL}\n"
 
@@ -78,7 +78,8 @@ c AS (SELECT seg_id, sum(greatest(0, hi - CASE WHEN reach IS NULL OR lo > reach
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = X.segments(spark, sf_dir).select("drawing", "seg_id", "x1", "y1", "x2", "y2", "thickness")
+    # Each segment meets many: a small file read by one task would have it score all pairs.
+    s = spread(X.segments(spark, sf_dir).select("drawing", "seg_id", "x1", "y1", "x2", "y2", "thickness"))
     actual, predicted = s.filter("seg_id % 2 = 0 OR seg_id % 5 = 0"), s.filter("seg_id % 3 <> 0")
     spans = spatial.covered_intervals(actual, predicted, ["drawing"], "seg_id", "seg_id", 2.0, 0.25)
     covered = interval.union_length(spans, ["source_id"], "lo", "hi")
