@@ -111,13 +111,19 @@ def matching(edges: DataFrame) -> DataFrame:
 def stars(edges: DataFrame) -> DataFrame:
     """Components with one node on one side and at least two on the other, each tied to it alone: (label, left, right, single).
 
-    edges: (left, right) as text keys of two sides.
+    edges: (left, right) as text keys of two sides.  Two rounds of counting tell
+    such a component, so none is searched: all edges of its centre lead to nodes
+    that have no other edge.
     """
-    sides = edges.select(F.concat(F.lit("l:"), F.col("left")).alias("a"), F.concat(F.lit("r:"), F.col("right")).alias("b"))
-    comp = components(sides)
-    tagged = edges.withColumn("node", F.concat(F.lit("l:"), F.col("left"))).join(comp, "node")
-    count = tagged.groupBy("label").agg(F.count_distinct("left").alias("n_left"), F.count_distinct("right").alias("n_right"), F.count("*").alias("n_edges"))
-    ok = count.filter(((F.col("n_left") == 1) & (F.col("n_right") >= 2) & (F.col("n_edges") == F.col("n_right"))) | ((F.col("n_right") == 1) & (F.col("n_left") >= 2) & (F.col("n_edges") == F.col("n_left"))))
-    return tagged.join(ok.select("label", F.when(F.col("n_left") == 1, "left").otherwise("right").alias("single")), "label").select("label", "left", "right", "single")
-
-
+    edges = stage(edges.filter("left IS NOT NULL").select("left", "right"), "star-edges")
+
+    def around(side: str, other: str) -> DataFrame:
+        """Edges of centres on ``side``: (left, right, single)."""
+        leaves = edges.groupBy(other).agg(F.count("*").alias("_n"), F.min(side).alias(side)).filter(F.col(other).isNotNull() & (F.col("_n") == 1)).select(side, other)
+        led, all_ = leaves.groupBy(side).agg(F.count("*").alias("_led")), edges.groupBy(side).agg(F.count("*").alias("_all"))
+        return leaves.join(led.join(all_, side).filter("_led = _all AND _led >= 2").select(side), side).select("left", "right", F.lit(side).alias("single"))
+
+    one, other = around("left", "right"), around("right", "left")
+    first = other.join(other.groupBy("right").agg(F.min("left").alias("_first")), "right").select("left", "right", "single", "_first")
+    out = one.withColumn("_first", F.col("left")).unionByName(first)
+    return out.select(F.concat(F.lit("l:"), F.col("_first")).alias("label"), "left", "right", "single")
