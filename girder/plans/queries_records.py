@@ -12,7 +12,7 @@ from girder.plans import fixtures as X
 from girder.plans import tables as P
 from girder.plans.registry import query
 from girder.plans.staging import new_path
-from girder.plans.tables import table
+from girder.plans.tables import dealt, table
 
 HEADS = ("", "请问", "你好", "介绍一下", "谢谢", "西安", "上海今天", "什么是")
 TAILS = ("螺纹钢多少钱", "P.O 42.5水泥价格", "HRB400E行情", "合同付款条款", "帮我审查标书", "梳理所有规范", "你是谁？", "  ", "高线 单价", "revit建模", "采购供应商报价", "!!", "Hello")
@@ -359,7 +359,8 @@ l AS (SELECT query_id, doc_key, 0.6 * score / 50 + 0.4 * CASE WHEN doc_key % 2 =
 m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_key) AS legacy_rank FROM l WHERE round(score, 9) >= 0.45)
 SELECT query_id, doc_key, rank, legacy_rank FROM (SELECT * FROM o WHERE rank <= 3) o FULL JOIN (SELECT query_id, doc_key, legacy_rank FROM m WHERE legacy_rank <= 2) m USING (query_id, doc_key)""")
 def rerank_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_key")).agg(F.max("l_quantity").alias("score"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_key"), "l_quantity")
+    scores = dealt(items, "query_id").groupBy("query_id", "doc_key").agg(F.max("l_quantity").alias("score"))
     again = scores.filter("doc_key % 3 = 0").withColumn("score", 100 - F.col("score"))
     ranked = retrieval.rerank(scores.withColumn("rank", F.lit(0)), again, 3).select("query_id", "doc_key", "rank")
     old = scores.select("query_id", "doc_key", (F.col("score") / 50).alias("dense_score"), ((F.col("doc_key") % 10) / 10).alias("sparse_score"), (F.col("doc_key") % 2 == 0).alias("shared"))
