@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.operators import spatial
-from girder.plans.staging import stage
+from girder.plans import staging
+from girder.plans.tables import dealt
 
 # Metres within which columns, wall ends, sizes and axes are the same, millimetres of thickness, and the slack of a map that does not turn.
 ALIGNMENT, SIZE, AXIS, THICKNESS, TURN = 0.001, 0.001, 0.001, 1.0, 1e-8
@@ -20,6 +21,15 @@ ALIGNMENT, SIZE, AXIS, THICKNESS, TURN = 0.001, 0.001, 0.001, 1.0, 1e-8
 CELL = 1.0
 
 
+#: Bytes, as staged, of the rows that a task looks up: staged rows repeat and are some twenty times as large in memory.
+SHARE = 512 << 10
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Staged and joined by sorting: its small files would pass for small tables, and be gathered on the driver."""
+    return staging.stage(df, name).hint("merge")
+
+
 def moved(x: Column, y: Column, source: str = "structure", target: str = "architecture") -> tuple[Column, Column]:
     """A point of one drawing in metres of the other.
 
@@ -57,7 +67,8 @@ def _close(a: DataFrame, s: DataFrame, keys: list[str], at: tuple[Column, Column
 
 def _unmatched(rows: DataFrame, pairs: DataFrame, keys: list[str], key: str, issue: str) -> DataFrame:
     """Floors where a row has no match or several."""
-    counted = pairs.groupBy(*keys, key).agg(F.count("*").alias("_n"))
+    rows = dealt(rows.select(*keys, key), *keys, key, share=SHARE)
+    counted = pairs.groupBy(*keys, key).agg(F.count("*").alias("_n")).hint("merge")
     return rows.join(counted, [*keys, key], "left").filter(F.coalesce("_n", F.lit(0)) != 1).select(*keys, F.lit(issue).alias("issue")).distinct()
 
 
@@ -116,6 +127,7 @@ def fuse_floors(contracts: DataFrame, axes: DataFrame, columns: DataFrame, walls
     side, id, x, y, w, h; walls: keys, side, id, x1, y1, x2, y2, thickness (mm).  Every column must have exactly one of the
     other side, every architecture axis exactly one of the structure, and drawings may not be turned.  Walls may stay alone.
     """
+    contracts = contracts.hint("merge")
     pairs, column_issues = _columns(columns, contracts, keys)
     lines, axis_issues = _axes(axes, contracts, keys)
     issues = None
