@@ -70,10 +70,12 @@ def resolve_specs(elements: DataFrame, specs: DataFrame, keys: list[str], reach:
 
     elements: keys, id, kind, mark, x, y.  specs: keys, kind, mark, source_kind, dims, x, y.
     """
+    rank = F.array_position(F.array(*map(F.lit, SOURCE_ORDER)), F.col("source_kind"))
     s = specs.select(*keys, F.col("kind").alias("s_kind"), F.col("mark").alias("s_mark"), "source_kind", "dims", F.col("x").alias("rx"), F.col("y").alias("ry"))
     near = spatial.near_points(elements, s, keys, reach).filter((F.col("kind") == F.col("s_kind")) & (F.col("mark").isNull() | F.col("s_mark").eqNullSafe(F.col("mark")))).select(element_id, "s_mark", "source_kind", "dims", "distance")
-    marked = elements.filter(F.col("mark").isNotNull()).select(element_id, "kind", "mark").join(s.select(F.col("s_kind").alias("kind"), F.col("s_mark").alias("mark"), "source_kind", "dims"), ["kind", "mark"]).select(element_id, F.col("mark").alias("s_mark"), "source_kind", "dims", F.lit(None).cast("double").alias("distance"))
-    rank = F.array_position(F.array(*map(F.lit, SOURCE_ORDER)), F.col("source_kind"))
+    # A mark's specifications are summed up before its elements meet them: repeated ones would meet each of those.
+    of_mark = s.filter(F.col("s_mark").isNotNull()).groupBy(F.col("s_kind").alias("kind"), F.col("s_mark").alias("mark"), "dims").agg(F.min_by("source_kind", rank).alias("source_kind"))
+    marked = elements.filter(F.col("mark").isNotNull()).select(element_id, "kind", "mark").join(of_mark, ["kind", "mark"]).select(element_id, F.col("mark").alias("s_mark"), "source_kind", "dims", F.lit(None).cast("double").alias("distance"))
     best = near.unionByName(marked).groupBy(element_id, "s_mark", "dims").agg(F.min_by("source_kind", rank).alias("source_kind"), F.min("distance").alias("distance"))
     out = best.groupBy(element_id).agg(F.count_distinct("dims").alias("signatures"), F.min_by(F.struct("dims", "source_kind", "s_mark"), F.struct(F.array_position(F.array(*map(F.lit, SOURCE_ORDER)), F.col("source_kind")), F.coalesce("distance", F.lit(1e18)))).alias("spec"))
     return elements.join(out, element_id, "left").withColumn("spec_status", F.when(F.col("signatures").isNull(), "missing").when(F.col("signatures") > 1, "conflict").otherwise("matched"))
