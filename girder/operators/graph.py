@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girder.plans.staging import settle, stage, staged
 
+#: About as many edges are tied together at once.
+SLICE = 1 << 16
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Tie each node's larger (or smaller) neighbours to the smallest node next to it.
@@ -27,14 +34,59 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
+def _smallest(a: np.ndarray, b: np.ndarray, many: int) -> np.ndarray:
+    """The smallest number of what edges between numbers below ``many`` tie together, for each number."""
+    low = np.arange(many)
+    while True:
+        p, q = low[a], low[b]
+        if np.array_equal(p, q):
+            return low
+        # The root of the greater side goes to the smaller one, then all look to their roots.
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := low[low], low):
+            low = up
+
+
+def _tied(edges: DataFrame) -> DataFrame:
+    """The same components in fewer edges: each slice's nodes tied to the smallest of what hangs together in it."""
+    kind, most = dict(edges.dtypes)["a"], SLICE
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = pa.Table.from_batches(held)
+            ends = pa.chunked_array([*part["a"].chunks, *part["b"].chunks])
+            nodes = ends.unique()
+            nodes = nodes.take(pa.compute.array_sort_indices(nodes))
+            at = pa.compute.index_in(ends, value_set=nodes).to_numpy()
+            low = _smallest(at[:part.num_rows], at[part.num_rows:], len(nodes))
+            led = np.flatnonzero(low < np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(led)), nodes.take(pa.array(low[led]))], names=["a", "b"])
+
+        held, many = [], 0
+        for batch in batches:
+            held, many = [*held, batch], many + batch.num_rows
+            if many >= most:
+                yield from out(held)
+                held, many = [], 0
+        if many:
+            yield from out(held)
+
+    return edges.mapInArrow(tie, f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node of each component.  edges: (a, b) of one comparable type.
 
-    Alternating large-star and small-star steps, written to the shared folder
-    each round; it ends when a round changes nothing.
+    What hangs together in a slice of the edges is tied there, as they come and
+    again dealt by their smaller ends.  What is left goes through alternating
+    large-star and small-star steps, written to the shared folder each round; it
+    ends when a round changes nothing.
     """
     since = staged()
-    now = stage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    edges = edges.select("a", "b").filter("a <> b")
+    if dict(edges.dtypes)["a"] in ("bigint", "int", "string"):
+        edges = _tied(_tied(edges).repartition("b"))
+    now = stage(edges.distinct(), "edges")
     mark = None
     while True:
         now = settle(_star(_star(now, True), False), "edges", since)
@@ -95,17 +147,22 @@ def max_matching(edges: pd.DataFrame) -> list[tuple]:
 
 
 def matching(edges: DataFrame) -> DataFrame:
-    """(component, left, right) of a maximum matching; each component is solved on its own."""
+    """(component, left, right) of a maximum matching; components are dealt and solved many at once, each by itself."""
+    edges = stage(edges.select("left", "right"), "matching-edges")
     sides = edges.select(F.concat(F.lit("l:"), F.col("left").cast("string")).alias("a"), F.concat(F.lit("r:"), F.col("right").cast("string")).alias("b"))
     comp = components(sides)
+    shares = 4 * max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // SLICE))
     tagged = edges.withColumn("node", F.concat(F.lit("l:"), F.col("left").cast("string"))).join(comp, "node").select(F.col("label").alias("component"), "left", "right")
+    tagged = tagged.withColumn("_share", F.pmod(F.xxhash64("component"), F.lit(shares))).repartition(shares, "_share")
     types = dict(edges.dtypes)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        # No path leads from one component to another, so each is matched as it would be alone.
         pairs = max_matching(pdf.sort_values(["left", "right"]))
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "left": [p[0] for p in pairs], "right": [p[1] for p in pairs]})
+        of = dict(zip(pdf["left"], pdf["component"], strict=True))
+        return pd.DataFrame({"component": [of[p[0]] for p in pairs], "left": [p[0] for p in pairs], "right": [p[1] for p in pairs]})
 
-    return tagged.groupBy("component").applyInPandas(solve, f"component string, left {types['left']}, right {types['right']}")
+    return tagged.groupBy("_share").applyInPandas(solve, f"component string, left {types['left']}, right {types['right']}")
 
 
 def stars(edges: DataFrame) -> DataFrame:
